@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .exact_dedup import exact_groups
+from .mixing import source_mix
+from .url_filter import Rule, judge_urls
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +30,141 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+#: Target of the mix: 97 % of the greatest entropy, at most four epochs of a source.
+MIX = {"entropy_share": 0.97, "max_epochs": 4.0}
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix(documents(spark, sf_dir), **MIX).withColumnRenamed("id", "doc_id")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE n AS (
+  SELECT doc_id, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
+  FROM documents
+), s AS (
+  SELECT source, sum(n_tokens)::BIGINT AS tokens FROM n GROUP BY source
+), t AS (
+  SELECT sum(tokens)::BIGINT AS total, count(*) AS k FROM s WHERE tokens > 0
+), p AS (
+  SELECT source, tokens, tokens::DOUBLE / total AS share, total, k FROM s, t WHERE tokens > 0
+), entropy_search(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 8.0::DOUBLE
+  UNION ALL
+  SELECT i + 1,
+         CASE WHEN low THEN lo ELSE (lo + hi) / 2 END,
+         CASE WHEN low THEN (lo + hi) / 2 ELSE hi END
+  FROM (
+    SELECT b.i, b.lo, b.hi,
+           (SELECT -sum(w * log2(w)) FROM (
+              SELECT power(share, (b.lo + b.hi) / 2)
+                     / sum(power(share, (b.lo + b.hi) / 2)) OVER () AS w FROM p))
+           < 0.97 * (SELECT log2(k::DOUBLE) FROM t) AS low
+    FROM entropy_search b WHERE b.i < 60)
+), repeat_search(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1,
+         CASE WHEN low THEN lo ELSE (lo + hi) / 2 END,
+         CASE WHEN low THEN (lo + hi) / 2 ELSE hi END
+  FROM (
+    SELECT b.i, b.lo, b.hi,
+           (SELECT max(w / share) FROM (
+              SELECT share, power(share, (b.lo + b.hi) / 2)
+                     / sum(power(share, (b.lo + b.hi) / 2)) OVER () AS w FROM p))
+           <= 4.0 AS low
+    FROM repeat_search b WHERE b.i < 60)
+), a AS (
+  SELECT round(greatest(
+           (SELECT (lo + hi) / 2 FROM entropy_search WHERE i = 60),
+           (SELECT (lo + hi) / 2 FROM repeat_search WHERE i = 60)), 6) AS alpha
+), w AS (
+  SELECT source, tokens, total, alpha,
+         round(power(share, alpha) / sum(power(share, alpha)) OVER (), 9) AS weight
+  FROM p, a
+), plan AS (
+  SELECT source, tokens, alpha, weight,
+         floor(weight * total)::BIGINT // tokens AS epochs,
+         floor(weight * total)::BIGINT % tokens AS rest
+  FROM w
+), placed AS (
+  SELECT n.doc_id, n.source, n.n_tokens, plan.*  EXCLUDE (source),
+         md5('1|' || coalesce(n.source, '') || '|' || epochs || '|' || n.doc_id) AS place
+  FROM n JOIN plan ON n.source IS NOT DISTINCT FROM plan.source
+), run AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY place) AS upto FROM placed
+)
+SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, alpha, weight,
+       (epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::INTEGER AS copies
+FROM run
+UNION ALL
+SELECT doc_id, source, n_tokens::BIGINT, (SELECT alpha FROM a), 0.0, 0
+FROM n WHERE source IN (SELECT source FROM s WHERE tokens = 0)
+"""
+
+URL_RULES = (
+    Rule("block", "net", "/"),
+    Rule("allow", "example.net", "/en/"),
+    Rule("block", "example.com", "/de/"),
+    Rule("allow", "org", "/fr/"),
+)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every page; the listed URLs are those of the pages with an id divisible by 20."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    listed = pages.where("page_id % 20 = 0")
+    return judge_urls(pages, listed, URL_RULES).withColumnRenamed("id", "page_id")
+
+
+OP8_SQL = r"""
+WITH r AS (
+  SELECT page_id, url,
+         CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+  FROM pages
+), h AS (
+  SELECT page_id, url, rest,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+           lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS params
+  FROM r
+), c AS (
+  SELECT *, CASE WHEN position('://' IN url) > 0 THEN
+           regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '')
+           || regexp_replace(path, '/+$', '')
+           || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS key
+  FROM h
+), l AS (
+  SELECT DISTINCT key FROM c WHERE page_id % 20 = 0 AND key IS NOT NULL
+), j AS (
+  SELECT c.*, l.key IS NOT NULL AS listed,
+         CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+              WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+              WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+              WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM c LEFT JOIN l ON c.key = l.key
+)
+SELECT page_id, host, path, rule, listed,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+            WHEN rule IS NOT NULL THEN 'allow'
+            WHEN listed THEN 'block' ELSE 'allow' END AS verdict
+FROM j
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_exact_dedup": op2_exact_dedup}
+    return {
+        "op2_exact_dedup": op2_exact_dedup,
+        "op4_mix_sources": op4_mix_sources,
+        "op8_url_filter": op8_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {
+        "op2_exact_dedup": OP2_SQL,
+        "op4_mix_sources": OP4_SQL,
+        "op8_url_filter": OP8_SQL,
+    }

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import documents
 from .exact_dedup import exact_groups
 from .mixing import source_mix
+from .packing import pack_documents
+from .token_counts import document_token_counts
 from .url_filter import Rule, judge_urls
 
 
@@ -103,6 +105,14 @@ SELECT doc_id, source, n_tokens::BIGINT, (SELECT alpha FROM a), 0.0, 0
 FROM n WHERE source IN (SELECT source FROM s WHERE tokens = 0)
 """
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_token_counts(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 URL_RULES = (
     Rule("block", "net", "/"),
     Rule("allow", "example.net", "/en/"),
@@ -158,6 +168,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op4_mix_sources": op4_mix_sources,
+        "op5_token_counts": op5_token_counts,
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op8_url_filter": op8_url_filter,
     }
 

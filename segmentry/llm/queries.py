@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .exact_dedup import exact_groups
+from .language_id import fit, identify
+from .matroska import media_features, store_texts
 from .mixing import source_mix
 from .packing import pack_documents
 from .token_counts import document_token_counts
@@ -113,6 +115,21 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from three quarters of the documents, by id; predict all from their text."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = fit(docs.where(remainder != 2))
+    held_out = F.crc32(F.col("id").cast("string")) % 4 == 2
+    return identify(docs, model).select(
+        F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(store_texts(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
+
+
 URL_RULES = (
     Rule("block", "net", "/"),
     Rule("allow", "example.net", "/en/"),
@@ -170,7 +187,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mix_sources": op4_mix_sources,
         "op5_token_counts": op5_token_counts,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_language_id": op7_language_id,
         "op8_url_filter": op8_url_filter,
+        "op9_matroska": op9_matroska,
     }
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .exact_dedup import exact_groups
+from .hmm_score import score_documents
 from .language_id import fit, identify
 from .matroska import media_features, store_texts
 from .mixing import source_mix
@@ -17,6 +18,16 @@ from .token_counts import document_token_counts
 from .url_filter import Rule, judge_urls
 
 
+def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from four fifths of the documents, by id; score all of them."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    train = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    return score_documents(docs, train).select(
+        F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens",
+        "n_known", "train_tokens", "base_score", "score",
+    )
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir), keep="largest").select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256"
@@ -183,6 +194,7 @@ FROM j
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hmm_score": op1_hmm_score,
         "op2_exact_dedup": op2_exact_dedup,
         "op4_mix_sources": op4_mix_sources,
         "op5_token_counts": op5_token_counts,

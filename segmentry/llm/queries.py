@@ -14,6 +14,7 @@ from .language_id import fit, identify
 from .matroska import media_features, store_texts
 from .mixing import source_mix
 from .packing import pack_documents
+from .substring_dedup import remove_repeats
 from .token_counts import document_token_counts
 from .url_filter import Rule, judge_urls
 
@@ -141,6 +142,34 @@ def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(store_texts(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), starts AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35
+), prints AS (
+  SELECT doc_id, i, sha256(array_to_string(words[i : i + 34], ' ')) AS print FROM starts
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY print) AS n FROM prints) WHERE n > 1
+), covered AS (
+  SELECT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM repeated) GROUP BY ALL
+), positions AS (
+  SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS p FROM w
+), kept AS (
+  SELECT doc_id, string_agg(words[p], ' ' ORDER BY p) AS text, count(*) AS n
+  FROM positions ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id
+)
+SELECT w.doc_id, len(words)::BIGINT AS n_words,
+       (len(words) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
 URL_RULES = (
     Rule("block", "net", "/"),
     Rule("allow", "example.net", "/en/"),
@@ -202,6 +231,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": op7_language_id,
         "op8_url_filter": op8_url_filter,
         "op9_matroska": op9_matroska,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
@@ -210,4 +240,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": OP2_SQL,
         "op4_mix_sources": OP4_SQL,
         "op8_url_filter": OP8_SQL,
+        "op10_substring_dedup": OP10_SQL,
     }

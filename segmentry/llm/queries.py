@@ -12,6 +12,7 @@ from .exact_dedup import exact_groups
 from .hmm_score import score_documents
 from .language_id import fit, identify
 from .matroska import media_features, store_texts
+from .minhash_dedup import near_duplicates
 from .mixing import source_mix
 from .packing import pack_documents
 from .substring_dedup import remove_repeats
@@ -46,6 +47,13 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its class, the class's size, and its verified links."""
+    return near_duplicates(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "class_id", "class_size", "n_links", "kept"
+    )
+
+
 #: Target of the mix: 97 % of the greatest entropy, at most four epochs of a source.
 MIX = {"entropy_share": 0.97, "max_epochs": 4.0}
 
@@ -225,6 +233,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hmm_score": op1_hmm_score,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_mix_sources": op4_mix_sources,
         "op5_token_counts": op5_token_counts,
         "op6_best_fit_packing": op6_best_fit_packing,

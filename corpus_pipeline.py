@@ -1,4 +1,9 @@
-"""Corpus pipeline: language ID, exact dedup, near dedup, source mixing, packing."""
+"""Corpus pipeline: language ID, exact dedup, near dedup, source mixing, packing.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``, which the
+stage before it has kept. All stages but the last return the columns of ``documents``.
+Their defined cases are those of the operators they call.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from segmentry.llm.common import documents, materialize
 from segmentry.llm.exact_dedup import drop_exact_copies
+from segmentry.llm.language_id import fit, keep_identified
+from segmentry.llm.minhash_dedup import drop_near_copies
+from segmentry.llm.mixing import apply_mix
+from segmentry.llm.packing import pack_documents
+
+#: Target of the mix: 97 % of the greatest entropy, at most four epochs of a source, and
+#: as many tokens in all as the documents have.
+MIX = {"entropy_share": 0.97, "max_epochs": 4.0}
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learn from the labelled texts; documents without a language go."""
+    return keep_identified(docs, fit(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,10 +31,31 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_copies(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays: the one with the smallest id."""
+    return drop_near_copies(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their source takes them."""
+    return apply_mix(docs, **MIX)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    return pack_documents(docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("source_mix", source_mix),
+    ("packing", packing),
+]
 
-#: Tokenization and the trained language model have no SQL form; the tests compare
-#: the pipeline with brute force.
+#: The trained models and the tokenizer have no SQL form; the tests compare each stage
+#: with brute force.
 ORACLE_SQL = None
 
 

@@ -7,6 +7,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: All white space that the format's trimming removes, the byte order mark included.
 BLANK = r"[\s\p{Z}\uFEFF]+"
@@ -67,7 +68,7 @@ def is_safe(number: Column) -> Column:
     return (number >= -LARGEST_SAFE) & (number <= LARGEST_SAFE)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fixed(values: pd.Series, digits: pd.Series) -> pd.Series:
     """Decimal text of the exact binary value, ties away from zero."""
 

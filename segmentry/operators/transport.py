@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from segmentry.functions.binary import byte_at, part
@@ -19,6 +20,10 @@ SYNC = 0x47
 CLEAR_TYPES = {0xDB: 0x1B, 0xCF: 0x0F, 0xC1: 0x81, 0xC2: 0x87}
 
 
+def _pairs(*names: str) -> ArrayType:
+    return ArrayType(StructType([StructField(n, IntegerType()) for n in names]))
+
+
 def packets(resources: DataFrame, content: str = "content") -> DataFrame:
     """``resource_id, index, pid, payload_unit_start, data`` of every 188 bytes.
 
@@ -117,7 +122,7 @@ def program_map_pids(rows: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("array<struct<pid:int,stream_type:int>>")
+@F.pandas_udf(_pairs("pid", "stream_type"))
 def stream_entries(sections: pd.Series) -> pd.Series:
     """Elementary streams of program map sections."""
 
@@ -147,7 +152,7 @@ def protected_streams(rows: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("array<struct<start:int,length:int>>")
+@F.pandas_udf(_pairs("start", "length"))
 def annexb_units(data: pd.Series) -> pd.Series:
     """Byte ranges of the units between start codes, without zeros around them."""
 
@@ -166,7 +171,7 @@ def annexb_units(data: pd.Series) -> pd.Series:
     return data.map(split)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def without_emulation(data: pd.Series) -> pd.Series:
     """Units without the bytes 3 that keep start codes out of them."""
 
@@ -186,7 +191,7 @@ def without_emulation(data: pd.Series) -> pd.Series:
     return data.map(strip)
 
 
-@F.pandas_udf("array<struct<start:int,length:int>>")
+@F.pandas_udf(_pairs("start", "length"))
 def adts_frames(data: pd.Series) -> pd.Series:
     """Frames of an AAC stream by their 12-bit sync word and 13-bit length."""
 

@@ -14,13 +14,18 @@ are verified by the exact weighted Jaccard similarity of the two texts.
 Exact copies are one node. Within buckets, pairs are tested in three steps, and after
 each the nodes linked so far are one component:
 
-1. every node of a bucket with the bucket's smallest node,
-2. in large buckets that still hold several components, with three more of its nodes,
-3. in buckets that still do, all pairs of different components.
-
-Thus a group of many near copies costs about one test for each node, while no pair that
-shares a band is left out unless it is in one component anyway. Components are found by
-label propagation with pointer jumping over tables in the shared folder.
+1. every node of a bucket with its most popular node, the one with the most company in
+   all its buckets, as the original of many copies has,
+2. in small buckets that still hold several components, all pairs of different ones,
+3. in large buckets that still do, all pairs as well, but block by block: a bucket is
+   dealt into tiles of ``TILE`` nodes, each pair of tiles is one group, and a group adds
+   up the shared weights of its pairs shingle by shingle, which is their exact
+   similarity. It returns only the links that join components, at most one for a node.
+
+Thus a group of many near copies costs about one test for each node, rows never grow
+with the square of a bucket, and no pair that shares a band is left out unless it is in
+one component anyway. Components are found by label propagation with pointer jumping
+over tables in the shared folder.
 
 Defined cases: a null text counts as empty; texts of fewer than ``SHINGLE`` words have
 one shingle of all their words, texts without words none; such texts are in a class
@@ -51,8 +56,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 FEATURES = 1 << 18
-#: A bucket of more nodes gets further leaders before its pairs are looked at.
-LARGE = 32
+#: Buckets of more nodes are compared tile by tile, not as rows of pairs.
+LARGE = 24
+#: Nodes of a large bucket that are compared together.
+TILE = 512
 #: Shingles whose samples are drawn together.
 AT_ONCE = 1 << 16
 
@@ -206,6 +213,71 @@ def _tested(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iter
         yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
 
 
+def shared_weights(sets: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weight that each pair of sets shares, above the diagonal, and each set's own.
+
+    A shingle that occurs several times is as many elements, so the smaller of two
+    weights is the weight of the elements in both.
+    """
+    n = len(sets)
+    shared, own = np.zeros((n, n)), np.zeros(n)
+    keys, docs = [], []
+    for i, (h, tf) in enumerate(sets):
+        again = np.concatenate([np.arange(1, t) for t in tf[tf > 1]]).astype(np.uint64) if (tf > 1).any() else np.zeros(0, np.uint64)
+        more = _mixed(np.repeat(h[tf > 1], tf[tf > 1] - 1) + again * _A)
+        own[i] = float((idf[_feature(h, len(idf))] * tf.astype(np.float64)).sum())
+        keys.append(np.stack([np.concatenate([h, more]), np.concatenate([h, np.repeat(h[tf > 1], tf[tf > 1] - 1)])]))
+        docs.append(np.full(keys[-1].shape[1], i))
+    key, doc = np.concatenate(keys, 1), np.concatenate(docs)
+    order = np.argsort(key[0], kind="stable")
+    element, doc = key[0][order], doc[order]
+    weight = idf[_feature(key[1][order], len(idf))].astype(np.float64)
+    begin = np.flatnonzero(np.append(True, element[1:] != element[:-1]))
+    size = np.diff(np.append(begin, len(element)))
+    for many in np.unique(size[size > 1]):
+        at = begin[size == many]
+        if many <= 6:
+            for a in range(many):
+                for b in range(a + 1, many):
+                    np.add.at(shared, (doc[at + a], doc[at + b]), weight[at])
+        else:
+            for k in at:
+                held = doc[k : k + many]  # in order, as the sort is stable
+                shared[np.ix_(held, held)] += weight[k]
+    return np.triu(shared, 1), own
+
+
+def _tile_links(table: pa.Table, idf: np.ndarray, threshold: float) -> pa.Table:
+    """Links within one pair of tiles that join components."""
+    names = Names()
+    table = table.sort_by([("node", "ascending"), ("tile", "ascending")])
+    node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+    tile = table.column("tile").to_numpy()
+    found: tuple[list, list] = ([], [])
+    if len(np.unique(label)) > 1:
+        sets = [shingles(t, names) for t in table.column("text").to_pylist()]
+        shared, own = shared_weights(sets, idf)
+        near = shared >= threshold * (own[:, None] + own[None, :] - shared)
+        near &= (shared > 0) & (label[:, None] != label[None, :])
+        if len(np.unique(tile)) > 1:  # pairs of one tile are in that tile's own group
+            near &= tile[:, None] != tile[None, :]
+        root = {x: x for x in label.tolist()}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for i, j in zip(*np.nonzero(near), strict=True):
+            a, b = top(int(label[i])), top(int(label[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                found[0].append(int(node[i]))
+                found[1].append(int(node[j]))
+    return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` of every node of ``links`` (a, b): the least node it is linked to.
 
@@ -233,10 +305,9 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """``row, id, class_id, class_size, n_links, kept`` of every row of ``docs``.
+    """``row, id, class_id, class_size, kept`` of every row of ``docs``.
 
-    ``n_links`` counts the verified links of the row's text to other texts; the row with
-    the smallest id of a class is kept.
+    The row with the smallest id of a class is kept.
     """
     context = docs.sparkSession.sparkContext
     idf = context.broadcast(inverse_frequencies(docs, text_col))
@@ -253,8 +324,13 @@ def near_duplicates(
         "members",
     )
     in_band = members.where("keys IS NOT NULL").select("node", F.posexplode("keys").alias("band", "key"))
-    shared = in_band.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
-    buckets = materialize(in_band.join(shared, ["band", "key"]), "buckets")
+    sizes = in_band.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = materialize(in_band.join(sizes, ["band", "key"]), "bucket-sizes")
+    company = sized.groupBy("node").agg(F.sum("n").alias("company"))
+    led = sized.join(company, "node").groupBy("band", "key").agg(
+        F.max_by("node", F.struct("company", -F.col("node"))).alias("leader")
+    )
+    buckets = materialize(sized.join(led, ["band", "key"]), "buckets")
     wanted = buckets.select("node").distinct()
     known = materialize(
         numbered.join(wanted, numbered["row"] == wanted["node"]).select("node", "text"), "candidate-texts"
@@ -268,69 +344,68 @@ def near_duplicates(
             told.mapInArrow(lambda x: _tested(x, idf, threshold), "a long, b long"), "verified"
         )
 
-    def several(bucket_labels: DataFrame, least: int) -> DataFrame:
-        """Rows of buckets above ``least`` nodes that hold more than one component."""
+    def several(links: DataFrame, condition: str) -> DataFrame:
+        """Rows (band, key, node, n, label) of the buckets that hold several components."""
+        now = (
+            buckets.where(condition)
+            .drop("leader")
+            .join(components(links), "node", "left")
+            .withColumn("label", F.coalesce("label", "node"))
+        )
         open_ = (
-            bucket_labels.where(F.col("n") > least)
-            .groupBy("band", "key")
+            now.groupBy("band", "key")
             .agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
             .where("lo <> hi")
             .select("band", "key")
         )
-        return bucket_labels.join(open_, ["band", "key"])
+        return materialize(now.join(open_, ["band", "key"]), "open")
 
-    def labelled(links: DataFrame) -> DataFrame:
-        labels = components(links)
-        return buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    pairs = materialize(
-        buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs"
+    pairs = buckets.where("node <> leader").select(
+        F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")
     )
-    links, tested = links_of(pairs), pairs
-
-    open_ = materialize(several(labelled(links), LARGE), "open")
-    if not open_.isEmpty():
-        salts = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"leader{i}") for i in range(3)]
-        leaders = open_.groupBy("band", "key").agg(*salts).select(
-            "band", "key", F.explode(F.array_distinct(F.array(*(f"leader{i}" for i in range(3))))).alias("other")
+    pairs = materialize(pairs.distinct(), "pairs")
+    links = links_of(pairs)
+
+    small = several(links, f"n <= {LARGE}")
+    others = small.select("band", "key", F.col("node").alias("b"), F.col("label").alias("other"))
+    more = (
+        small.join(others, ["band", "key"])
+        .where("node < b AND label <> other")
+        .select(F.col("node").alias("a"), "b")
+        .distinct()
+        .join(pairs, ["a", "b"], "left_anti")
+    )
+    links = materialize(links.unionByName(links_of(materialize(more, "pairs"))), "links")
+
+    large = several(links, f"n > {LARGE}")
+    if not large.isEmpty():
+        table = idf.value
+        tiles = F.expr(f"cast((n + {TILE - 1}) div {TILE} as int)")
+        tiled = (
+            large.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+            .join(known, "node")
+            .select(
+                "band", "key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
+                "tile", "node", "label", "text",
+            )
+        )
+        joined = tiled.groupBy("band", "key", "low", "high").applyInArrow(
+            lambda t: _tile_links(t, table, threshold), "a long, b long"
         )
-        labels = open_.select("band", "key", F.col("node").alias("other"), F.col("label").alias("other_label"))
-        leaders = leaders.join(labels, ["band", "key", "other"])
-        links, tested = _more(open_.drop("leader").join(leaders, ["band", "key"]), links, tested, links_of)
-
-    open_ = materialize(several(labelled(links), 1), "open")
-    if not open_.isEmpty():
-        others = open_.select("band", "key", F.col("node").alias("other"), F.col("label").alias("other_label"))
-        pairs = open_.join(others, ["band", "key"]).where("node < other")
-        links, tested = _more(pairs, links, tested, links_of)
+        links = materialize(links.unionByName(joined.distinct()), "links")
 
     classes = components(links)
-    degree = (
-        links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    )
     labelled_rows = (
         members.select("row", "id", "node")
         .join(classes, "node", "left")
-        .join(degree, "node", "left")
-        .select("row", "id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("row", "id", F.coalesce("label", "node").alias("label"))
     )
     first = F.struct(F.col("id").isNull().alias("unknown"), F.col("id").alias("id"), F.col("row").alias("row"))
     heads = labelled_rows.groupBy("label").agg(F.min(first).alias("head"), F.count(F.lit(1)).alias("class_size"))
     return labelled_rows.join(heads, "label").select(
-        "row", "id", F.col("head.id").alias("class_id"), "class_size", "n_links", (F.col("row") == F.col("head.row")).alias("kept")
-    )
-
-
-def _more(pairs: DataFrame, links: DataFrame, tested: DataFrame, links_of) -> tuple[DataFrame, DataFrame]:
-    """Test the pairs (node, other) of different labels that are not yet tested."""
-    new = (
-        pairs.where("label <> other_label")
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        .distinct()
-        .join(tested, ["a", "b"], "left_anti")
+        "row", "id", F.col("head.id").alias("class_id"), "class_size", (F.col("row") == F.col("head.row")).alias("kept")
     )
-    new = materialize(new, "pairs")
-    return materialize(links.unionByName(links_of(new)), "links"), tested.unionByName(new)
 
 
 def drop_near_copies(

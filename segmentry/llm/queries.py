@@ -48,9 +48,9 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per document: its class, the class's size, and its verified links."""
+    """A row per document: its class, by the smallest id, and whether it stays."""
     return near_duplicates(documents(spark, sf_dir)).select(
-        F.col("id").alias("doc_id"), "class_id", "class_size", "n_links", "kept"
+        F.col("id").alias("doc_id"), "class_id", "class_size", "kept"
     )
 
 

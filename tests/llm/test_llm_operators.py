@@ -177,8 +177,9 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(21)}, **{100 + i: 100 for i in range(9)}, 300: 300, 301: 300}
 
 
-def test_large_groups_are_linked_through_further_leaders(spark, tmp_path, monkeypatch):
+def test_large_buckets_are_compared_tile_by_tile(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "LARGE", 3)
+    monkeypatch.setattr(minhash_dedup, "TILE", 7)
     base = prose(1, 120).split()
     texts = []
     for i in range(40):  # a chain: neighbours are similar, the ends are not
@@ -189,6 +190,23 @@ def test_large_groups_are_linked_through_further_leaders(spark, tmp_path, monkey
     assert len({r.class_id for r in got}) == 1
 
 
+def test_shared_weights_are_those_of_every_pair():
+    names = minhash_dedup.Names()
+    texts = [prose(i % 3, 60) + " x y" * (i % 4) + f" end{i}" for i in range(9)]
+    texts += ["a " * 30, "a " * 40, "a " * 7 + "b"]
+    sets = [minhash_dedup.shingles(t, names) for t in texts]
+    idf = np.random.default_rng(0).uniform(1, 5, 1 << 10).astype(np.float32)
+    shared, own = minhash_dedup.shared_weights(sets, idf)
+
+    def weights(s):
+        return {int(h): int(n) * float(idf[int(h) & 1023]) for h, n in zip(*s, strict=True)}
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        a, b = weights(sets[i]), weights(sets[j])
+        assert math.isclose(shared[i, j], sum(min(w, b.get(h, 0)) for h, w in a.items()), abs_tol=1e-9)
+        assert math.isclose(own[i], sum(a.values()))
+
+
 # -- mixing ----------------------------------------------------------------------------
 
 

@@ -112,10 +112,14 @@ def source_plan(
         )
         .select("alpha", "norm", "total", "spend")
     )
-    # One row beside one row per source.
-    rows = sources.withColumn("one", F.lit(1)).join(
-        F.broadcast(mix.withColumn("one", F.lit(1))), "one", "left"
-    )
+    # One row of four numbers, which become constants of the plan.
+    alpha, norm, total, spend = mix.first()
+    rows = sources.withColumns(
+        {
+            "alpha": F.lit(alpha).cast("double"), "norm": F.lit(norm).cast("double"),
+            "total": F.lit(total).cast("long"), "spend": F.lit(spend).cast("long"),
+        }
+    )
     weight = F.when(
         F.col("tokens") > 0,
         F.round(F.pow(F.col("tokens") / F.col("total"), F.col("alpha")) / F.col("norm"), 9),

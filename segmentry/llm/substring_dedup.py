@@ -37,9 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import materialize, quoted
 from .tokens import output
@@ -50,8 +51,8 @@ WIDEST = 8
 #: Interior symbols from the first on, of which the widest names a window.
 CHOICES = 6
 #: Words whose documents are recompressed together.
-WORDS_AT_ONCE = 1 << 20
-NAMES_HELD = 400_000
+WORDS_AT_ONCE = 1 << 19
+NAMES_HELD = 100_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -201,6 +202,21 @@ def _texts(column: pa.Array) -> Iterator[str | None]:
     return (x.as_py() for x in column)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, id, text) with the text compressed: it is shuffled once and read twice."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        packed = [pack((x.as_py() or "").encode()) for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["row", "id", "packed"]
+        )
+
+
+def _unpacked(column: pa.Array) -> Iterator[str]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return (unpack(x.as_buffer()).decode() for x in column)
+
+
 def _symbol_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     names = Names()
     for batch in batches:
@@ -219,7 +235,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
     for batch in batches:
         rows = batch.column(0).to_numpy()
         shared = np.unique(batch.column(3).flatten().to_numpy())
-        for numbers, words, doc in _groups(_texts(batch.column(2)), names):
+        for numbers, words, doc in _groups(_unpacked(batch.column(2)), names):
             start, name, _ = window_symbols(words, doc, window)
             start = start[np.isin(name.view(np.int64), shared)]
             h, check = window_prints(words, start, window)
@@ -239,8 +255,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
 def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total, removed, digest = [], [], []
-        for text, starts in zip(batch.column(1), batch.column(2), strict=True):
-            words = words_of(text.as_py())
+        for text, starts in zip(_unpacked(batch.column(1)), batch.column(2), strict=True):
+            words = words_of(text)
             n = len(words)
             if starts.is_valid:
                 edges = np.zeros(n + 1, np.int64)
@@ -263,11 +279,14 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         )
 
 
-def repeated_windows(docs: DataFrame, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
-    """The documents dealt by row number, and ``row, starts`` of repeated windows."""
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    symbols = numbered.select("row", quoted(text_col)).mapInArrow(
-        lambda b: _symbol_rows(b, window), "name long, row long"
+def repeated_windows(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (id, text) dealt by row number, and ``row, starts`` of repeats."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    symbols = materialize(
+        numbered.select("row", "text").mapInArrow(
+            lambda b: _symbol_rows(b, window), "name long, row long"
+        ),
+        "symbols",
     )
     shared = (
         symbols.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
@@ -276,11 +295,12 @@ def repeated_windows(docs: DataFrame, text_col: str, window: int) -> tuple[DataF
         symbols.join(shared, "name").groupBy("row").agg(F.collect_set("name").alias("names")),
         "shared-symbols",
     )
-    dealt = numbered.repartition("row")
-    columns = [quoted(c) for c in docs.columns]
+    fields = {f.name: f for f in numbered.schema.fields}
+    schema = StructType([fields["row"], fields["id"], StructField("packed", BinaryType())])
+    dealt = numbered.mapInArrow(_packed, schema).repartition("row")
     windows = (
         dealt.join(wanted, "row")
-        .select("row", *columns, "names")
+        .select("row", "id", "packed", "names")
         .mapInArrow(
             lambda b: _window_rows(b, window), "print long, check int, row long, start int"
         )
@@ -301,12 +321,12 @@ def remove_repeats(
 ) -> DataFrame:
     """``id, n_words, n_removed, kept_sha256``: each document without repeated windows."""
     pair = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
-    dealt, starts = repeated_windows(pair, "text", window)
+    dealt, starts = repeated_windows(pair, window)
     schema = output(
         pair, "id", "id", ("n_words", LongType()), ("n_removed", LongType()), ("kept_sha256", StringType())
     )
     return (
         dealt.join(starts, "row", "left")
-        .select("id", "text", "starts")
+        .select("id", "packed", "starts")
         .mapInArrow(lambda b: _removed(b, window), schema)
     )

@@ -84,6 +84,11 @@ def shingles(text: str | None, names: Names, size: int = SHINGLE) -> tuple[np.nd
     return np.unique(_mixed(h), return_counts=True)
 
 
+def _give_back() -> None:
+    """Freed batch memory goes back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def _feature(h: np.ndarray, features: int) -> np.ndarray:
     return (h & np.uint64(features - 1)).astype(np.int64)
 
@@ -94,6 +99,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[p
         for text in batch.column(0):
             h, _ = shingles(text.as_py(), names)
             np.add.at(counts, np.unique(_feature(h, features)), 1)
+        _give_back()
     used = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays(
         [pa.array(used.astype(np.int32)), pa.array(counts[used])], ["feature", "n"]
@@ -155,6 +161,7 @@ def band_keys(drawn: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _signatures(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     names, idf = Names(), shared.value
     for batch in batches:
+        _give_back()
         keys: list = [None] * batch.num_rows
         digests = []
         held, sets, size = [], [], 0
@@ -202,6 +209,7 @@ def _tested(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iter
         return h, w, float(w.sum())
 
     for batch in batches:
+        _give_back()
         keep = []
         for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
             ha, wa, sa = weighted(a.as_py() or "")

@@ -46,10 +46,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .common import free_name, materialize, quoted
-from .substring_dedup import Names, words_of
+from .substring_dedup import Names, pack_texts, unpack_text, words_of
 from .tokens import output
 
 SHINGLE = 5
@@ -203,8 +203,8 @@ def _tested(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iter
     names, idf = Names(), shared.value
 
     @lru_cache(maxsize=64)
-    def weighted(text: str) -> tuple[np.ndarray, np.ndarray, float]:
-        h, tf = shingles(text, names)
+    def weighted(packed: bytes) -> tuple[np.ndarray, np.ndarray, float]:
+        h, tf = shingles(unpack_text(packed), names)
         w = tf * idf[_feature(h, len(idf))].astype(np.float64)
         return h, w, float(w.sum())
 
@@ -212,8 +212,8 @@ def _tested(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iter
         _give_back()
         keep = []
         for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            ha, wa, sa = weighted(a.as_py() or "")
-            hb, wb, sb = weighted(b.as_py() or "")
+            ha, wa, sa = weighted(a.as_py())
+            hb, wb, sb = weighted(b.as_py())
             _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
             both = float(np.minimum(wa[ia], wb[ib]).sum())
             if both >= threshold * (sa + sb - both) > 0:
@@ -263,7 +263,7 @@ def _tile_links(table: pa.Table, idf: np.ndarray, threshold: float) -> pa.Table:
     tile = table.column("tile").to_numpy()
     found: tuple[list, list] = ([], [])
     if len(np.unique(label)) > 1:
-        sets = [shingles(t, names) for t in table.column("text").to_pylist()]
+        sets = [shingles(unpack_text(t), names) for t in table.column("packed").to_pylist()]
         shared, own = shared_weights(sets, idf)
         near = shared >= threshold * (own[:, None] + own[None, :] - shared)
         near &= (shared > 0) & (label[:, None] != label[None, :])
@@ -340,14 +340,18 @@ def near_duplicates(
     )
     buckets = materialize(sized.join(led, ["band", "key"]), "buckets")
     wanted = buckets.select("node").distinct()
+    # Texts are compressed before they are shuffled, here and with the pairs.
+    fields = {f.name: f for f in numbered.schema.fields}
+    packed_schema = StructType([fields["row"], fields["id"], StructField("packed", BinaryType())])
+    packed = numbered.select("row", "id", "text").mapInArrow(pack_texts, packed_schema)
     known = materialize(
-        numbered.join(wanted, numbered["row"] == wanted["node"]).select("node", "text"), "candidate-texts"
+        packed.join(wanted, packed["row"] == wanted["node"]).select("node", "packed"), "candidate-texts"
     )
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        a = known.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        b = known.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        told = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+        a = known.select(F.col("node").alias("a"), F.col("packed").alias("packed_a"))
+        b = known.select(F.col("node").alias("b"), F.col("packed").alias("packed_b"))
+        told = pairs.join(b, "b").join(a, "a").select("a", "b", "packed_a", "packed_b")
         return materialize(
             told.mapInArrow(lambda x: _tested(x, idf, threshold), "a long, b long"), "verified"
         )
@@ -395,7 +399,7 @@ def near_duplicates(
             .join(known, "node")
             .select(
                 "band", "key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
-                "tile", "node", "label", "text",
+                "tile", "node", "label", "packed",
             )
         )
         joined = tiled.groupBy("band", "key", "low", "high").applyInArrow(

@@ -202,7 +202,7 @@ def _texts(column: pa.Array) -> Iterator[str | None]:
     return (x.as_py() for x in column)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (row, id, text) with the text compressed: it is shuffled once and read twice."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
@@ -212,6 +212,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def unpack_text(packed: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(packed).decode()
+
+
 def _unpacked(column: pa.Array) -> Iterator[str]:
     unpack = zstandard.ZstdDecompressor().decompress
     return (unpack(x.as_buffer()).decode() for x in column)
@@ -297,7 +301,7 @@ def repeated_windows(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame
     )
     fields = {f.name: f for f in numbered.schema.fields}
     schema = StructType([fields["row"], fields["id"], StructField("packed", BinaryType())])
-    dealt = numbered.mapInArrow(_packed, schema).repartition("row")
+    dealt = numbered.mapInArrow(pack_texts, schema).repartition("row")
     windows = (
         dealt.join(wanted, "row")
         .select("row", "id", "packed", "names")

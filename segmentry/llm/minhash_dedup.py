@@ -1,9 +1,12 @@
 """Near-duplicate detection by improved consistent weighted sampling.
 
 A text is a weighted set: its distinct shingles of ``SHINGLE`` words, each with weight
-term frequency times inverse document frequency. Document frequencies are counted over
-all documents in a fixed number of hashed features, so their table is bounded, and how
-common a shingle must be to weigh less does not depend on the size of the corpus.
+term frequency times inverse document frequency, ``log(1 + documents / frequency)``.
+Document frequencies are exact for every 64-bit shingle fingerprint, and no task holds a
+table of them: documents are written once as blocks of ``BLOCK_BYTES`` of text, a block
+sends its distinct fingerprints to buckets by value, and a bucket returns their
+frequencies in the order in which the block sent them. They stay with their document
+from then on, so samples and tests weigh alike.
 
 ``BANDS * ROWS`` consistent weighted samples are drawn for each text. Two texts share a
 sample with a probability equal to their weighted Jaccard similarity, so texts that are
@@ -31,31 +34,31 @@ Defined cases: a null text counts as empty; texts of fewer than ``SHINGLE`` word
 one shingle of all their words, texts without words none; such texts are in a class
 with their exact copies only; rows that repeat are copies of each other; the class id
 is the smallest id of the class, and a null id is larger than any other; an empty table
-gives an empty result; columns other than the id and text are not read. The input is
-read more than once and must give its rows in the same order each time, as stored
-tables do.
+gives an empty result; columns other than the id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .common import free_name, materialize, quoted
-from .substring_dedup import Names, pack_texts, unpack_text, words_of
+from .substring_dedup import Names, unpack_text, words_of
 from .tokens import output
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
-FEATURES = 1 << 18
+#: Text in a block of documents, and for each bucket of fingerprints; buckets at least.
+BLOCK_BYTES, BUCKET_BYTES, BUCKETS = 1 << 22, 1 << 24, 64
 #: Buckets of more nodes are compared tile by tile, not as rows of pairs.
 LARGE = 24
 #: Nodes of a large bucket that are compared together.
@@ -89,36 +92,115 @@ def _give_back() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def _feature(h: np.ndarray, features: int) -> np.ndarray:
-    return (h & np.uint64(features - 1)).astype(np.int64)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, id, text) as one row for each block of documents, texts compressed."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        _give_back()
+        if not batch.num_rows:
+            continue
+        digests, packed, begin, sizes = [], [], [0], [0]
+        for i, text in enumerate(batch.column(2)):
+            data = (text.as_py() or "").encode()
+            if sizes[-1] and sizes[-1] + len(data) > BLOCK_BYTES:
+                begin.append(i)
+                sizes.append(0)
+            sizes[-1] += len(data)
+            digests.append(hashlib.sha256(data).digest())
+            packed.append(pack(data))
+        offsets = pa.array([*begin, batch.num_rows], pa.int32())
+        each = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).take(pa.array(begin)),
+                pa.array(sizes, pa.int64()),
+                *(pa.ListArray.from_arrays(offsets, values) for values in each),
+            ],
+            ["block", "bytes", "rows", "ids", "digests", "packed"],
+        )
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[pa.RecordBatch]:
-    names, counts = Names(), np.zeros(features, np.int64)
+def stored_blocks(numbered: DataFrame) -> DataFrame:
+    """The documents (row, id, text), written once: all later jobs read these blocks."""
+    types = {f.name: f.dataType for f in numbered.schema.fields}
+    schema = StructType(
+        [
+            StructField("block", LongType()),
+            StructField("bytes", LongType()),
+            StructField("rows", ArrayType(LongType())),
+            StructField("ids", ArrayType(types["id"])),
+            StructField("digests", ArrayType(BinaryType())),
+            StructField("packed", ArrayType(BinaryType())),
+        ]
+    )
+    return materialize(numbered.select("row", "id", "text").mapInArrow(_blocks, schema), "blocks")
+
+
+def _packed_counts(counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.astype("<u4").tobytes(), 1)
+
+
+def _counts(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), "<u4")
+
+
+def _block_sets(packed: pa.Scalar, names: Names) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [shingles(unpack_text(x.as_py()), names) for x in packed.values]
+
+
+def _sent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A block's distinct shingles in order, cut into buckets, and in how many of its
+    documents each occurs."""
+    names = Names()
     for batch in batches:
-        for text in batch.column(0):
-            h, _ = shingles(text.as_py(), names)
-            np.add.at(counts, np.unique(_feature(h, features)), 1)
         _give_back()
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(used.astype(np.int32)), pa.array(counts[used])], ["feature", "n"]
+        for block, packed in zip(batch.column(0), batch.column(1), strict=True):
+            found = np.concatenate([h for h, _ in _block_sets(packed, names)])
+            if not len(found):
+                continue
+            h, n = np.unique(found, return_counts=True)
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            spans = list(zip(begin, np.append(begin[1:], len(h)), strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(bucket[begin].astype(np.int32)),
+                    pa.array([block.as_py()] * len(begin), pa.int64()),
+                    pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()),
+                    pa.array([_packed_counts(n[a:b]) for a, b in spans], pa.binary()),
+                ],
+                ["bucket", "block", "prints", "n"],
+            )
+
+
+def _bucket_frequencies(table: pa.Table) -> pa.Table:
+    """The frequencies of each block's shingles of one bucket, in the order sent."""
+    prints = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("prints")]
+    n = np.concatenate([_counts(x.as_py()) for x in table.column("n")])
+    every, at = np.unique(np.concatenate(prints), return_inverse=True)
+    df = np.bincount(at, n, len(every)).astype(np.int64)[at]
+    ends = np.cumsum([len(x) for x in prints])
+    packed = [_packed_counts(df[b - len(x) : b]) for x, b in zip(prints, ends, strict=True)]
+    return pa.table(
+        {"block": table.column("block"), "bucket": table.column("bucket"), "df": pa.array(packed, pa.binary())}
     )
 
 
-def inverse_frequencies(docs: DataFrame, text_col: str, features: int = FEATURES) -> np.ndarray:
-    """``log(1 + documents / frequency)`` of every hashed feature, a bounded table."""
-    total = docs.count()
-    table = (
-        docs.select(quoted(text_col))
-        .mapInArrow(lambda b: _frequencies(b, features), "feature int, n long")
-        .groupBy("feature")
-        .agg(F.sum("n").alias("n"))
-        .toPandas()
+def document_frequencies(blocks: DataFrame, text_bytes: int) -> DataFrame:
+    """``block, df``: frequencies of a block's distinct shingles in order, bucket by bucket."""
+    buckets = max(BUCKETS, -(-text_bytes // BUCKET_BYTES))
+    return (
+        blocks.select("block", "packed")
+        .mapInArrow(lambda b: _sent(b, buckets), "bucket int, block long, prints binary, n binary")
+        .groupBy("bucket")
+        .applyInArrow(_bucket_frequencies, "block long, bucket int, df binary")
+        .groupBy("block")
+        .agg(F.array_sort(F.collect_list(F.struct("bucket", "df"))).getField("df").alias("df"))
     )
-    df = np.ones(features)
-    df[table["feature"].to_numpy()] = table["n"].to_numpy()
-    return np.log1p(total / df).astype(np.float32)
+
+
+def inverse(df: np.ndarray, total: int) -> np.ndarray:
+    return np.log1p(total / df)
 
 
 @lru_cache(maxsize=1)
@@ -158,62 +240,65 @@ def band_keys(drawn: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    names, idf = Names(), shared.value
+def _signatures(batches: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
+    """Rows (rows, ids, digests, packed, df) of blocks as one row for each document."""
+    names = Names()
     for batch in batches:
-        _give_back()
-        keys: list = [None] * batch.num_rows
-        digests = []
-        held, sets, size = [], [], 0
-
-        def draw(held, sets, keys=keys):
-            h = np.concatenate([s[0] for s in sets])
-            tf = np.concatenate([s[1] for s in sets])
-            sizes = np.array([len(s[0]) for s in sets])
-            weight = tf * idf[_feature(h, len(idf))]
-            found = band_keys(samples(h, weight, np.cumsum(sizes) - sizes, BANDS * ROWS), BANDS, ROWS)
-            for i, row in zip(held, found.tolist(), strict=True):
-                keys[i] = row
-
-        for i, text in enumerate(batch.column(2)):
-            text = text.as_py() or ""
-            digests.append(hashlib.sha256(text.encode()).digest())
-            s = shingles(text, names)
-            if len(s[0]):
+        for k in range(batch.num_rows):
+            _give_back()
+            rows, ids, digests = (batch.column(i)[k].values for i in range(3))
+            sets = _block_sets(batch.column(3)[k], names)
+            sizes = np.array([len(h) for h, _ in sets])
+            ends = np.cumsum(sizes)
+            df = np.zeros(0, np.uint32)
+            if ends[-1]:
+                each, at = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+                df = np.concatenate([_counts(x.as_py()) for x in batch.column(4)[k].values])
+                assert len(df) == len(each), "frequencies of another block"
+                df = df[at]
+            keys: list = [None] * len(sets)
+            held: list = []
+
+            def draw(held, keys=keys, sets=sets, sizes=sizes, ends=ends, df=df):
+                h = np.concatenate([sets[i][0] for i in held])
+                tf = np.concatenate([sets[i][1] for i in held])
+                own = np.concatenate([df[ends[i] - sizes[i] : ends[i]] for i in held])
+                begin = np.cumsum(sizes[held]) - sizes[held]
+                drawn = samples(h, tf * inverse(own, total), begin, BANDS * ROWS)
+                for i, row in zip(held, band_keys(drawn, BANDS, ROWS).tolist(), strict=True):
+                    keys[i] = row
+
+            size = 0
+            for i in np.flatnonzero(sizes).tolist():
                 held.append(i)
-                sets.append(s)
-                size += len(s[0])
-            if size >= AT_ONCE:
-                draw(held, sets)
-                held, sets, size = [], [], 0
-        if held:
-            draw(held, sets)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                batch.column(1),
-                pa.array(digests, pa.binary()),
-                pa.array(keys, pa.list_(pa.int64())),
-            ],
-            ["id", "row", "digest", "keys"],
-        )
+                size += sizes[i]
+                if size >= AT_ONCE:
+                    draw(held)
+                    held, size = [], 0
+            if held:
+                draw(held)
+            packed = [_packed_counts(df[b - n : b]) for n, b in zip(sizes, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [ids, rows, digests, pa.array(keys, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
+                ["id", "row", "digest", "keys", "df"],
+            )
 
 
-def _tested(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iterator[pa.RecordBatch]:
-    names, idf = Names(), shared.value
+def _tested(batches: Iterator[pa.RecordBatch], total: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    names = Names()
 
     @lru_cache(maxsize=64)
-    def weighted(packed: bytes) -> tuple[np.ndarray, np.ndarray, float]:
+    def weighted(packed: bytes, df: bytes) -> tuple[np.ndarray, np.ndarray, float]:
         h, tf = shingles(unpack_text(packed), names)
-        w = tf * idf[_feature(h, len(idf))].astype(np.float64)
+        w = tf * inverse(_counts(df), total)
         return h, w, float(w.sum())
 
     for batch in batches:
         _give_back()
         keep = []
-        for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            ha, wa, sa = weighted(a.as_py())
-            hb, wb, sb = weighted(b.as_py())
+        for i, (a, b, df_a, df_b) in enumerate(zip(*batch.columns[2:6], strict=True)):
+            ha, wa, sa = weighted(a.as_py(), df_a.as_py())
+            hb, wb, sb = weighted(b.as_py(), df_b.as_py())
             _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
             both = float(np.minimum(wa[ia], wb[ib]).sum())
             if both >= threshold * (sa + sb - both) > 0:
@@ -221,25 +306,30 @@ def _tested(batches: Iterator[pa.RecordBatch], shared, threshold: float) -> Iter
         yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
 
 
-def shared_weights(sets: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shared_weights(
+    sets: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray | Callable[[np.ndarray], np.ndarray]
+) -> tuple[np.ndarray, np.ndarray]:
     """Weight that each pair of sets shares, above the diagonal, and each set's own.
 
+    ``idf`` gives the weights of shingles, or is a table of them by their lowest bits.
+
     A shingle that occurs several times is as many elements, so the smaller of two
     weights is the weight of the elements in both.
     """
+    weigh = idf if callable(idf) else lambda h: idf[(h & np.uint64(len(idf) - 1)).astype(np.int64)]
     n = len(sets)
     shared, own = np.zeros((n, n)), np.zeros(n)
     keys, docs = [], []
     for i, (h, tf) in enumerate(sets):
         again = np.concatenate([np.arange(1, t) for t in tf[tf > 1]]).astype(np.uint64) if (tf > 1).any() else np.zeros(0, np.uint64)
         more = _mixed(np.repeat(h[tf > 1], tf[tf > 1] - 1) + again * _A)
-        own[i] = float((idf[_feature(h, len(idf))] * tf.astype(np.float64)).sum())
+        own[i] = float((weigh(h) * tf.astype(np.float64)).sum())
         keys.append(np.stack([np.concatenate([h, more]), np.concatenate([h, np.repeat(h[tf > 1], tf[tf > 1] - 1)])]))
         docs.append(np.full(keys[-1].shape[1], i))
     key, doc = np.concatenate(keys, 1), np.concatenate(docs)
     order = np.argsort(key[0], kind="stable")
     element, doc = key[0][order], doc[order]
-    weight = idf[_feature(key[1][order], len(idf))].astype(np.float64)
+    weight = weigh(key[1][order]).astype(np.float64)
     begin = np.flatnonzero(np.append(True, element[1:] != element[:-1]))
     size = np.diff(np.append(begin, len(element)))
     for many in np.unique(size[size > 1]):
@@ -255,7 +345,7 @@ def shared_weights(sets: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -
     return np.triu(shared, 1), own
 
 
-def _tile_links(table: pa.Table, idf: np.ndarray, threshold: float) -> pa.Table:
+def _tile_links(table: pa.Table, total: int, threshold: float) -> pa.Table:
     """Links within one pair of tiles that join components."""
     names = Names()
     table = table.sort_by([("node", "ascending"), ("tile", "ascending")])
@@ -264,7 +354,10 @@ def _tile_links(table: pa.Table, idf: np.ndarray, threshold: float) -> pa.Table:
     found: tuple[list, list] = ([], [])
     if len(np.unique(label)) > 1:
         sets = [shingles(unpack_text(t), names) for t in table.column("packed").to_pylist()]
-        shared, own = shared_weights(sets, idf)
+        every, first = np.unique(np.concatenate([h for h, _ in sets]), return_index=True)
+        df = np.concatenate([_counts(x) for x in table.column("df").to_pylist()])[first]
+        idf = inverse(df, total)
+        shared, own = shared_weights(sets, lambda h: idf[np.searchsorted(every, h)])
         near = shared >= threshold * (own[:, None] + own[None, :] - shared)
         near &= (shared > 0) & (label[:, None] != label[None, :])
         if len(np.unique(tile)) > 1:  # pairs of one tile are in that tile's own group
@@ -317,15 +410,23 @@ def near_duplicates(
 
     The row with the smallest id of a class is kept.
     """
-    context = docs.sparkSession.sparkContext
-    idf = context.broadcast(inverse_frequencies(docs, text_col))
     numbered = docs.select(
         quoted(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), quoted(text_col).alias("text")
     )
+    blocks = stored_blocks(numbered)
+    total, text_bytes = blocks.agg(
+        F.coalesce(F.sum(F.size("rows")), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))
+    ).first()
     schema = output(
-        numbered, "id", "id", ("row", LongType()), ("digest", BinaryType()), ("keys", ArrayType(LongType()))
+        numbered, "id", "id",
+        ("row", LongType()), ("digest", BinaryType()), ("keys", ArrayType(LongType())), ("df", BinaryType()),
+    )
+    signed = materialize(
+        blocks.join(document_frequencies(blocks, text_bytes), "block", "left")
+        .select("rows", "ids", "digests", "packed", "df")
+        .mapInArrow(lambda b: _signatures(b, total), schema),
+        "signatures",
     )
-    signed = materialize(numbered.mapInArrow(lambda b: _signatures(b, idf), schema), "signatures")
     texts = signed.groupBy("digest").agg(F.min("row").alias("node"))
     members = materialize(
         signed.join(texts, "digest").select("row", "id", "node", F.expr("IF(row = node, keys, null)").alias("keys")),
@@ -340,20 +441,18 @@ def near_duplicates(
     )
     buckets = materialize(sized.join(led, ["band", "key"]), "buckets")
     wanted = buckets.select("node").distinct()
-    # Texts are compressed before they are shuffled, here and with the pairs.
-    fields = {f.name: f for f in numbered.schema.fields}
-    packed_schema = StructType([fields["row"], fields["id"], StructField("packed", BinaryType())])
-    packed = numbered.select("row", "id", "text").mapInArrow(pack_texts, packed_schema)
+    # Texts are compressed where they are shuffled, here and with the pairs.
+    packed = blocks.select(F.inline(F.arrays_zip(F.col("rows").alias("node"), "packed")))
     known = materialize(
-        packed.join(wanted, packed["row"] == wanted["node"]).select("node", "packed"), "candidate-texts"
+        signed.select(F.col("row").alias("node"), "df").join(wanted, "node").join(packed, "node"), "candidate-texts"
     )
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        a = known.select(F.col("node").alias("a"), F.col("packed").alias("packed_a"))
-        b = known.select(F.col("node").alias("b"), F.col("packed").alias("packed_b"))
-        told = pairs.join(b, "b").join(a, "a").select("a", "b", "packed_a", "packed_b")
+        a = known.select(F.col("node").alias("a"), F.col("packed").alias("packed_a"), F.col("df").alias("df_a"))
+        b = known.select(F.col("node").alias("b"), F.col("packed").alias("packed_b"), F.col("df").alias("df_b"))
+        told = pairs.join(b, "b").join(a, "a").select("a", "b", "packed_a", "packed_b", "df_a", "df_b")
         return materialize(
-            told.mapInArrow(lambda x: _tested(x, idf, threshold), "a long, b long"), "verified"
+            told.mapInArrow(lambda x: _tested(x, total, threshold), "a long, b long"), "verified"
         )
 
     def several(links: DataFrame, condition: str) -> DataFrame:
@@ -391,7 +490,6 @@ def near_duplicates(
 
     large = several(links, f"n > {LARGE}")
     if not large.isEmpty():
-        table = idf.value
         tiles = F.expr(f"cast((n + {TILE - 1}) div {TILE} as int)")
         tiled = (
             large.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
@@ -399,11 +497,11 @@ def near_duplicates(
             .join(known, "node")
             .select(
                 "band", "key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
-                "tile", "node", "label", "packed",
+                "tile", "node", "label", "packed", "df",
             )
         )
         joined = tiled.groupBy("band", "key", "low", "high").applyInArrow(
-            lambda t: _tile_links(t, table, threshold), "a long, b long"
+            lambda t: _tile_links(t, total, threshold), "a long, b long"
         )
         links = materialize(links.unionByName(joined.distinct()), "links")
 

@@ -158,6 +158,24 @@ def test_near_duplicates_match_brute_force(spark, tmp_path):
     assert all(got[i].class_size == group.count(group[i]) for i in got)
 
 
+def test_frequencies_are_exact_with_more_shingles_than_any_table_of_features(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    common = words(1004)  # in 30 % of the documents
+    texts = [" ".join([*common, *words(36)]) for _ in range(2)]
+    texts += [" ".join([*common, *words(2000)]) for _ in range(118)]
+    texts += [" ".join(words(2500)) for _ in range(280)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table.repartition(3).write.parquet(str(tmp_path / "t"))
+    sets = [Counter(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    df = Counter(k for s in sets for k in s)
+    assert len(df) > 3 * (1 << 18)
+    idf = {k: math.log1p(len(texts) / n) for k, n in df.items()}
+    assert 0.76 < weighted_jaccard(sets[0], sets[1], idf) < 0.79
+    got = {r.id: r.class_id for r in minhash_dedup.near_duplicates(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    assert all(got[i] == i for i in range(len(texts)))
+
+
 def test_samples_agree_as_often_as_the_sets_are_similar():
     rng = np.random.default_rng(3)
     h = np.unique(rng.integers(0, 1 << 63, 900, dtype=np.int64).view(np.uint64))

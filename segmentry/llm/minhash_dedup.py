@@ -404,15 +404,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+    row_col: str | None = None,
 ) -> DataFrame:
     """``row, id, class_id, class_size, kept`` of every row of ``docs``.
 
-    The row with the smallest id of a class is kept.
+    The row with the smallest id of a class is kept. ``row_col`` has the row numbers;
+    without it rows are numbered as they are written.
     """
-    numbered = docs.select(
-        quoted(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), quoted(text_col).alias("text")
-    )
+    row = F.monotonically_increasing_id() if row_col is None else quoted(row_col)
+    numbered = docs.select(quoted(id_col).alias("id"), row.alias("row"), quoted(text_col).alias("text"))
     blocks = stored_blocks(numbered)
     total, text_bytes = blocks.agg(
         F.coalesce(F.sum(F.size("rows")), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))
@@ -522,12 +526,10 @@ def drop_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """``docs`` with all its columns, the row with the smallest id of each class."""
-    gone = materialize(
-        near_duplicates(docs, id_col, text_col, threshold).where("NOT kept").select("row"), "near-copies"
-    )
     row = free_name(docs, "row")
-    return (
-        docs.withColumn(row, F.monotonically_increasing_id())
-        .join(gone.withColumnRenamed("row", row), row, "left_anti")
-        .drop(row)
+    # Numbered once, in a written copy: a second numbering may differ.
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", "zstd")
+    gone = materialize(
+        near_duplicates(numbered, id_col, text_col, threshold, row).where("NOT kept").select("row"), "near-copies"
     )
+    return numbered.join(gone.withColumnRenamed("row", row), row, "left_anti").drop(row)

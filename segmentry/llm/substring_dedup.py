@@ -25,8 +25,7 @@ Defined cases: a null text has no words; words are compared as they are; a docum
 shorter than a window keeps all its words; a window that starts twice in one document,
 overlapping itself too, is a repeat; rows that repeat are repeats of each other; an
 empty table gives an empty result; columns other than the id and text are not read.
-The input is read more than once and must give its rows in the same order each time,
-as stored tables do.
+The documents are numbered and written once, and all later jobs read that table.
 """
 
 from __future__ import annotations
@@ -198,12 +197,8 @@ def _groups(texts: Iterator[str | None], names: Names) -> Iterator[tuple[list[in
         yield held, np.concatenate(parts), np.repeat(np.arange(len(parts)), list(map(len, parts)))
 
 
-def _texts(column: pa.Array) -> Iterator[str | None]:
-    return (x.as_py() for x in column)
-
-
 def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, id, text) with the text compressed: it is shuffled once and read twice."""
+    """Rows (row, id, text) with the text compressed: it is written once and read by all jobs."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         packed = [pack((x.as_py() or "").encode()) for x in batch.column(2)]
@@ -225,7 +220,7 @@ def _symbol_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
     names = Names()
     for batch in batches:
         rows = batch.column(0).to_numpy()
-        for numbers, words, doc in _groups(_texts(batch.column(1)), names):
+        for numbers, words, doc in _groups(_unpacked(batch.column(1)), names):
             start, name, place = window_symbols(words, doc, window)
             _, first = np.unique(place, return_index=True)
             owner = rows[np.array(numbers)[doc[start[first]]]] if len(first) else rows[:0]
@@ -286,8 +281,11 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 def repeated_windows(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """The documents (id, text) dealt by row number, and ``row, starts`` of repeats."""
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    fields = {f.name: f for f in numbered.schema.fields}
+    schema = StructType([fields["row"], fields["id"], StructField("packed", BinaryType())])
+    stored = materialize(numbered.mapInArrow(pack_texts, schema), "numbered")
     symbols = materialize(
-        numbered.select("row", "text").mapInArrow(
+        stored.select("row", "packed").mapInArrow(
             lambda b: _symbol_rows(b, window), "name long, row long"
         ),
         "symbols",
@@ -299,9 +297,8 @@ def repeated_windows(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame
         symbols.join(shared, "name").groupBy("row").agg(F.collect_set("name").alias("names")),
         "shared-symbols",
     )
-    fields = {f.name: f for f in numbered.schema.fields}
-    schema = StructType([fields["row"], fields["id"], StructField("packed", BinaryType())])
-    dealt = numbered.mapInArrow(pack_texts, schema).repartition("row")
+    # The inner join below would filter so; said here, both joins use one exchange.
+    dealt = stored.where("row IS NOT NULL").repartition("row")
     windows = (
         dealt.join(wanted, "row")
         .select("row", "id", "packed", "names")

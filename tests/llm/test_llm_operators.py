@@ -543,6 +543,26 @@ def test_windows_of_any_width_over_few_words(spark, tmp_path, window):
     assert [got[i] for i in range(len(texts))] == without_repeats(texts, window)
 
 
+def reshuffled(docs):
+    """``docs`` in another order each time that a job reads it."""
+
+    def shuffled(batches):
+        for batch in batches:
+            yield batch.take(np.random.default_rng().permutation(batch.num_rows))
+
+    return docs.coalesce(1).mapInArrow(shuffled, docs.schema)
+
+
+def test_rows_are_numbered_once(spark):
+    texts = {i: prose(100 + i, 120) for i in range(40)}
+    texts |= {40 + i: texts[i] for i in range(0, 40, 3)}  # copies go, all others stay
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = minhash_dedup.drop_near_copies(reshuffled(table)).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(i, texts[i]) for i in range(40)]
+    got = {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(reshuffled(table)).collect()}
+    assert got == dict(zip(texts, without_repeats(list(texts.values()), 35), strict=True))
+
+
 def test_equal_windows_are_known_by_equal_symbols():
     rng = np.random.default_rng(0)
     words = rng.integers(0, 50, 20_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)

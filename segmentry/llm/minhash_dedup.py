@@ -51,8 +51,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .common import free_name, materialize, quoted
-from .substring_dedup import Names, unpack_text, words_of
 from .tokens import output
+from .words import Names, unpack_text, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8

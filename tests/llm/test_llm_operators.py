@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -563,17 +564,38 @@ def test_rows_are_numbered_once(spark):
     assert got == dict(zip(texts, without_repeats(list(texts.values()), 35), strict=True))
 
 
-def test_equal_windows_are_known_by_equal_symbols():
+def test_rounds_keep_every_repeat_and_settle_the_rest():
+    """Names of all blocks at once: what a bucket gives, without Spark."""
     rng = np.random.default_rng(0)
-    words = rng.integers(0, 50, 20_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for a, b in ((3000, 12_000), (5000, 15_500)):
-        words[b : b + 80] = words[a : a + 80]
-    start, name, place = substring_dedup.window_symbols(words, np.zeros(len(words), np.int64))
-    assert (start == np.arange(len(start))).all()
-    for a, b in ((3000, 12_000), (5000, 15_500)):
-        k = np.arange(80 - 34)
-        assert (name[a + k] == name[b + k]).all()
-        assert (place[a + k] // 16 - a == place[b + k] // 16 - b).all()
+    texts = [rng.integers(1, 60, n) for n in (4000, 0, 30, 9000, 2500)]
+    texts[3][100:180] = texts[0][3000:3080]
+    texts[4][7:47] = texts[3][5000:5040]
+    blocks, window, sd = [texts[:3], texts[3:]], 35, substring_dedup
+    states, left = [], []
+    for part in blocks:
+        names = np.concatenate(part).astype(np.uint64) << np.uint64(30)
+        states.append(sd.first_state(names, np.array([len(x) for x in part]), window))
+    for turn in range(1, 6):
+        asked = [sd.new_symbols(s, turn) for s in states]
+        both = [np.concatenate([x[i] for x in asked]) for i in (0, 1)]
+        h, _, at = sd.distinct(*both)
+        again = np.bincount(at, minlength=len(h)) > 1
+        rank = dict(zip(h.tolist(), (np.cumsum(again) * again).tolist(), strict=True))
+        for k, (s, pair) in enumerate(zip(states, asked, strict=True)):
+            told = np.array([rank[x] for x in sd.distinct(*pair)[0].tolist()], np.uint64)
+            states[k] = sd.after_round(s, turn, told, 64, window)
+        left.append(sum(len(s.win) for s in states))
+    assert left == sorted(left, reverse=True) and left[-1] < 300
+    assert {*range(3000, 3046)} <= {*states[0].win.tolist()}
+    assert {*range(100, 146), *range(5000, 5006), *range(9008, 9014)} <= {*states[1].win.tolist()}
+
+
+def test_words_are_the_pattern_s():
+    texts = [" a  b\tc\n", "", "  ", None, "\x0ba\x0cb\x1cc\x85d\xa0e\u2003f", "é\r\nü "]
+    flat, n = substring_dedup.words_in(pa.array(texts))
+    expected = [(t or "").encode().split() for t in texts]
+    assert [w.encode() for w in flat.to_pylist()] == sum(expected, [])
+    assert n.tolist() == [len(w) for w in expected]
 
 
 # -- language model --------------------------------------------------------------------

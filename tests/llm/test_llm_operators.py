@@ -89,7 +89,7 @@ def test_exact_groups_match_brute_force(docs, rows, keep):
         by[t or ""].append(i)
     pick = min if keep == "smallest" else max
     want = {i: (pick(by[t or ""]), len(by[t or ""])) for i, t, *_ in rows}
-    got = exact_dedup.exact_groups(docs, keep=keep, depth=5, fan_in_bits=2).collect()
+    got = exact_dedup.exact_groups(docs, keep=keep, rounds=3, slice_size=4).collect()
     assert {r.id: (r.keep_id, r.group_size) for r in got} == want and len(got) == len(rows)
     assert all(r.kept == (r.id == r.keep_id) for r in got)
     texts = {i: (t or "") for i, t, *_ in rows}
@@ -109,14 +109,37 @@ def test_exact_dedup_of_repeated_rows_null_ids_and_other_columns(spark, clashing
     assert out.columns == clashing.columns and out.count() == len({t or "" for t in (r.text for r in clashing.collect())})
 
 
-def test_runs_of_any_depth_merge_to_the_same_entries(docs):
+def test_trees_of_any_shape_merge_to_the_same_entries(docs):
     found = [
-        {(r.id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs, depth=d, fan_in_bits=b).collect()}
-        for d, b in ((1, 1), (4, 1), (6, 3))
+        {(r.id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs, rounds=r, slice_size=s).collect()}
+        for r, s in ((1, 1), (2, 8192), (5, 3))
     ]
     assert found[0] == found[1] == found[2]
 
 
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_every_level_holds_sorted_verified_runs(spark, keep):
+    """64 runs to 8 to 1; two texts that the digest confuses stay apart at each level."""
+    rng = random.Random(3)
+    made = [(i, 10 * i, i % 64, *((b"same", b"%d" % (i % 2)) if i < 9 else (b"%d" % rng.randint(0, 40), b"c"))) for i in range(600)]
+    rows = spark.createDataFrame(made, "id long, row long, part int, digest binary, check binary")
+    runs = exact_dedup.first_runs(rows, keep, 3)
+    pick = min if keep == "smallest" else max
+    want = defaultdict(list)
+    for i, _, _, digest, check in made:
+        want[digest, check].append(i)
+    for bits, number in ((0, 64), (3, 8), (3, 1)):
+        runs = exact_dedup.merge_round(runs, keep, bits) if bits else runs
+        table = defaultdict(list)
+        for r in sorted(runs.collect(), key=lambda r: (r.run, r["slice"])):
+            table[r.run] += [(bytes(e.digest), bytes(e.check), e.best.id, e.n) for e in r.entries]
+        assert len(table) == number
+        for run in table.values():
+            keys = [e[:2] for e in run]
+            assert keys == sorted(set(keys))
+    assert table[0] == [(*k, pick(v), len(v)) for k, v in sorted(want.items())]
+
+
 # -- near dedup ------------------------------------------------------------------------
 
 

@@ -9,7 +9,9 @@ cue row. A writer stores bytes losslessly as 8-bit PCM samples in such a file.
 Defined cases: null media has no packets and no cues; a file that breaks off or is no
 EBML gives the packets before the fault and then one row with the fault's ``error``;
 empty bytes are such a file; equal payloads give equal files; rows that repeat give
-their rows each time. For the text store, null text is empty text, and text is padded
+their rows each time. Frames of a lace follow one another by the duration that the block
+group or the track gives; without one they share the time of their block. An element
+beyond its parent, and content encodings, are faults. For the text store, null text is empty text, and text is padded
 with zero bytes to a positive multiple of 64.
 """
 
@@ -19,7 +21,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,12 @@ EBML, EBML_DOC_TYPE, SEGMENT, INFO, TIMESTAMP_SCALE = 0x1A45DFA3, 0x4282, 0x1853
 MUXING_APP, WRITING_APP, TRACKS, TRACK_ENTRY, TRACK_NUMBER = 0x4D80, 0x5741, 0x1654AE6B, 0xAE, 0xD7
 TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO, SAMPLING_FREQUENCY = 0x73C5, 0x83, 0x86, 0xE1, 0xB5
 CHANNELS, BIT_DEPTH, CLUSTER, TIMESTAMP, SIMPLE_BLOCK = 0x9F, 0x6264, 0x1F43B675, 0xE7, 0xA3
+DEFAULT_DURATION, BLOCK_DURATION, CONTENT_ENCODINGS = 0x23E383, 0x9B, 0x6D80
 BLOCK_GROUP, BLOCK, REFERENCE_BLOCK, CUES, CUE_POINT = 0xA0, 0xA1, 0xFB, 0x1C53BB6B, 0xBB
 CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0xB3, 0xB7, 0xF7, 0xF1
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
-MASTERS = {SEGMENT, CLUSTER, BLOCK_GROUP, INFO, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
+MASTERS = {SEGMENT, CLUSTER, BLOCK_GROUP, INFO, TRACKS, TRACK_ENTRY, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
 #: Elements that end a cluster or segment of unknown size.
 TOP = {SEGMENT, INFO, TRACKS, CLUSTER, CUES, EBML}
 
@@ -129,7 +132,10 @@ def parse(data: bytes) -> Iterator[Packet | Cue]:
     scale, base, cluster, segment, track = SCALE, 0, -1, 0, 0
     cue: dict[int, int] = {}
     seen_header = False
-    group_end, reference, held = -1, False, []
+    group_end, reference, held, lasts = -1, False, [], 0
+    entry: dict[int, int] = {}
+    steps: dict[int, int] = {}  # nanoseconds a frame, by track
+    parents: list[int] = []  # where the elements around this place end
     if not total:
         raise Malformed("no bytes")
 
@@ -140,39 +146,52 @@ def parse(data: bytes) -> Iterator[Packet | Cue]:
         (relative,), flags = struct.unpack_from(">h", data, p), data[p + 2]
         lacing = flags >> 1 & 3
         sizes, p = _lace_sizes(data, p + 3, end, lacing)
-        found, time = [], (base + relative) * scale
-        for size in sizes:
+        found, time, step = [], (base + relative) * scale, steps.get(number or 0, 0)
+        for k, size in enumerate(sizes):
             found.append(
-                Packet(number or 0, time, cluster, p, size, lacing, bool(flags & 0x80) and simple)
+                Packet(number or 0, time + k * step, cluster, p, size, lacing, bool(flags & 0x80) and simple)
             )
             p += size
         return found
 
+    def group() -> Iterator[Packet]:
+        """The frames of a block group; its duration goes before the track's."""
+        for k, p in enumerate(held):
+            time = held[0].timestamp + k * lasts // len(held) if lasts else p.timestamp
+            yield replace(p, timestamp=time, keyframe=not reference)
+
     while at < total:
         if group_end >= 0 and at >= group_end:
-            yield from (Packet(*p[:6], not reference) for p in held)
-            group_end, reference, held = -1, False, []
+            yield from group()
+            group_end, reference, held, lasts = -1, False, [], 0
+        while parents and at >= parents[-1]:
+            parents.pop()
+        limit = parents[-1] if parents else total
         start = at
         ident, at = read_number(data, at, keep_marker=True)
         size, at = read_number(data, at)
-        end = total if size is None else at + size
+        end = limit if size is None else at + size
         if size is None and ident not in TOP:
             raise Malformed(f"unknown size at {start}")
-        if end > total:
-            raise Malformed(f"element beyond the file at {start}")
+        if end > limit:
+            raise Malformed(f"element beyond {'its parent' if parents else 'the file'} at {start}")
         if not seen_header:
             if ident != EBML:
                 raise Malformed("no EBML header")
             seen_header = True
+        if ident in MASTERS:
+            parents.append(end)
         if ident == SEGMENT:
             segment = at
         elif ident == CLUSTER:
             cluster, base = cluster + 1, 0
         elif ident == BLOCK_GROUP:
-            group_end, reference, held = end, False, []
+            group_end, reference, held, lasts = end, False, [], 0
         elif ident in MASTERS:
             if ident == CUE_POINT:
                 cue = {}
+            elif ident == TRACK_ENTRY:
+                entry = {}
         else:
             if ident == TIMESTAMP_SCALE:
                 scale = int.from_bytes(data[at:end], "big")
@@ -181,10 +200,15 @@ def parse(data: bytes) -> Iterator[Packet | Cue]:
             elif ident == SIMPLE_BLOCK:
                 yield from block(at, end, True)
             elif ident == BLOCK:
-                held = [
-                    (p.track, p.timestamp, p.cluster, p.start, p.length, p.lacing)
-                    for p in block(at, end, False)
-                ]
+                held = block(at, end, False)
+            elif ident == BLOCK_DURATION:
+                lasts = int.from_bytes(data[at:end], "big") * scale
+            elif ident in (TRACK_NUMBER, DEFAULT_DURATION):
+                entry[ident] = int.from_bytes(data[at:end], "big")
+                if len(entry) == 2:
+                    steps[entry[TRACK_NUMBER]] = entry[DEFAULT_DURATION]
+            elif ident == CONTENT_ENCODINGS:
+                raise Malformed(f"content encodings at {start}")
             elif ident == REFERENCE_BLOCK:
                 reference = True
             elif ident in (CUE_TIME, CUE_TRACK, CUE_CLUSTER_POSITION):
@@ -193,7 +217,7 @@ def parse(data: bytes) -> Iterator[Packet | Cue]:
                     track = cue.get(CUE_TRACK, 0)
                     yield Cue(cue.get(CUE_TIME, 0) * scale, track, segment + cue[ident])
             at = end
-    yield from (Packet(*p[:6], not reference) for p in held)
+    yield from group()
 
 
 def _element(ident: int, body: bytes) -> bytes:
@@ -217,6 +241,7 @@ _FRONT = _element(
         _uint(TRACK_NUMBER, 1)
         + _uint(TRACK_UID, 1)
         + _uint(TRACK_TYPE, 2)
+        + _uint(DEFAULT_DURATION, FRAME * 1_000_000_000 // RATE)
         + _element(CODEC_ID, b"A_PCM/INT/LIT")
         + _element(
             AUDIO,

@@ -318,6 +318,11 @@ def test_token_counts_stitch_documents_over_blocks(docs, rows, block_ids):
             at += r.n_tokens + 1
 
 
+def test_ids_too_large_for_the_file_are_an_error(docs):
+    with pytest.raises(Exception, match="too large"):
+        token_counts.document_token_counts(docs, id_bytes=1, end_id=7).collect()
+
+
 def test_token_counts_of_files_with_spans_and_an_open_end(spark, tmp_path):
     rng = random.Random(1)
     sizes = [rng.choice([0, 1, 5, 40]) for _ in range(60)]
@@ -521,6 +526,28 @@ def test_lacing_unknown_sizes_and_block_groups():
     assert [p.keyframe for p in got[-2:]] == [False, True]
 
 
+def test_frames_of_a_lace_follow_by_duration():
+    def element(ident, body):
+        return ident.to_bytes((ident.bit_length() + 7) // 8, "big") + matroska.write_number(len(body)) + body
+
+    track = element(0xAE, element(0x23E383, (20_000_000).to_bytes(4, "big")) + element(0xD7, b"\x01"))
+    laced = matroska.lace([b"ab", b"cd", b"ef"], matroska.FIXED)
+    blocks = element(0xA3, b"\x81\x00\x05\x04" + laced)
+    blocks += element(0xA0, element(0xA1, b"\x81\x00\x64\x04" + laced) + element(0x9B, b"\x1e"))
+    cluster = element(0x1F43B675, element(0xE7, b"\x00") + blocks)
+    head = element(0x1A45DFA3, b"")
+    media = head + element(0x18538067, element(0x1654AE6B, track) + cluster)
+    assert [p.timestamp // 1_000_000 for p in matroska.parse(media)] == [5, 25, 45, 100, 110, 120]
+    times = [p.timestamp for p in matroska.parse(matroska.mux(bytes(5000))) if isinstance(p, matroska.Packet)]
+    assert times == [64_000_000 * k for k in range(10)]
+    beyond = head + element(0x18538067, element(0x1F43B675, b"\xe7\x85\x00")) + bytes(9)
+    with pytest.raises(matroska.Malformed, match="its parent"):
+        list(matroska.parse(beyond))
+    coded = head + element(0x18538067, element(0x1654AE6B, element(0xAE, element(0x6D80, b""))))
+    with pytest.raises(matroska.Malformed, match="encodings"):
+        list(matroska.parse(coded))
+
+
 def test_packet_and_cue_tables_of_broken_media(spark):
     good = matroska.mux(bytes(range(256)) * 40)
     table = spark.createDataFrame(

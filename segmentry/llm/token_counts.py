@@ -10,7 +10,8 @@ over the spans of a file, so no task orders more than one span or one file's spa
 
 Defined cases: a null text is an empty document of 0 tokens; ids after a file's last
 end id are one more document, marked as not ended; a block of no ids, a file of no
-blocks and an empty table give no rows; documents that repeat give one row each.
+blocks and an empty table give no rows; documents that repeat give one row each;
+a token id too large for the file's width is an error, never a smaller id.
 """
 
 from __future__ import annotations
@@ -62,7 +63,10 @@ def _write_flat(
 
     for batch in batches:
         for key, text in zip(batch.column(0), batch.column(1), strict=True):
-            found = np.array(enc.ids(text.as_py() or ""), dtype=kind)
+            found = np.array(enc.ids(text.as_py() or ""), dtype="<u4")
+            if len(found) and int(found.max()) >> (8 * np.dtype(kind).itemsize):
+                raise ValueError(f"id {found.max()} is too large for {kind}; give more id_bytes")
+            found = found.astype(kind)
             held += found.tobytes()
             held += np.array([end_id], dtype=kind).tobytes()
             ids.append(key.as_py())
@@ -213,7 +217,7 @@ def token_counts(
 
 
 def blocks_of_files(binary_files: DataFrame, block_bytes: int = 2 * BLOCK_IDS) -> DataFrame:
-    """Blocks of whole files as Spark's ``binaryFile`` source reads them."""
+    """Blocks of whole files as Spark's ``binaryFile`` source reads them, below 2 GB each."""
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {block_bytes}")))
     return (
         binary_files.where("length > 0")

@@ -27,6 +27,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 WORDS = 8
 BITS_PER_KEY = 16
+#: Parts over which rows without a partner are spread.
+SPREAD = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -102,7 +104,9 @@ def possible_hits(
     for i in range(WORDS):
         mask = _mask(quoted(key), i)
         hit = hit & (F.col(f"w{i}").bitwiseAND(mask) == mask)
-    place = F.coalesce(_block(quoted(key), n_blocks), F.lit(-1))
+    # Rows without a key are in no block, and not all in the same one.
+    nowhere = -1 - F.pmod(F.xxhash64(*map(quoted, keyed.columns)), F.lit(SPREAD))
+    place = F.coalesce(_block(quoted(key), n_blocks), nowhere)
     at = free_name(keyed, "at_block")
     return (
         keyed.withColumn(at, place)
@@ -159,15 +163,21 @@ def judge_urls(
         canonical(url).alias("key"),
     )
     tested = possible_hits(base, "key", blocks, n_blocks, broadcast_bytes)
-    misses = tested.where("NOT possible").withColumn("listed", F.lit(False))
-    hits = (
-        tested.where("possible")
-        .join(keys.withColumnRenamed("key", "entry"), F.col("key") == F.col("entry"), "left")
-        .withColumn("listed", F.col("entry").isNotNull())
-        .drop("entry")
+    # Only possible hits are looked up; all others are spread over the tasks.
+    asked = tested.withColumns(
+        {
+            "probe": F.when(F.col("possible"), F.col("key")),
+            "salt": F.when(F.col("possible"), F.lit(0).cast("long")).otherwise(
+                1 + F.pmod(F.xxhash64("id", "host", "path", "key"), F.lit(SPREAD))
+            ),
+        }
     )
-    ruled = misses.unionByName(hits).withColumn(
-        "by_rule", rule_for(F.col("host"), F.col("path"), rules)
+    entries = keys.select(F.col("key").alias("probe"), F.lit(0).cast("long").alias("salt"), F.lit(True).alias("found"))
+    ruled = asked.join(entries, ["probe", "salt"], "left").withColumns(
+        {
+            "listed": F.coalesce("found", F.lit(False)),
+            "by_rule": rule_for(F.col("host"), F.col("path"), rules),
+        }
     )
     method = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return ruled.select(

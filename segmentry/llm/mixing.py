@@ -81,7 +81,10 @@ def source_plan(
     """``sources`` (source, tokens, n_docs) with ``alpha, weight, budget, epochs, rest``.
 
     ``entropy_share`` is the target entropy as a share of the greatest possible one,
-    the logarithm of the number of sources. ``epochs`` whole permutations are taken,
+    the logarithm of the number of sources. Exponents are searched from 0 to 8 for the
+    entropy, so a lower entropy than 8 gives is not reached, and from 0 to 1 for
+    ``max_epochs``: where ``budget`` is more than so many epochs of all tokens, the limit
+    cannot hold and the mix is in proportion, which repeats least. ``epochs`` whole permutations are taken,
     and ``rest`` tokens of the next.
     """
     all_ = sources.where("tokens > 0").agg(

@@ -27,12 +27,15 @@ def tag_body(line: Column) -> Column:
 
 
 def attributes(body: Column) -> Column:
-    """Attribute list as a map; of a repeated key the last value stays."""
+    """Attribute list as a map; of a repeated key the last value stays.
+
+    Keys are taken as they are written: blanks belong to them.
+    """
     group = [F.regexp_extract_all(body, F.lit(ATTRIBUTE), F.lit(i)) for i in (1, 2, 3)]
     pairs = F.transform(
         F.arrays_zip(group[0].alias("k"), group[1].alias("q"), group[2].alias("b")),
         lambda x: F.struct(
-            F.regexp_replace(x["k"], f"^{BLANK}|{BLANK}$", "").alias("key"),
+            x["k"].alias("key"),
             F.concat(x["q"], x["b"]).alias("value"),
         ),
     )
@@ -133,6 +136,11 @@ def duration_text(seconds: Column) -> Column:
     )
 
 
+def number_text(number: Column) -> Column:
+    """A double in its shortest decimal form, whole ones without a point."""
+    return F.regexp_replace(number.cast("double").cast("string"), r"\.0$", "")
+
+
 def megabits(bandwidth: Column) -> Column:
     return F.concat(fixed(bandwidth / 1_000_000, F.lit(2)), F.lit(" Mbps"))
 

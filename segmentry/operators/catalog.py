@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from segmentry.functions.text import kilobits, megabits
+from segmentry.functions.text import kilobits, megabits, number_text
 
 # Codec names of audio, before the first dot.
 AUDIO_CODECS = ("mp4a", "ac-3", "ec-3", "opus", "vorbis", "flac", "alac")
 
 
+# Fixed value: what stands between the details of a track.
+DETAIL = " · "
+
+
 def codec_list(codecs: Column) -> Column:
     return F.transform(F.split(codecs, ","), lambda c: F.trim(c))
 
@@ -121,23 +125,34 @@ def initial_audio_choice(choices: DataFrame) -> DataFrame:
     return choices.groupBy("playlist_id", "group_id").agg(F.coalesce(first, F.lit(0)).alias("place"))
 
 
-def video_title(track: Column, separator: str = ", ") -> Column:
+def _named(text: Column) -> Column:
+    """Null where the text is empty."""
+    return F.nullif(text, F.lit(""))
+
+
+def video_title(track: Column) -> Column:
     """Size, else name or id; then frame rate and codecs, of a track struct."""
     label = F.when(
         track["width"].isNotNull() & track["height"].isNotNull(),
         F.concat(track["width"], F.lit("x"), track["height"]),
-    ).otherwise(F.coalesce(track["name"], track["id"]))
-    rate = F.concat(track["frame_rate"].cast("string"), F.lit(" fps"))
-    return F.concat_ws(separator, label, rate, _codecs(track))
+    ).otherwise(F.coalesce(_named(track["name"]), track["id"]))
+    rate = F.concat(number_text(track["frame_rate"]), F.lit(" fps"))
+    return F.concat_ws(DETAIL, label, rate, _codecs(track))
+
 
+def video_choice_title(track: Column, bandwidth: Column) -> Column:
+    """Title of a video to choose: the track's, and the bandwidth of its option if known."""
+    return F.concat_ws(DETAIL, F.concat(F.lit("video: "), video_title(track)), megabits(bandwidth))
 
-def audio_title(track: Column, separator: str = ", ") -> Column:
+
+def audio_title(track: Column) -> Column:
     """Name, language or id; then channels, codecs and bandwidth, of a track struct."""
-    label = F.coalesce(track["name"], track["language"], track["id"])
-    named = F.when(track["language"] != label, F.concat(label, F.lit(" ("), track["language"], F.lit(")")))
+    language = _named(track["language"])
+    label = F.coalesce(_named(track["name"]), language, track["id"])
+    named = F.when(language != label, F.concat(label, F.lit(" ("), language, F.lit(")")))
     channels = F.concat(track["channels"].cast("string"), F.lit(" ch"))
     return F.concat_ws(
-        separator, F.coalesce(named, label), channels, _codecs(track), kilobits(track["bandwidth"])
+        DETAIL, F.coalesce(named, label), channels, _codecs(track), kilobits(track["bandwidth"])
     )
 
 
@@ -156,6 +171,36 @@ def option_title(videos: Column, audios: Column, bandwidth: Column) -> Column:
     return F.coalesce(F.nullif(parts, F.lit("")), F.lit("unnamed stream option"))
 
 
+def video_choices(options_: DataFrame) -> DataFrame:
+    """Video tracks to choose from, best option first: ``playlist_id, place, track_id``.
+
+    ``options_``: ``playlist_id, option_index, bandwidth, track_ids``; equal bandwidths
+    keep the order of the options, and of the tracks in them.
+    """
+    at = Window.partitionBy("playlist_id").orderBy(F.desc("bandwidth"), "option_index", "in_option")
+    return (
+        options_.select("playlist_id", "option_index", "bandwidth", F.posexplode("track_ids").alias("in_option", "track_id"))
+        .where(F.col("track_id").startswith("video-"))
+        .select("playlist_id", (F.row_number().over(at) - 1).alias("place"), "option_index", "track_id")
+    )
+
+
+def selected_tracks(options_: DataFrame, tracks_: DataFrame) -> DataFrame:
+    """The tracks of one chosen option of each playlist, with what to fetch for them.
+
+    ``tracks_`` are those of :func:`tracks`; only a playlist's own tracks are joined.
+    """
+    chosen = options_.select("playlist_id", F.posexplode("track_ids").alias("place", "track_id"))
+    return chosen.join(tracks_.select("playlist_id", "track_id", "type", "url"), ["playlist_id", "track_id"])
+
+
+def direct_tracks(playlists: DataFrame) -> DataFrame:
+    """A media playlist that was given itself is one video track of the name ``main``."""
+    return playlists.select(
+        "playlist_id", F.lit("main").alias("track_id"), F.lit("video").alias("type"), F.col("playlist_url").alias("url")
+    )
+
+
 def audio_choices(tracks_: DataFrame) -> DataFrame:
     """Audio tracks of each option, and behind them the choice of none."""
     none = (

@@ -127,7 +127,7 @@ def site_of(first_key: Column, source_path: Column, mode: Column) -> Column:
 
 
 def external_keys_without_explicit(keys: DataFrame, explicit: int) -> DataFrame:
-    """Playlists that cannot start: an external key, or a SAMPLE-AES one, needs one explicit key."""
+    """Playlists that cannot start: an external key needs one explicit key."""
     return keys.groupBy("playlist_id").agg(
         F.when(F.lit(explicit > 1), "more than one explicit key")
         .when(F.bool_or(F.col("key_kind") == "external") & F.lit(explicit == 0), "an external key needs an explicit one")
@@ -146,7 +146,28 @@ def poll_seconds(average: Column) -> Column:
 
 
 def item_seconds(average: Column) -> Column:
-    return F.least(20 * average, F.lit(60.0))
+    """Twenty times the average, at most a minute; a minute where there is no average."""
+    some = F.when(F.isnan(average) | (average == 0), None).otherwise(average)
+    return F.least(20 * some, F.lit(60.0))
+
+
+def sample_aes_faults(segments: DataFrame, explicit: Column) -> DataFrame:
+    """``playlist_id, fault`` of playlists with SAMPLE-AES segments whose explicit keys do
+    not serve: there must be exactly one, of 32 hex digits.
+
+    ``segments`` have ``playlist_id`` and ``encryption``; ``explicit`` is an array of the
+    explicit keys' texts. After each refresh of a live playlist this holds anew.
+    """
+    sound = F.element_at(explicit, 1).rlike("^[0-9a-fA-F]{32}$")
+    fault = F.when(F.size(explicit) != 1, "SAMPLE-AES needs exactly one explicit key").when(
+        ~sound, "a SAMPLE-AES key is not 32 hex digits"
+    )
+    return (
+        segments.where("encryption.method = 'SAMPLE-AES'")
+        .select("playlist_id", fault.alias("fault"))
+        .where("fault IS NOT NULL")
+        .distinct()
+    )
 
 
 def attempt_seconds(attempt: Column, timeout: Column) -> Column:

@@ -178,33 +178,32 @@ def _fault() -> Column:
 
 
 def errors(playlists: DataFrame) -> DataFrame:
-    """``playlist_id, line_no, error``: the first fault of every faulty playlist."""
-    rows = annotated_lines(playlists)
-    at_lines = rows.select("playlist_id", "line_no", _fault().alias("error")).where("error IS NOT NULL")
-    dangling = (
-        rows.groupBy("playlist_id")
+    """``playlist_id, line_no, error``: the first fault of every faulty playlist.
+
+    What a playlist's end leaves open counts behind its last line, so after any line's fault.
+    """
+    ends = (
+        annotated_lines(playlists)
+        .withColumn("error", _fault())
+        .groupBy("playlist_id")
         .agg(
-            F.max("line_no").alias("line_no"),
+            F.min(F.when(F.col("error").isNotNull(), F.struct("line_no", "error"))).alias("first"),
+            (F.max("line_no") + 1).alias("line_no"),
             F.max("end_line").alias("end_line"),
             F.max(F.when(F.col("is_inf") | F.col("is_range"), F.col("line_no"))).alias("last_tag"),
             F.coalesce(F.max(F.when(F.col("is_uri"), F.col("line_no"))), F.lit(-1)).alias("last_uri"),
             F.max(F.col("is_map")).alias("maps"),
             F.max(F.col("is_uri") & (F.col("key.method") == "SAMPLE-AES")).alias("samples"),
         )
-        .select(
-            "playlist_id",
-            (F.col("line_no") + 1).alias("line_no"),
-            F.when(F.col("end_line").isNull() & (F.col("last_tag") > F.col("last_uri")), "a tag applies to no segment")
-            .when(F.col("maps") & F.col("samples"), "an initialization is SAMPLE-AES encrypted")
-            .alias("error"),
-        )
-        .where("error IS NOT NULL")
     )
+    left_open = F.when(
+        F.col("end_line").isNull() & (F.col("last_tag") > F.col("last_uri")), "a tag applies to no segment"
+    ).when(F.col("maps") & F.col("samples"), "an initialization is SAMPLE-AES encrypted")
     return (
-        at_lines.unionByName(dangling)
-        .groupBy("playlist_id")
-        .agg(F.min(F.struct("line_no", "error")).alias("first"))
-        .select("playlist_id", "first.*")
+        ends.withColumn("last", F.when(left_open.isNotNull(), F.struct("line_no", left_open.alias("error"))))
+        .select("playlist_id", F.coalesce("first", "last").alias("fault"))
+        .where("fault IS NOT NULL")
+        .select("playlist_id", "fault.*")
     )
 
 

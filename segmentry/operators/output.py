@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 # File extensions of video containers.
 VIDEO_EXTENSIONS = (
-    "3g2", "3gp", "asf", "avi", "f4v", "flv", "m2ts", "m4v", "mkv", "mov", "mp4",
-    "mpeg", "mpg", "mts", "mxf", "ogv", "rm", "rmvb", "ts", "webm", "wmv",
+    "3g2", "3gp", "asf", "avi", "flv", "m2ts", "m4v", "mkv", "mov", "mp4", "mpe",
+    "mpeg", "mpg", "mts", "ogv", "rm", "rmvb", "ts", "vob", "webm", "wmv",
 )
 
 
@@ -66,10 +66,27 @@ def output_paths(run_rows: DataFrame, base: Column, extension: str) -> DataFrame
     return run_rows.withColumn("path", F.when(one, F.concat(base, F.lit(f".{extension}"))).otherwise(numbered))
 
 
+def joined_path(path: Column) -> Column:
+    """A path without empty and ``.`` parts, and without parts that ``..`` leaves again."""
+    rooted = path.startswith("/")
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    none = F.array().cast("array<string>")
+
+    def step(kept: Column, p: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        back = (p == "..") & last.isNotNull() & (last != "..")
+        lost = (p == "..") & last.isNull() & rooted
+        return F.when(back, F.slice(kept, 1, F.size(kept) - 1)).when(lost, kept).otherwise(F.concat(kept, F.array(p)))
+
+    return F.concat(F.when(rooted, "/").otherwise(""), F.array_join(F.aggregate(parts, none, step), "/"))
+
+
 def output_base(path: Column) -> Column:
-    """The path without its extension, if that is one of a video container."""
-    extension = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
-    return F.when(extension.isin(*VIDEO_EXTENSIONS), F.regexp_replace(path, r"\.[^./\\]+$", "")).otherwise(path)
+    """The path without its extension, if that is one of a video container. Other paths
+    stay as they are written; a name of which all is behind its only dot has no extension."""
+    extension = F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
+    bare = joined_path(F.regexp_replace(path, r"\.[^./]+$", ""))
+    return F.when(extension.isin(*VIDEO_EXTENSIONS), bare).otherwise(path)
 
 
 def container_path(base: Column, track_id: Column, extension: Column, several: Column) -> Column:
@@ -92,6 +109,39 @@ def free_path(paths: DataFrame, existing: DataFrame, now_ms: int) -> DataFrame:
     )
 
 
+def kept_items(rows: DataFrame) -> DataFrame:
+    """Without merging: ``track_id, track_index, filename`` of the ready items, in no
+    artifact; a caller writes them partitioned by track."""
+    return rows.where("status = 'ready'").select("track_id", "track_index", "filename")
+
+
+def ordered_paths(run_paths: DataFrame, tracks: DataFrame) -> DataFrame:
+    """``place, path``: all outputs, by the declared order of tracks and then by run.
+
+    Outputs are counted by track and numbered within it, so only the tracks, which are
+    few, are ordered as a whole.
+    """
+    counts = run_paths.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("track_ord").rowsBetween(Window.unboundedPreceding, -1)
+    first = tracks.join(counts, "track_id").select(
+        "track_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
+    )
+    at = Window.partitionBy("track_id").orderBy("run")
+    return run_paths.join(first, "track_id").select(
+        (F.col("first") + F.row_number().over(at) - 1).alias("place"), "track_id", "path"
+    )
+
+
+def snapshot(progress: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Progress of every track beside its outputs; ``fault`` where a track has no output state."""
+    held = outputs.withColumn("known", F.lit(True))
+    return (
+        progress.join(held, "track_id", "left")
+        .withColumn("fault", F.when(F.col("known").isNull(), "a track has no output state"))
+        .drop("known")
+    )
+
+
 def mux_plan(artifacts: DataFrame, group: str) -> DataFrame:
     """Whether the artifacts of a group are muxed: a video, an audio, and one path each.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from segmentry.functions.text import duration_text
+from segmentry.functions.text import duration_text, fixed
 
 ATTEMPTS = 5
 TRACK_ID = r"^[A-Za-z0-9][A-Za-z0-9_-]{0,63}$"
@@ -151,8 +151,37 @@ def session_status(state: Column, cancelled: Column, merging: Column) -> Column:
     )
 
 
-def failure_reason(code: Column, http_status: Column, message: Column) -> Column:
-    return F.coalesce(code, http_status.cast("string"), message, F.lit("UNKNOWN"))
+def failure_reason(
+    code: Column, http_status: Column, message: Column, status_text: Column | None = None, kind: Column | None = None
+) -> Column:
+    """Code, else HTTP status with its text, else message, else the error's kind."""
+    text = F.coalesce(status_text if status_text is not None else F.lit(""), F.lit(""))
+    words = F.trim(F.concat_ws(" ", http_status.cast("string"), text))
+    return F.coalesce(
+        F.nullif(code, F.lit("")),
+        F.when(http_status.isNotNull(), words),
+        F.nullif(message, F.lit("")),
+        *([kind] if kind is not None else []),
+        F.lit("UNKNOWN"),
+    )
+
+
+def rates(progress_: DataFrame, seconds: Column) -> DataFrame:
+    """Progress with items and seconds of media for each second, as texts of two places."""
+    return progress_.select(
+        "*",
+        fixed(F.col("successful") / seconds, F.lit(2)).alias("chunks_per_second"),
+        fixed(F.col("successful_duration") / seconds, F.lit(2)).alias("media_per_second"),
+    )
+
+
+def admitted(outcomes_: DataFrame) -> DataFrame:
+    """One outcome for each place of a track, the earliest by ``arrival``: later ones never
+    reach the counters."""
+    names = ["track_id", "track_index"]
+    rest = [c for c in outcomes_.columns if c not in names]
+    first = F.min_by(F.struct(*rest), F.col("arrival"))
+    return outcomes_.groupBy(*names).agg(first.alias("first")).select(*names, "first.*")
 
 
 def normalized_config(config: DataFrame) -> DataFrame:

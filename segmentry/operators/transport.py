@@ -9,7 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from segmentry.functions.binary import byte_at, part
@@ -96,11 +96,29 @@ def units(rows: DataFrame) -> DataFrame:
     )
 
 
-def section(payload: Column) -> Column:
-    """A table section of one packet: from its table id to its length's end."""
+def section(payload: Column, table: int) -> Column:
+    """A section of one packet, from its table id to its length's end.
+
+    Null where the table is another, or the section is shorter than its check sum or
+    longer than the packet: :func:`section_fault` tells which.
+    """
     at = 1 + byte_at(payload, 0)
     size = byte_at(payload, at + 1).bitwiseAND(F.lit(0x0F)) * 256 + byte_at(payload, at + 2)
-    return F.when(at + 3 + size <= F.octet_length(payload), part(payload, at, size + 3))
+    return F.when(section_fault(payload, table).isNull(), part(payload, at, size + 3))
+
+
+def section_fault(payload: Column, table: int) -> Column:
+    at = 1 + byte_at(payload, 0)
+    size = byte_at(payload, at + 1).bitwiseAND(F.lit(0x0F)) * 256 + byte_at(payload, at + 2)
+    return (
+        F.when(F.coalesce(byte_at(payload, at) != table, F.lit(True)), "a section is of another table")
+        .when(F.coalesce(size < 4, F.lit(True)), "a section is too short")
+        .when(at + 3 + size > F.octet_length(payload), "a section is longer than its packet")
+    )
+
+
+# Table ids of the program association and the program map.
+ASSOCIATION, MAP = 0x00, 0x02
 
 
 def program_map_pids(rows: DataFrame) -> DataFrame:
@@ -110,7 +128,7 @@ def program_map_pids(rows: DataFrame) -> DataFrame:
     entry = 8 + 4 * F.col("k")
     return (
         payloads(rows.where("pid = 0 AND payload_unit_start"))
-        .select("resource_id", "index", section(F.col("payload")).alias("section"))
+        .select("resource_id", "index", section(F.col("payload"), ASSOCIATION).alias("section"))
         .where("section IS NOT NULL")
         .select("resource_id", "index", "section", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).alias("k"))
         .withColumn("k", F.col("k") - 1)
@@ -138,13 +156,62 @@ def stream_entries(sections: pd.Series) -> pd.Series:
     return sections.map(walk)
 
 
+def first_maps(rows: DataFrame) -> DataFrame:
+    """The first packet of each resource's program map."""
+    found = rows.join(program_map_pids(rows), ["resource_id", "pid"]).where("payload_unit_start")
+    first = F.min_by(F.struct(*(c for c in found.columns if c != "resource_id")), F.col("index"))
+    return found.groupBy("resource_id").agg(first.alias("first")).select("resource_id", "first.*")
+
+
+def table_faults(rows: DataFrame) -> DataFrame:
+    """``resource_id, fault`` of resources whose tables cannot be read."""
+    starts = payloads(rows.where("payload_unit_start"))
+    pat = starts.where("pid = 0").select("resource_id", section_fault(F.col("payload"), ASSOCIATION).alias("fault"))
+    pmt = payloads(first_maps(rows)).select("resource_id", section_fault(F.col("payload"), MAP).alias("fault"))
+    return pat.unionByName(pmt).where("fault IS NOT NULL").groupBy("resource_id").agg(F.min("fault").alias("fault"))
+
+
+def protected_packets(rows: DataFrame) -> DataFrame:
+    """Packets of encrypted streams, with what they are: ``stream_type, clear_type``.
+
+    The streams of a resource are a few; the packets stay where they are if those fit
+    a broadcast, else both are dealt by resource and stream.
+    """
+    return rows.join(protected_streams(rows), ["resource_id", "pid"])
+
+
+def capacity(rows: DataFrame) -> DataFrame:
+    """Payload bytes that the packets of a stream hold."""
+    return rows.groupBy("resource_id", "pid").agg(
+        F.count(F.lit(1)).alias("packets"), F.sum(F.octet_length("payload")).alias("bytes")
+    )
+
+
+def elementary(units_: DataFrame) -> DataFrame:
+    """Units with ``header_bytes``, ``declared`` and ``fault`` of their packet header.
+
+    A header is the start code, the stream id, the length of what follows, two bytes of
+    flags and the length of the header's rest. A declared length of 0 means all that is there.
+    """
+    data = F.col("data")
+    declared = byte_at(data, 4) * 256 + byte_at(data, 5)
+    header = 9 + byte_at(data, 8)
+    return units_.withColumns({"declared": declared, "header_bytes": header}).withColumn(
+        "fault",
+        F.when(F.coalesce(part(data, 0, 3) != F.lit(b"\x00\x00\x01"), F.lit(True)), "a unit has no start code")
+        .when(F.coalesce(byte_at(data, 6).bitwiseAND(F.lit(0xC0)) != 0x80, F.lit(True)), "a unit has no header")
+        .when(F.octet_length(data) < header, "a header is longer than its unit")
+        .when((declared > 0) & (declared + 6 != F.octet_length(data)), "a unit has another length than it declares"),
+    )
+
+
 def protected_streams(rows: DataFrame) -> DataFrame:
     """``resource_id, pid, stream_type, clear_type`` of encrypted elementary streams."""
-    maps = rows.join(program_map_pids(rows), ["resource_id", "pid"]).where("payload_unit_start")
+    maps = first_maps(rows)
     types = F.create_map(*(F.lit(x) for pair in CLEAR_TYPES.items() for x in pair))
     return (
         payloads(maps)
-        .select("resource_id", F.explode(stream_entries(section(F.col("payload")))).alias("e"))
+        .select("resource_id", F.explode(stream_entries(section(F.col("payload"), MAP))).alias("e"))
         .select("resource_id", F.col("e.pid").alias("pid"), F.col("e.stream_type").alias("stream_type"))
         .distinct()
         .withColumn("clear_type", F.try_element_at(types, F.col("stream_type")))
@@ -191,6 +258,88 @@ def without_emulation(data: pd.Series) -> pd.Series:
     return data.map(strip)
 
 
+# Bit rates of AC-3 in kbit/s by code, and audio blocks of an E-AC-3 frame by code.
+AC3_RATES = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 448, 512, 576, 640)
+EAC3_BLOCKS = (1, 2, 3, 6)
+
+FRAME_FIELDS = ("start", "length", "header", "stream_type", "substream", "blocks")
+
+
+def _aac(s: bytes, at: int) -> tuple | None:
+    if s[at : at + 1] != b"\xff" or s[at + 1 : at + 2] < b"\xf0" or len(s) < at + 7:
+        return None
+    return (s[at + 3] & 3) << 11 | s[at + 4] << 3 | s[at + 5] >> 5, 9 - 2 * (s[at + 1] & 1), None, None, None
+
+
+def _ac3(s: bytes, at: int) -> tuple | None:
+    rate, code = divmod(s[at + 4], 64) if len(s) >= at + 6 else (3, 0)
+    if s[at : at + 2] != b"\x0bw" or rate == 3 or code // 2 >= len(AC3_RATES):
+        return None
+    # Words of two bytes in 1536 samples at 48, 44.1 and 32 kHz.
+    kbit = AC3_RATES[code // 2]
+    words = {0: 2 * kbit, 1: kbit * 320 // 147 + code % 2, 2: 3 * kbit}[rate]
+    return 2 * words, 0, None, None, None
+
+
+def _eac3(s: bytes, at: int) -> tuple | None:
+    if s[at : at + 2] != b"\x0bw" or len(s) < at + 6:
+        return None
+    head = int.from_bytes(s[at + 2 : at + 5], "big")  # type 2, substream 3, words 11, rate 2, blocks 2
+    blocks = 6 if head >> 6 & 3 == 3 else EAC3_BLOCKS[head >> 4 & 3]
+    return 2 * ((head >> 8 & 0x7FF) + 1), 0, head >> 22, head >> 19 & 7, blocks
+
+
+@F.pandas_udf(
+    StructType([StructField("frames", _pairs(*FRAME_FIELDS)), StructField("fault", StringType())])
+)
+def audio_frames(data: pd.Series, codec: pd.Series) -> pd.DataFrame:
+    """Frames of audio streams (``aac``, ``ac3`` or ``eac3``) up to the first fault.
+
+    ``header`` is the clear bytes in front of a frame; stream type, substream and number
+    of audio blocks are those of E-AC-3.
+    """
+    readers, found, faults = {"aac": _aac, "ac3": _ac3, "eac3": _eac3}, [], []
+    for s, name in zip(data, codec, strict=True):
+        at, frames, fault = 0, [], None
+        while s is not None and at < len(s):
+            frame = readers[name](s, at)
+            if frame is None:
+                fault = f"no {name} frame at {at}"
+            elif frame[0] < max(1, frame[1]) or at + frame[0] > len(s):
+                fault = f"a frame of wrong length at {at}"
+            if fault:
+                break
+            frames.append(dict(zip(FRAME_FIELDS, (at, *frame), strict=True)))
+            at += frame[0]
+        found.append(None if s is None else frames)
+        faults.append(fault)
+    return pd.DataFrame({"frames": found, "fault": faults})
+
+
+def frame_groups(frames: DataFrame) -> DataFrame:
+    """E-AC-3 frames (``resource_id, k`` in order, and their fields) with ``group`` and ``fault``.
+
+    A group has six audio blocks of independent frames of substream 0, and the other
+    frames behind them; its encrypted blocks are one chain.
+    """
+    upto = Window.partitionBy("resource_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    main = (F.col("stream_type") != 1) & (F.col("substream") == 0)
+    own = F.when(main, F.col("blocks")).otherwise(0)
+    whole = Window.partitionBy("resource_id")
+    return (
+        frames.withColumn("upto", F.sum(own).over(upto))
+        .withColumn("all", F.sum(own).over(whole))
+        .withColumn(
+            "fault",
+            F.when(F.col("upto") == 0, "a stream begins with no independent frame")
+            .when(main & ((F.col("upto") - own) % 6 + own > 6), "a group has too many blocks")
+            .when(F.col("all") % 6 != 0, "a group is not whole"),
+        )
+        .withColumn("group", F.when(F.col("upto") > 0, F.expr("(upto - 1) div 6")))
+        .drop("upto", "all")
+    )
+
+
 @F.pandas_udf(_pairs("start", "length"))
 def adts_frames(data: pd.Series) -> pd.Series:
     """Frames of an AAC stream by their 12-bit sync word and 13-bit length."""
@@ -199,7 +348,7 @@ def adts_frames(data: pd.Series) -> pd.Series:
         if s is None:
             return None
         at, found = 0, []
-        while at + 7 <= len(s) and s[at] == 0xFF and s[at + 1] & 0xF6 == 0xF0:
+        while at + 7 <= len(s) and s[at] == 0xFF and s[at + 1] & 0xF0 == 0xF0:
             size = (s[at + 3] & 3) << 11 | s[at + 4] << 3 | s[at + 5] >> 5
             if size < 7 or at + size > len(s):
                 break

@@ -6,6 +6,8 @@ cannot hide in both.
 
 from __future__ import annotations
 
+from segmentry import more_queries
+
 SEGMENT = """
 seg AS (
   SELECT 'u' || user_id AS track_id, user_id, event_id,
@@ -180,8 +182,8 @@ SELECT c_custkey, 'g' || c_nationkey AS audio_group_id FROM customer
 WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)
 """,
     "missing_keys": """
-SELECT p_partkey AS id, p_brand FROM part
-WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')
+SELECT id, p_brand FROM (SELECT p_partkey + p_size % 2 * 1000000000 AS id, p_brand FROM part)
+WHERE id NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')
 """,
     "key_upsert": """
 SELECT event_type || '/' || user_id AS id, arg_max(value, event_id) AS key, max(event_id) AS version
@@ -317,3 +319,4 @@ FROM e WHERE x IS NOT NULL AND event_type <> 'error' AND c <> x
 SELECT doc_id, (strlen(text) // 16 + 1) * 16 AS padded_bytes, true AS same_padded, true AS same_blocks FROM documents
 """,
 }
+ORACLE |= more_queries.ORACLE

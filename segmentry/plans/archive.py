@@ -1,11 +1,13 @@
-"""Plans: a finite playlist from text to items, and outcomes to artifacts."""
+"""Plans: playlists from text to items, items to clear bytes, and outcomes to artifacts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmentry.operators import discovery, media, output, tasks
+from segmentry.functions import binary
+from segmentry.operators import catalog, discovery, master, media, output, tasks
+from segmentry.sources.playlists import byte_ranges
 
 
 def archive_items(playlists: DataFrame, start: float | None = None, end: float | None = None) -> DataFrame:
@@ -31,3 +33,38 @@ def artifacts(outcomes: DataFrame, types: DataFrame) -> DataFrame:
         F.countDistinct("run").alias("paths")
     )
     return types.join(made, "track_id", "left").withColumn("paths", F.coalesce("paths", F.lit(0)))
+
+
+def default_archive(masters: DataFrame, media_playlists: DataFrame) -> DataFrame:
+    """Masters to the items of the tracks of their default option, all in one plan.
+
+    ``media_playlists`` have been fetched; those of the selected tracks are found by URL.
+    """
+    variants_ = master.variants(masters).where("error IS NULL")
+    renditions = master.audio_renditions(masters).where("error IS NULL")
+    chosen = catalog.default_option(catalog.options(variants_, renditions))
+    options_ = catalog.options(variants_, renditions).join(chosen.select("playlist_id", "option_id"), ["playlist_id", "option_id"])
+    selected = catalog.selected_tracks(options_, catalog.tracks(variants_, renditions))
+    found = selected.join(
+        media_playlists.select(F.col("playlist_url").alias("url"), F.col("playlist_id").alias("source"), "content"), "url"
+    ).select(
+        F.to_json(F.struct("playlist_id", "track_id")).alias("playlist_id"), F.col("url").alias("playlist_url"), "content"
+    )
+    key = F.from_json("track_id", "playlist_id string, track_id string")
+    return archive_items(found).withColumn("key", key).withColumns(
+        {"playlist_id": F.col("key.playlist_id"), "track_id": F.col("key.track_id")}
+    ).drop("key")
+
+
+def decrypted_items(items: DataFrame, files: DataFrame, held: DataFrame) -> DataFrame:
+    """Items with ``clear``, their bytes after decryption, or a ``fault``: range, then key,
+    then cipher. Items without encryption are clear as they are."""
+    fetched = byte_ranges(items, files).withColumnRenamed("fault", "range_fault")
+    keyed = discovery.key_lookup(fetched, held)
+    sealed = F.col("encryption").isNotNull()
+    opened = binary.cbc_decrypt(
+        F.col("data"), F.unhex("key"), binary.initial_vector(F.col("encryption.iv"))
+    )
+    return keyed.withColumn("fault", F.coalesce("range_fault", "fault")).withColumn(
+        "clear", F.when(F.col("fault").isNull(), F.when(sealed, opened).otherwise(F.col("data")))
+    )

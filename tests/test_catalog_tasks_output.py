@@ -70,7 +70,7 @@ def test_titles_and_bandwidth(spark):
         catalog.effective_bandwidth(F.lit(0.0), F.array(F.lit(5.0))).alias("zero"),
         catalog.effective_bandwidth(F.lit(None).cast("double"), F.array(F.lit(5.0), F.lit(None).cast("double"))).alias("sum"),
     ).first()
-    assert (row.v, row.a, row.o) == ("1280x720, 29.97 fps, avc1", "One (en), 6 ch, 128 kbps", "video: x | 2.40 Mbps")
+    assert (row.v, row.a, row.o) == ("1280x720 · 29.97 fps · avc1", "One (en) · 6 ch · 128 kbps", "video: x | 2.40 Mbps")
     assert (row.zero, row.sum) == (0.0, 5.0)
 
 
@@ -171,7 +171,9 @@ def test_paths(spark):
     def one(column):
         return spark.range(1).select(column.alias("x")).first().x
 
-    assert [one(output.output_base(F.lit(p))) for p in ("./episode.final.ts", "./episode.release", "./episode.MP4", "a/b")] == ["./episode.final", "./episode.release", "./episode", "a/b"]
+    assert [one(output.output_base(F.lit(p))) for p in ("./episode.final.ts", "./episode.release", "./episode.MP4", "a/b")] == ["episode.final", "./episode.release", "episode", "a/b"]
+    assert all(one(output.output_base(F.lit(f"a/../x/./e.{e.upper()}"))) == "x/e" for e in output.VIDEO_EXTENSIONS)
+    assert [one(output.output_base(F.lit(p))) for p in ("e.mxf", "d/.ts", "/../e.vob", "../e.mpe")] == ["e.mxf", "d/.ts", "/e", "../e"]
     several = [output.container_path(F.lit("o"), F.lit("t1"), F.lit(e), F.lit(m)) for e, m in (("ts", False), ("ts", True), ("T", True))]
     assert [one(c) for c in several] == ["o.ts", "o.t1.ts", None]
     runs = output.runs(outcomes(spark, "RDR")).select("track_id", "run").distinct()

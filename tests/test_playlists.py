@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,27 +143,16 @@ def test_kind_needs_a_tag_not_a_comment_about_it(spark):
     assert [r.kind for r in syntax.playlist_kind(found).orderBy("playlist_id").collect()] == ["media", "master"]
 
 
-def scan(body: str) -> dict:
-    """Attribute list by a character scanner."""
-    out, at = {}, 0
-    while at < len(body):
-        key = ""
-        while at < len(body) and body[at] not in "=,":
-            key += body[at]
-            at += 1
-        value = ""
-        if at < len(body) and body[at] == "=":
-            at += 1
-            if at < len(body) and body[at] == '"':
-                end = body.find('"', at + 1)
-                value, at = (body[at + 1 :], len(body)) if end < 0 else (body[at + 1 : end], end + 1)
-                while at < len(body) and body[at] != ",":
-                    at += 1
-            else:
-                while at < len(body) and body[at] != ",":
-                    value += body[at]
-                    at += 1
-        at += 1
+def scan(body):
+    out = {}
+    while body:
+        key = re.match("[^=,]*", body).group()
+        body, value = body[len(key) :], ""
+        if body.startswith('="'):
+            value, _, body = body[2:].partition('"')
+        elif body.startswith("="):
+            value = body[1:].partition(",")[0]
+        body = body.partition(",")[2]
         if key:
             out[key] = value
     return out
@@ -170,7 +160,7 @@ def scan(body: str) -> dict:
 
 def test_attribute_lists_match_a_scanner(spark):
     rng = random.Random(1)
-    bodies = ["".join(rng.choices('AB="",', k=rng.randint(0, 14))) for _ in range(400)]
+    bodies = ["".join(rng.choices('AB="", ', k=rng.randint(0, 14))) for _ in range(400)]
     rows = spark.createDataFrame(list(enumerate(bodies)), "i int, body string")
     got = {r.i: r.a for r in rows.select("i", text.attributes(F.col("body")).alias("a")).collect()}
     assert [got[i] for i in range(len(bodies))] == [scan(b) for b in bodies]

@@ -1,35 +1,40 @@
 """Scores of texts under a hidden Markov language model.
 
-Tokens are words with A-Z lower-cased, and one end token for each text. The model emits
-token classes: each of the most frequent training tokens is a class of its own, and all
-other tokens share a fixed number of classes by their CRC-32. Within a shared class a
-token has its add-half share of the training counts, so the classes bound the model, and
-only rare tokens need the full count table, which stays a distributed table.
-
-Baum-Welch: in every iteration each task runs the scaled forward and backward recursions
-over its training texts and emits expected counts; Spark sums them over all tasks, and
-the driver turns the sums, whose number is bounded by states and classes, into the next
-model. Scoring is the scaled forward recursion over whole texts, whose scale factors
-multiply to the exact likelihood. Recursions run over many texts at a time, sorted by
-length, so that each step is one small matrix product.
+Tokens are words with A-Z lower-cased, and one end token for each text. Every token of the
+training texts has an emission probability of its own in every state, however rare it is:
+the model grows with the corpus, and no task holds all of it.
+
+Documents are written once as blocks. A block exchanges its distinct tokens with buckets
+for their exact counts. The model of a token is how its count is shared among the states;
+a block keeps the shares of its own tokens, one byte for a state, and those of tokens that
+other blocks have too are summed up in the buckets.
+
+Baum-Welch: in every iteration each block runs the scaled forward and backward recursions
+over its training texts. The expected counts of a token in each state are added over all
+blocks in its bucket, and the blocks get the sums back; the transitions, starts and the
+mass of each state, whose number is fixed, are summed by Spark for the driver. A state's
+emissions are its expected counts and ``PRIOR`` more tokens that occur as in the corpus,
+with an add-half share for a token that training never saw. Scoring is the scaled forward
+recursion over whole texts, whose scale factors multiply to the exact likelihood.
+Recursions run over many texts at a time, sorted by length, so that each step is one small
+matrix product.
 
 The base score is the add-half unigram score from the same counts.
 
 Defined cases: a null or blank text is its end token alone; without any training text
-all counts are 0 and the model is uniform; rows that repeat are scored each; a null id
-is scored and held out of nothing, as its remainder is unknown; an empty table gives an
-empty result; columns other than the id and text are not read.
+all counts are 0 and the model is uniform; rows that repeat are scored each; a row for
+which the training condition is null is scored and not learned from; an empty table gives
+an empty result; columns other than the id and text are not read.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -37,177 +42,38 @@ from pyspark.sql.types import (
     BinaryType,
     BooleanType,
     DoubleType,
-    IntegerType,
     LongType,
-    StringType,
     StructField,
     StructType,
 )
 
-from .common import materialize, quoted
+from .blocks import block_rows, bucket_of, exchanged, pack, spans, unpack, word_list, word_order
+from .common import discard, materialize, quoted
+from .tokens import output
 
-#: The end token; no word holds a line break.
-END = "\n"
-HEAD = 48_000
-SHARED = 1024
 STATES = 8
 ITERATIONS = 4
-#: Pseudo-counts of the class frequencies in each state's emissions.
+#: Tokens that occur as in the corpus, added to the expected counts of each state.
 PRIOR = 20.0
 #: Tokens whose recursions run together.
 TOKENS_AT_ONCE = 1 << 18
+#: Text in a block of documents, and for each bucket of tokens; buckets at least.
+BLOCK_BYTES, BUCKET_BYTES, BUCKETS = 1 << 24, 1 << 24, 64
 
-
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words with A-Z lower-cased; bytes split at ASCII white space only."""
-    return (text or "").encode().lower().split()
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts: Counter = Counter()
-        for text in batch.column(0):
-            counts.update(tokens_of(text.as_py()))
-        words = [w.decode() for w in counts] + [END] * bool(batch.num_rows)
-        n = [*counts.values(), batch.num_rows][: len(words)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.string()), pa.array(n, pa.int64())], ["token", "c"]
-        )
-
-
-def count_tokens(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """``token, c`` over all rows; counted within each task before the shuffle."""
-    return (
-        texts.select(quoted(text_col))
-        .mapInArrow(_count, "token string, c long")
-        .groupBy("token")
-        .agg(F.sum("c").alias("c"))
-    )
-
-
-@dataclass
-class Classes:
-    """Token classes and their add-half statistics; class 0 is the end token."""
-
-    head: dict[bytes, int]
-    head_counts: np.ndarray
-    shared: int
-    shared_counts: np.ndarray
-    shared_kinds: np.ndarray
-    total: int
-    kinds: int
-
-    @property
-    def number(self) -> int:
-        return len(self.head_counts) + self.shared
-
-    def share(self) -> np.ndarray:
-        """Add-half share of every class in the training tokens."""
-        mass = np.concatenate([self.head_counts + 0.5, self.shared_counts + 0.5 * (self.shared_kinds + 1)])
-        return mass / mass.sum()
-
-
-def classes_of(vocabulary: DataFrame, head: int, shared: int) -> Classes:
-    """The most frequent tokens, below ``head`` of them, and the others' sums by class.
-
-    The head ends at a step of a sixteenth of an octave of counts, found from a count of
-    tokens for each step, so no task sends more than the head's tokens to the driver.
-    """
-    kept = vocabulary.where(F.col("token") != END)
-    step = F.floor(F.log2("c") * 16)
-    sizes = sorted(kept.groupBy(step.alias("step")).count().collect(), reverse=True)
-    lowest, room = None, head - 1
-    for at, n in sizes:
-        room -= n
-        if room < 0:
-            break
-        lowest = at
-    top = [] if lowest is None else kept.where(step >= lowest).collect()
-    top.sort(key=lambda r: (-r["c"], r["token"]))
-    total, kinds = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = vocabulary.where(F.col("token") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    counts, each = np.zeros(shared), np.zeros(shared)
-    by_class = kept.groupBy(F.expr(f"crc32(token) % {shared}").alias("k")).agg(F.sum("c"), F.count("*"))
-    for k, c, n in by_class.collect():
-        counts[k], each[k] = c, n
-    for r in top:
-        k = zlib.crc32(r["token"].encode()) % shared
-        counts[k] -= r["c"]
-        each[k] -= 1
-    names = {r["token"].encode(): i + 1 for i, r in enumerate(top)}
-    head_counts = np.array([ends, *(r["c"] for r in top)], float)
-    return Classes(names, head_counts, shared, counts, each, int(total), int(kinds))
-
-
-def _encode(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    c: Classes = shared.value
-    n_head = len(c.head_counts)
-    log_base = np.log10((c.head_counts + 0.5) / (c.total + 0.5 * (c.kinds + 1)))
-    known = (c.head_counts > 0).astype(np.int64)
-    for batch in batches:
-        sizes, seen, base, codes, rare = [], [], [], [], []
-        for text in batch.column(2):
-            words = tokens_of(text.as_py())
-            found = [c.head.get(w, -1) for w in words]
-            found.append(0)
-            ids = np.array(found, np.int64)
-            out = np.flatnonzero(ids < 0)
-            tail: Counter = Counter(words[i] for i in out)
-            for i in out:
-                ids[i] = n_head + zlib.crc32(words[i]) % c.shared
-            own = ids[ids < n_head]
-            sizes.append(len(ids))
-            seen.append(int(known[own].sum()))
-            base.append(float(log_base[own].sum()))
-            codes.append(ids.astype("<u2").tobytes())
-            rare.append([{"token": w.decode(), "tf": n} for w, n in tail.items()])
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                batch.column(1),
-                pa.array(sizes, pa.int64()),
-                pa.array(seen, pa.int64()),
-                pa.array(base, pa.float64()),
-                pa.array(codes, pa.binary()),
-                pa.array(rare, RARE_ARROW),
-                batch.column(3),
-            ],
-            [f.name for f in _encoded_schema(LongType())],
-        )
-
-
-RARE_ARROW = pa.list_(pa.struct([("token", pa.string()), ("tf", pa.int32())]))
-
-
-def _encoded_schema(id_type) -> StructType:
-    rare = StructType([StructField("token", StringType()), StructField("tf", IntegerType())])
-    return StructType(
-        [
-            StructField("id", id_type),
-            StructField("row", LongType()),
-            StructField("n_tokens", LongType()),
-            StructField("head_known", LongType()),
-            StructField("head_base", DoubleType()),
-            StructField("codes", BinaryType()),
-            StructField("rare", ArrayType(rare)),
-            StructField("train", BooleanType()),
-        ]
-    )
+SENT = "bucket int, block long, a binary, b binary, n binary"
+SENT_ARROW = pa.list_(
+    pa.struct([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())])
+)
+EXPECTED = (
+    "block long, shares binary, sums array<double>, sent array<struct<bucket:int,a:binary,b:binary,n:binary>>"
+)
 
 
 @dataclass
 class Hmm:
     start: np.ndarray  # states
     move: np.ndarray  # states x states
-    emit: np.ndarray  # classes x states
-
-
-def first_model(classes: Classes, states: int, seed: int) -> Hmm:
-    """Class shares disturbed for each state, states that last: EM breaks the symmetry."""
-    rng = np.random.default_rng(seed)
-    emit = classes.share()[:, None] * rng.exponential(1.0, (classes.number, states))
-    move = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
-    return Hmm(np.full(states, 1 / states), move, emit / emit.sum(0))
+    emit: np.ndarray  # symbols x states
 
 
 class Packed:
@@ -289,111 +155,325 @@ def _groups(sequences: list[np.ndarray]) -> Iterator[list[int]]:
         yield held
 
 
-def _sequences(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), "<u2") for x in column]
+# Counts ------------------------------------------------------------------------------
 
 
-MOVES, STARTS, LIKELIHOOD = -1, -1000, -2000
+def _send_tokens(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, train, sizes, codes, words) as each bucket's tokens and their counts
+    in training texts."""
+    for batch in batches:
+        for block, train, sizes, codes, words in zip(*batch.columns, strict=True):
+            listed = word_list(words.as_py())
+            if not listed:
+                continue
+            order, h = word_order(listed)
+            taught = np.repeat(train.values.to_numpy(zero_copy_only=False), unpack(sizes.as_py(), "<i8"))
+            n = np.bincount(unpack(codes.as_py(), "<i4")[taught], minlength=len(listed)).astype("<u8")[order]
+            bucket, ranked = bucket_of(h, buckets), [listed[i] for i in order.tolist()]
+            parts = spans(bucket)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([bucket[i] for i, _ in parts], pa.int32()),
+                    pa.array([block.as_py()] * len(parts), pa.int64()),
+                    pa.array([zstandard.compress(b"\n".join(ranked[i:j]), 1) for i, j in parts], pa.binary()),
+                    pa.array([pack(n[i:j]) for i, j in parts], pa.binary()),
+                ],
+                ["bucket", "block", "words", "n"],
+            )
+
+
+def _token_counts(table: pa.Table) -> pa.Table:
+    """Each token's count, then its rank among the bucket's tokens of several blocks or 0.
+
+    ``kinds``, in a bucket's first row, is the number of its tokens that training has.
+    """
+    table = table.sort_by("block")
+    n = [unpack(x, "<u8") for x in table.column("n").to_pylist()]
+    words = [pa.array(word_list(x), pa.binary()) for x in table.column("words").to_pylist()]
+    coded = pa.chunked_array(words).combine_chunks().dictionary_encode()
+    at = coded.indices.to_numpy()
+    every = np.bincount(at, np.concatenate(n), len(coded.dictionary)).astype("<u8")
+    shared = (np.bincount(at, minlength=len(every)) > 1) & (every > 0)
+    rank = (np.cumsum(shared) * shared).astype("<u8")
+    ends = np.cumsum([len(x) for x in n])
+    own = [at[e - len(x) : e] for x, e in zip(n, ends, strict=True)]
+    told = [pack(np.concatenate([every[i], rank[i]])) for i in own]
+    kinds = [int((every > 0).sum()), *[0] * (len(own) - 1)]
+    return pa.table(
+        {
+            "block": table.column("block"), "bucket": table.column("bucket"),
+            "told": pa.array(told, pa.binary()), "kinds": pa.array(kinds, pa.int64()),
+        }
+    )
+
+
+COUNTED = ("block", "ids", "train", "sizes", "codes", "c", "name", "h", "tokens", "texts")
+
+
+def _counted(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks (block, ids, train, sizes, codes, words, told) with what is told of their tokens."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            block, ids, train, sizes, codes, words, told = (batch.column(i)[k] for i in range(7))
+            listed = word_list(words.as_py())
+            c, name, h = np.zeros((3, len(listed)), np.uint64)
+            if listed:
+                order, prints = word_order(listed)
+                parts = [unpack(x.as_py(), "<u8") for x in told.values]
+                c[order] = np.concatenate([x[: len(x) // 2] for x in parts])
+                rank = np.concatenate([x[len(x) // 2 :] for x in parts])
+                bucket = bucket_of(prints, buckets).astype(np.uint64)
+                name[order] = np.where(rank > 0, bucket << np.uint64(32) | rank, np.uint64(0))
+                h[order] = prints
+            taught = train.values.to_numpy(zero_copy_only=False)
+            n = unpack(sizes.as_py(), "<i8")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(i).slice(k, 1) for i in range(5)),
+                    *(pa.array([pack(x)], pa.binary()) for x in (c, name, h)),
+                    pa.array([int((n + 1)[taught].sum())], pa.int64()),
+                    pa.array([int(taught.sum())], pa.int64()),
+                ],
+                list(COUNTED),
+            )
+
+
+# The model ---------------------------------------------------------------------------
 
 
-def _expect(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    m: Hmm = shared.value
-    classes, states = m.emit.shape
-    counts, moves, starts = np.zeros((classes, states)), np.zeros((states, states)), np.zeros(states)
-    likelihood = np.zeros(states)
-    for batch in batches:
-        sequences = _sequences(batch.column(0))
-        for group in _groups(sequences):
-            likelihood[0] += Packed([sequences[i] for i in group]).expected(m, counts, moves, starts)
-    used = np.flatnonzero(counts.any(1))
-    keys = np.concatenate([used, MOVES - np.arange(states), [STARTS, LIKELIHOOD]])
-    values = np.concatenate([counts[used], moves, [starts, likelihood]])
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.int32()), *(pa.array(v) for v in values.T.copy())],
-        ["k", *(f"s{i}" for i in range(states))],
-    )
+@dataclass
+class Model:
+    """What all blocks share of the model; token shares stay in the blocks."""
 
+    start: np.ndarray
+    move: np.ndarray
+    mass: np.ndarray  # expected tokens of each state
+    ends: np.ndarray  # expected end tokens of each state
+    total: int  # training tokens
+    kinds: int  # distinct ones
+    texts: int  # end tokens
+
+    @property
+    def states(self) -> int:
+        return len(self.start)
+
+    def share(self, count: np.ndarray) -> np.ndarray:
+        """Add-half share of tokens in the training tokens."""
+        return (count + 0.5) / (self.total + 0.5 * (self.kinds + 1))
+
+    def hmm(self, count: np.ndarray, shares: np.ndarray) -> Hmm:
+        """The model over a block's tokens, the end token last."""
+        prior = PRIOR * self.share(np.append(count, self.texts))[:, None]
+        emit = np.concatenate([count[:, None] * shares, self.ends[None]]) + prior
+        return Hmm(self.start, self.move, emit / (self.mass + PRIOR))
+
+
+def first_model(total: int, kinds: int, texts: int, states: int) -> Model:
+    """States that last and are alike but for the noise in their tokens' shares."""
+    move = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
+    even = np.full(states, 1 / states)
+    return Model(even, move, total * even, texts * even, total, kinds, texts)
+
+
+def _smoothed(counts: np.ndarray) -> np.ndarray:
+    return (counts + 1) / (counts + 1).sum(-1, keepdims=True)
+
+
+def next_model(m: Model, sums: np.ndarray) -> Model:
+    k = m.states
+    moves, starts, mass, ends = np.split(sums[:-1], np.cumsum([k * k, k, k]))
+    return Model(_smoothed(starts), _smoothed(moves.reshape(k, k)), mass, ends, m.total, m.kinds, m.texts)
+
+
+def noise(h: np.ndarray, states: int) -> np.ndarray:
+    """Shares that depend on the token only, so EM can break the symmetry of the states."""
+    out = np.empty((len(h), states))
+    for k in range(states):
+        u = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        u = (u ^ (u >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        u = (u ^ (u >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = -np.log1p(-((u ^ (u >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53)
+    return out / out.sum(1, keepdims=True)
+
+
+def to_bytes(shares: np.ndarray) -> np.ndarray:
+    """Shares as bytes that go with their square roots, so small ones keep their size."""
+    return np.rint(255 * np.sqrt(shares)).astype(np.uint8)
 
-def _smoothed(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    mass = counts + prior
-    return mass / mass.sum(0)
 
+def of_bytes(stored: np.ndarray) -> np.ndarray:
+    found = np.square(stored.astype(np.float64))
+    return found / found.sum(1, keepdims=True)
 
-def train(
-    encoded: DataFrame, classes: Classes, states: int, iterations: int, seed: int = 7
-) -> tuple[Hmm, list[float]]:
-    """The model after ``iterations`` rounds over all training rows of ``encoded``, and
-    the log10 likelihood of the classes before each of them."""
-    spark = encoded.sparkSession
-    rows, m, path = encoded.where("train").select("codes"), first_model(classes, states, seed), []
-    columns = [f"s{i}" for i in range(states)]
-    schema = ", ".join(["k int", *(f"{c} double" for c in columns)])
-    prior = PRIOR * classes.share()[:, None]
+
+def shared_order(name: np.ndarray) -> np.ndarray:
+    """The tokens of several blocks, in the order of their buckets and ranks."""
+    order = np.argsort(name, kind="stable")
+    return order[np.searchsorted(name[order], 1) :]
+
+
+def _shares(prior: pa.Scalar, told: pa.Scalar, name: np.ndarray, states: int, first: bool) -> np.ndarray:
+    if first:
+        return noise(unpack(prior.as_py(), "<u8"), states)
+    stored = unpack(prior.as_py(), "u1").reshape(-1, states).copy()
+    if told.is_valid:
+        found = np.concatenate([unpack(x.as_py(), "u1") for x in told.values])
+        stored[shared_order(name)] = found.reshape(-1, states)
+    return of_bytes(stored)
+
+
+def sequences_of(codes: np.ndarray, sizes: np.ndarray, end: int) -> list[np.ndarray]:
+    """Each document's tokens, the end token last."""
+    flat = np.insert(codes, np.cumsum(sizes), end)
+    bounds = np.concatenate([[0], np.cumsum(sizes + 1)]).tolist()
+    return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def _expect(batches: Iterator[pa.RecordBatch], m: Model, first: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (block, train, sizes, codes, c, name, prior, told) as the expected counts."""
+    k = m.states
+    for batch in batches:
+        for block, train, sizes, codes, c, name, prior, told in zip(*batch.columns, strict=True):
+            count, names = unpack(c.as_py(), "<u8"), unpack(name.as_py(), "<u8")
+            shares = _shares(prior, told, names, k, first)
+            hmm = m.hmm(count.astype(np.float64), shares)
+            counts, moves, starts, likelihood = np.zeros_like(hmm.emit), np.zeros((k, k)), np.zeros(k), 0.0
+            sequences = sequences_of(unpack(codes.as_py(), "<i4"), unpack(sizes.as_py(), "<i8"), len(count))
+            taught = [s for s, t in zip(sequences, train.values.to_pylist(), strict=True) if t]
+            for group in _groups(taught):
+                likelihood += Packed([taught[i] for i in group]).expected(hmm, counts, moves, starts)
+            own, ends = counts[:-1], counts[-1]
+            n = own.sum(1)
+            seen = n > 0
+            shares[seen] = own[seen] / n[seen, None]
+            stored, order = to_bytes(shares), shared_order(names)
+            rank = names[order]
+            sent = [
+                {
+                    "bucket": int(rank[i] >> np.uint64(32)),
+                    "a": pack((rank[i:j] & np.uint64(0xFFFFFFFF)).astype("<u4")),
+                    "b": pack(stored[order[i:j]].reshape(-1)),
+                    "n": pack(n[order[i:j]].astype("<f4")),
+                }
+                for i, j in spans((rank >> np.uint64(32)).astype(np.int64))
+            ]
+            sums = np.concatenate([moves.ravel(), starts, counts.sum(0), ends, [likelihood]])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([block.as_py()], pa.int64()),
+                    pa.array([pack(stored.reshape(-1))], pa.binary()),
+                    pa.array([sums.tolist()], pa.list_(pa.float64())),
+                    pa.array([sent], SENT_ARROW),
+                ],
+                ["block", "shares", "sums", "sent"],
+            )
+
+
+def _summed(table: pa.Table, states: int) -> pa.Table:
+    """The shares of a bucket's tokens over all blocks, in the order each block sent."""
+    table = table.sort_by("block")
+    ranks = [unpack(x, "<u4").astype(np.int64) - 1 for x in table.column("a").to_pylist()]
+    at = np.concatenate(ranks)
+    n = np.concatenate([unpack(x, "<f4") for x in table.column("n").to_pylist()])
+    shares = of_bytes(np.concatenate([unpack(x, "u1") for x in table.column("b").to_pylist()]).reshape(-1, states))
+    # A token that no text of a block teaches has no say, unless nobody has.
+    weight = n.astype(np.float64) + 1e-9
+    total = np.stack([np.bincount(at, weight * shares[:, k]) for k in range(states)], 1)
+    stored = to_bytes(total / np.maximum(total.sum(1, keepdims=True), 1e-300))
+    told = [pack(stored[r].reshape(-1)) for r in ranks]
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "told": pa.array(told, pa.binary())})
+
+
+def _with_shares(counted: DataFrame, expected: DataFrame | None, states: int) -> DataFrame:
+    """``counted`` with ``prior`` and ``told``: a block's own shares, and the summed ones."""
+    if expected is None:
+        return counted.select("*", F.col("h").alias("prior"), F.lit(None).cast("array<binary>").alias("told"))
+    told = exchanged(expected.select("block", F.inline("sent")), lambda t: _summed(t, states))
+    own = expected.select("block", F.col("shares").alias("prior"))
+    return counted.join(own, "block").join(told, "block", "left")
+
+
+def train(counted: DataFrame, m: Model, iterations: int) -> tuple[Model, DataFrame | None, list[float]]:
+    """The model after ``iterations`` rounds, the blocks' shares with it, and the log10
+    likelihood of the training texts before each round."""
+    expected, path = None, []
     for _ in range(iterations):
-        shared = spark.sparkContext.broadcast(m)
-        sums = (
-            rows.mapInArrow(lambda b, shared=shared: _expect(b, shared), schema)
-            .groupBy("k")
-            .agg(*(F.sum(c).alias(c) for c in columns))
-            .toPandas()
-            .set_index("k")
-        )
-        shared.unpersist()
-        if not len(sums):
+        rows = _with_shares(counted, expected, m.states)
+        first = expected is None
+        after = materialize(
+            rows.select("block", "train", "sizes", "codes", "c", "name", "prior", "told").mapInArrow(
+                lambda b, m=m, first=first: _expect(b, m, first), EXPECTED
+            ),
+            "expected", "none",
+        )
+        if expected is not None:
+            discard(expected)
+        expected = after
+        sums = expected.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+        if not sums:
             break
-        emit = np.zeros_like(m.emit)
-        emit[sums.index[sums.index >= 0]] = sums[sums.index >= 0].to_numpy()
-        moves = np.stack([sums.loc[MOVES - i].to_numpy() for i in range(states)])
-        path.append(float(sums.loc[LIKELIHOOD, "s0"]))
-        m = Hmm(
-            _smoothed(sums.loc[STARTS].to_numpy(), np.ones(states)),
-            _smoothed(moves.T, np.ones((states, states))).T,
-            _smoothed(emit, prior),
-        )
-    return m, path
-
-
-def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    m: Hmm = shared.value
-    last = -1
+        vector = np.array([r.v for r in sorted(sums, key=lambda r: r.i)])
+        path.append(float(vector[-1]))
+        m = next_model(m, vector)
+    return m, expected, path
+
+
+def _score(batches: Iterator[pa.RecordBatch], m: Model, first: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (ids, train, sizes, codes, c, name, prior, told) as one row for each document."""
     for batch in batches:
-        last = batch.num_columns - 1
-        sequences = _sequences(batch.column(last))
-        found = np.zeros(len(sequences))
-        for group in _groups(sequences):
-            found[group] = Packed([sequences[i] for i in group]).log10(m)
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:last], pa.array(found)],
-            [*batch.schema.names[:last], "chain"],
-        )
-
-
-def _rare_sums(encoded: DataFrame, vocabulary: DataFrame, classes: Classes) -> DataFrame:
-    """``row, rare_known, rare_base, rare_share``: sums over a row's rare tokens."""
-    stats = np.stack([classes.shared_counts, classes.shared_kinds], 1).tolist()
-    table = encoded.sparkSession.createDataFrame(
-        [(k, float(c + 0.5 * (n + 1))) for k, (c, n) in enumerate(stats)], "class int, mass double"
-    )
-    counted = vocabulary.select(
-        "token", "c", F.expr(f"cast(crc32(token) % {classes.shared} as int)").alias("class")
-    )
-    tokens = encoded.select("row", F.inline("rare"))
-    whole = float(classes.total + 0.5 * (classes.kinds + 1))
-    joined = tokens.join(counted.select("token", "c"), "token", "left").select(
-        "row",
-        "tf",
-        F.coalesce("c", F.lit(0)).alias("c"),
-        F.expr(f"cast(crc32(token) % {classes.shared} as int)").alias("class"),
+        for j in range(batch.num_rows):
+            ids, train, sizes, codes, c, name, prior, told = (x[j] for x in batch.columns)
+            count, n = unpack(c.as_py(), "<u8").astype(np.float64), unpack(sizes.as_py(), "<i8")
+            words = unpack(codes.as_py(), "<i4")
+            hmm = m.hmm(count, _shares(prior, told, unpack(name.as_py(), "<u8"), m.states, first))
+            sequences = sequences_of(words, n, len(count))
+            score = np.zeros(len(n))
+            for group in _groups(sequences):
+                score[group] = Packed([sequences[i] for i in group]).log10(hmm)
+            doc = np.repeat(np.arange(len(n)), n)
+            known = np.bincount(doc, (count > 0)[words], len(n)).astype(np.int64) + (m.texts > 0)
+            base = np.bincount(doc, np.log10(m.share(count))[words], len(n)) + np.log10(m.share(np.float64(m.texts)))
+            yield pa.RecordBatch.from_arrays(
+                [ids.values, train.values, pa.array(n + 1), pa.array(known), pa.array(base), pa.array(score)],
+                ["id", "train", "n_tokens", "n_known", "base_score", "score"],
+            )
+
+
+def counted_blocks(docs: DataFrame, train_on: Column, id_col: str, text_col: str) -> tuple[DataFrame, int, int, int]:
+    """Blocks with the exact counts of their tokens; training tokens, kinds and texts."""
+    taught = F.coalesce(train_on, F.lit(False))
+    rows = docs.select(quoted(id_col).alias("id"), taught.alias("train"), quoted(text_col).alias("text"))
+    ids = StructField("ids", ArrayType(rows.schema["id"].dataType))
+    lists = [StructField("block", LongType()), ids, StructField("train", ArrayType(BooleanType()))]
+    binary = {n: StructField(n, BinaryType()) for n in ("sizes", "codes", "words", "c", "name", "h")}
+    first = StructType([lists[0], StructField("bytes", LongType()), *lists[1:], *(binary[n] for n in ("sizes", "codes", "words"))])
+    blocks = materialize(rows.mapInArrow(lambda b: block_rows(b, BLOCK_BYTES, 2, lower=True), first), "token-blocks", "none")
+    text_bytes = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    buckets = max(BUCKETS, -(-text_bytes // BUCKET_BYTES))
+    answers = materialize(
+        blocks.select("block", "train", "sizes", "codes", "words")
+        .mapInArrow(lambda b: _send_tokens(b, buckets), "bucket int, block long, words binary, n binary")
+        .groupBy("bucket")
+        .applyInArrow(_token_counts, "block long, bucket int, told binary, kinds long"),
+        "counts", "none",
+    )
+    told = answers.groupBy("block").agg(
+        F.array_sort(F.collect_list(F.struct("bucket", "told"))).getField("told").alias("told")
     )
-    return (
-        joined.join(F.broadcast(table), "class")
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"),
-            F.sum(F.col("tf") * F.log10((F.col("c") + 0.5) / whole)).alias("rare_base"),
-            F.sum(F.col("tf") * F.log10((F.col("c") + 0.5) / F.col("mass"))).alias("rare_share"),
-        )
+    schema = StructType(
+        [*lists, *(binary[n] for n in ("sizes", "codes", "c", "name", "h")), StructField("tokens", LongType()), StructField("texts", LongType())]
     )
+    counted = materialize(
+        blocks.join(told, "block", "left")
+        .select("block", "ids", "train", "sizes", "codes", "words", "told")
+        .mapInArrow(lambda b: _counted(b, buckets), schema),
+        "counted", "none",
+    )
+    zero = F.lit(0).cast("long")
+    total, texts = counted.agg(F.coalesce(F.sum("tokens"), zero), F.coalesce(F.sum("texts"), zero)).first()
+    kinds = answers.agg(F.coalesce(F.sum("kinds"), zero)).first()[0] + (texts > 0)
+    discard(blocks, answers)
+    return counted, int(total), int(kinds), int(texts)
 
 
 def score_documents(
@@ -403,39 +483,21 @@ def score_documents(
     text_col: str = "text",
     states: int = STATES,
     iterations: int = ITERATIONS,
-    head: int = HEAD,
-    shared: int = SHARED,
 ) -> DataFrame:
     """``id, train, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     ``train_on`` is a condition on ``docs``; rows where it holds are learned from.
-    ``head`` plus ``shared`` classes must be below 65,536.
     """
-    spark = docs.sparkSession
-    taught = F.coalesce(train_on, F.lit(False))
-    vocabulary = materialize(count_tokens(docs.where(taught), text_col), "vocabulary")
-    classes = classes_of(vocabulary, head, shared)
-    known = spark.sparkContext.broadcast(classes)
-    encoded = materialize(
-        docs.select(
-            quoted(id_col), F.monotonically_increasing_id(), quoted(text_col), taught
-        ).mapInArrow(lambda b: _encode(b, known), _encoded_schema(docs.schema[id_col].dataType)),
-        "encoded",
-    )
-    model, _ = train(encoded, classes, states, iterations)
-    final = spark.sparkContext.broadcast(model)
-    names = ["id", "row", "n_tokens", "head_known", "head_base", "train", "codes"]
-    rows = encoded.select(names)
-    schema = StructType([*rows.schema.fields[:-1], StructField("chain", DoubleType())])
-    chains = rows.mapInArrow(lambda b: _score(b, final), schema)
-    rare = _rare_sums(encoded, vocabulary, classes)
-    zero = F.lit(0.0)
-    return chains.join(rare, "row", "left").select(
-        "id",
-        "train",
-        "n_tokens",
-        (F.col("head_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(classes.total).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("rare_base", zero)).alias("base_score"),
-        (F.col("chain") + F.coalesce("rare_share", zero)).alias("score"),
+    counted, total, kinds, texts = counted_blocks(docs, train_on, id_col, text_col)
+    m, expected, _ = train(counted, first_model(total, kinds, texts, states), iterations)
+    schema = output(
+        docs, id_col, "id", ("train", BooleanType()), ("n_tokens", LongType()), ("n_known", LongType()),
+        ("base_score", DoubleType()), ("score", DoubleType()),
+    )
+    first = expected is None
+    scored = (
+        _with_shares(counted, expected, states)
+        .select("ids", "train", "sizes", "codes", "c", "name", "prior", "told")
+        .mapInArrow(lambda b: _score(b, m, first), schema)
     )
+    return scored.withColumn("train_tokens", F.lit(total).cast("long"))

@@ -39,13 +39,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
+from .blocks import block_rows, bucket_of, exchanged, pack, spans, unpack, word_list, word_order
 from .common import discard, materialize, quoted
 from .tokens import output
 
@@ -65,66 +64,12 @@ SENT_ARROW = pa.list_(
 STATE = f"block long, start binary, stop binary, name binary, win binary, lo binary, hi binary, names binary, sent {SENT}"
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
-    return zstandard.compress(planes.tobytes(), 1)
-
-
-def unpack(data: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).reshape(-1)
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _B
     h = (h ^ (h >> np.uint64(27))) * _C
     return h ^ (h >> np.uint64(31))
 
 
-# Blocks ------------------------------------------------------------------------------
-
-
-def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of all texts one after another, and how many each text has."""
-    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    flat = split.flatten()
-    real = pc.not_equal(flat, "")
-    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
-    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
-    return flat.filter(real), np.diff(upto[ends])
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text) as one row for each block of documents."""
-    number = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
-        part = (size - 1).clip(0) // BLOCK_BYTES
-        cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        for begin, end in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
-            own = batch.slice(begin, end - begin)
-            flat, n = words_in(own.column(1))
-            words = flat.dictionary_encode()
-            codes = words.indices.to_numpy(zero_copy_only=False).astype("<i4")
-            listed = "\n".join(words.dictionary.to_pylist()).encode()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number], pa.int64()),
-                    pa.array([int(size[end - 1] - (size[begin - 1] if begin else 0))], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own.column(0)),
-                    pa.array([pack(n.astype("<i8"))], pa.binary()),
-                    pa.array([pack(codes)], pa.binary()),
-                    pa.array([zstandard.compress(listed, 3)], pa.binary()),
-                ],
-                ["block", "bytes", "ids", "sizes", "codes", "words"],
-            )
-            number += 1
-
-
 def stored_blocks(pair: DataFrame) -> DataFrame:
     """The documents (id, text), written once: all later jobs read these blocks."""
     schema = StructType(
@@ -137,21 +82,12 @@ def stored_blocks(pair: DataFrame) -> DataFrame:
             StructField("words", BinaryType()),
         ]
     )
-    return materialize(pair.select("id", "text").mapInArrow(_blocks, schema), "blocks", "none")
-
-
-def _listed(packed: bytes) -> list[bytes]:
-    joined = zstandard.decompress(packed)
-    return joined.split(b"\n") if joined else []
+    return materialize(pair.select("id", "text").mapInArrow(lambda b: block_rows(b, BLOCK_BYTES, 1), schema), "blocks", "none")
 
 
 # Exchange with the buckets -----------------------------------------------------------
 
 
-def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-
-
 def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs in order of their fingerprints: those, a place of each, and the
     number of each pair's own among them."""
@@ -163,11 +99,6 @@ def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return found, first, at
 
 
-def _spans(bucket: np.ndarray) -> list[tuple[int, int]]:
-    begin = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    return list(zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)], strict=True))
-
-
 def _sent_pairs(a: np.ndarray, b: np.ndarray, buckets: int) -> list[dict]:
     if not len(a):
         return []
@@ -176,34 +107,28 @@ def _sent_pairs(a: np.ndarray, b: np.ndarray, buckets: int) -> list[dict]:
     a, b = a[first], b[first]
     return [
         {"bucket": int(bucket[i]), "a": pack(a[i:j]), "b": pack(b[i:j]), "n": pack(n[i:j])}
-        for i, j in _spans(bucket)
+        for i, j in spans(bucket)
     ]
 
 
-def _word_order(listed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, listed), np.uint64, len(listed))
-    order = np.argsort(h, kind="stable")
-    return order, h[order]
-
-
 def _send_words(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows (block, codes, words) as rows (bucket, block, a, b, n) of words and counts."""
     for batch in batches:
         for block, codes, words in zip(*batch.columns, strict=True):
-            listed = _listed(words.as_py())
+            listed = word_list(words.as_py())
             if not listed:
                 continue
-            order, h = _word_order(listed)
+            order, h = word_order(listed)
             n = np.bincount(unpack(codes.as_py(), "<i4"), minlength=len(listed)).astype("<u4")[order]
             bucket, ranked = bucket_of(h, buckets), [listed[i] for i in order.tolist()]
-            spans = _spans(bucket)
+            parts = spans(bucket)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([bucket[i] for i, _ in spans], pa.int32()),
-                    pa.array([block.as_py()] * len(spans), pa.int64()),
-                    pa.array([zstandard.compress(b"\n".join(ranked[i:j]), 1) for i, j in spans], pa.binary()),
-                    pa.nulls(len(spans), pa.binary()),
-                    pa.array([pack(n[i:j]) for i, j in spans], pa.binary()),
+                    pa.array([bucket[i] for i, _ in parts], pa.int32()),
+                    pa.array([block.as_py()] * len(parts), pa.int64()),
+                    pa.array([zstandard.compress(b"\n".join(ranked[i:j]), 1) for i, j in parts], pa.binary()),
+                    pa.nulls(len(parts), pa.binary()),
+                    pa.array([pack(n[i:j]) for i, j in parts], pa.binary()),
                 ],
                 ["bucket", "block", "a", "b", "n"],
             )
@@ -215,7 +140,7 @@ def _answers(table: pa.Table) -> pa.Table:
     table = table.sort_by("block")
     n = [unpack(x, "<u4") for x in table.column("n").to_pylist()]
     if table.column("b").null_count:
-        words = [_listed(x) for x in table.column("a").to_pylist()]
+        words = [word_list(x) for x in table.column("a").to_pylist()]
         coded = pa.chunked_array([pa.array(w, pa.binary()) for w in words]).combine_chunks().dictionary_encode()
         kinds, at = len(coded.dictionary), coded.indices.to_numpy()
     else:
@@ -229,17 +154,6 @@ def _answers(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "told": pa.array(told, pa.binary())})
 
 
-def exchanged(sent: DataFrame) -> DataFrame:
-    """``block, told``: the answers to a block's symbols, bucket by bucket."""
-    return (
-        sent.select("bucket", "block", "a", "b", "n")
-        .groupBy("bucket")
-        .applyInArrow(_answers, "block long, bucket int, told binary")
-        .groupBy("block")
-        .agg(F.array_sort(F.collect_list(F.struct("bucket", "told"))).getField("told").alias("told"))
-    )
-
-
 def _told(answers: pa.Scalar) -> np.ndarray:
     if not answers.is_valid:
         return np.zeros(0, np.uint64)
@@ -410,10 +324,10 @@ def _first_states(batches: Iterator[pa.RecordBatch], buckets: int, window: int)
     """Rows (block, sizes, codes, words, told) as states after the words are named."""
     for batch in batches:
         for block, sizes, codes, words, told in zip(*batch.columns, strict=True):
-            listed, rank = _listed(words.as_py()), _told(told)
+            listed, rank = word_list(words.as_py()), _told(told)
             names = np.zeros(len(listed), np.uint64)
             if listed:
-                order, h = _word_order(listed)
+                order, h = word_order(listed)
                 names[order] = global_names(rank, bucket_of(h, buckets), 0)
             s = first_state(names[unpack(codes.as_py(), "<i4")], unpack(sizes.as_py(), "<i8"), window)
             yield _state_row(block.as_py(), s, pack(names), _sent_pairs(*new_symbols(s, 1), buckets))
@@ -497,7 +411,7 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
                 np.add.at(edges, hit + window, -1)
                 kept = np.cumsum(edges[:-1]) == 0
             upto = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(sizes)])]
-            listed = pa.array(_listed(words.as_py()), pa.binary())
+            listed = pa.array(word_list(words.as_py()), pa.binary())
             flat = listed.take(pa.array(codes[kept])) if len(listed) else listed
             texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), flat), b" ")
             yield pa.RecordBatch.from_arrays(
@@ -523,7 +437,7 @@ def recompressed(blocks: DataFrame, buckets: int, window: int, rounds: int) -> t
         lambda b: _send_words(b, buckets), "bucket int, block long, a binary, b binary, n binary"
     )
     state = first = materialize(
-        blocks.join(exchanged(asked), "block", "left")
+        blocks.join(exchanged(asked, _answers), "block", "left")
         .select("block", "sizes", "codes", "words", "told")
         .mapInArrow(lambda b: _first_states(b, buckets, window), STATE),
         "words-named", "none",
@@ -531,7 +445,7 @@ def recompressed(blocks: DataFrame, buckets: int, window: int, rounds: int) -> t
     for turn in range(1, rounds + 1):
         sent = state.select("block", F.inline("sent"))
         after = materialize(
-            state.join(exchanged(sent), "block", "left")
+            state.join(exchanged(sent, _answers), "block", "left")
             .select("block", *FIELDS, "told")
             .mapInArrow(lambda b, turn=turn: _next_states(b, turn, rounds, buckets, window), STATE),
             "round", "none",
@@ -564,7 +478,7 @@ def remove_repeats(
             lambda b: _send_windows(b, buckets, window), "bucket int, block long, a binary, b binary, n binary"
         )
     )
-    told = materialize(exchanged(sent), "repeats")
+    told = materialize(exchanged(sent, _answers), "repeats")
     schema = output(
         pair, "id", "id", ("n_words", LongType()), ("n_removed", LongType()), ("kept_sha256", StringType())
     )

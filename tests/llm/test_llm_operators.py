@@ -16,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segmentry.llm import (
+    blocks,
     exact_dedup,
     hmm_score,
     language_id,
@@ -620,9 +621,9 @@ def test_rounds_keep_every_repeat_and_settle_the_rest():
     texts = [rng.integers(1, 60, n) for n in (4000, 0, 30, 9000, 2500)]
     texts[3][100:180] = texts[0][3000:3080]
     texts[4][7:47] = texts[3][5000:5040]
-    blocks, window, sd = [texts[:3], texts[3:]], 35, substring_dedup
+    parts, window, sd = [texts[:3], texts[3:]], 35, substring_dedup
     states, left = [], []
-    for part in blocks:
+    for part in parts:
         names = np.concatenate(part).astype(np.uint64) << np.uint64(30)
         states.append(sd.first_state(names, np.array([len(x) for x in part]), window))
     for turn in range(1, 6):
@@ -642,7 +643,7 @@ def test_rounds_keep_every_repeat_and_settle_the_rest():
 
 def test_words_are_the_pattern_s():
     texts = [" a  b\tc\n", "", "  ", None, "\x0ba\x0cb\x1cc\x85d\xa0e\u2003f", "é\r\nü "]
-    flat, n = substring_dedup.words_in(pa.array(texts))
+    flat, n = blocks.words_in(pa.array(texts))
     expected = [(t or "").encode().split() for t in texts]
     assert [w.encode() for w in flat.to_pylist()] == sum(expected, [])
     assert n.tolist() == [len(w) for w in expected]
@@ -653,7 +654,7 @@ def test_words_are_the_pattern_s():
 
 def test_base_scores_and_counts_match_brute_force(docs, rows):
     train = F.col("doc_id") % 5 != 1
-    got = {r.id: r for r in hmm_score.score_documents(docs, train, states=3, iterations=2, head=20, shared=8).collect()}
+    got = {r.id: r for r in hmm_score.score_documents(docs, train, states=3, iterations=2).collect()}
     tokens = {i: [*(t or "").encode().lower().split(), b"\n"] for i, t, *_ in rows}
     c = Counter(w for i, ws in tokens.items() if i % 5 != 1 for w in ws)
     n, v = sum(c.values()), len(c)
@@ -694,21 +695,35 @@ def test_recursions_match_sums_over_all_paths():
 
 
 def test_training_raises_the_likelihood(docs):
-    vocabulary = hmm_score.materialize(hmm_score.count_tokens(docs), "v")
-    classes = hmm_score.classes_of(vocabulary, 50, 8)
-    known = docs.sparkSession.sparkContext.broadcast(classes)
-    schema = hmm_score._encoded_schema(docs.schema["doc_id"].dataType)
-    encoded = docs.select("doc_id", F.monotonically_increasing_id(), "text", F.lit(True)).mapInArrow(
-        lambda b: hmm_score._encode(b, known), schema
-    )
-    _, path = hmm_score.train(hmm_score.materialize(encoded, "e"), classes, 4, 5)
-    assert len(path) == 5 and path[-1] > path[0] and path == sorted(path)
+    counted, *n = hmm_score.counted_blocks(docs, F.lit(True), "doc_id", "text")
+    _, _, path = hmm_score.train(counted, hmm_score.first_model(*n, 4), 6)
+    assert len(path) == 6 and path[-1] > path[1] and path[1:] == sorted(path[1:])
+
+
+def test_scores_do_not_depend_on_how_documents_are_dealt(docs, rows, monkeypatch):
+    """Blocks of a few documents each, whose tokens meet in the buckets, against one block."""
+    def scores():
+        found = hmm_score.score_documents(docs.coalesce(1), F.col("doc_id") % 5 != 1, states=3, iterations=3).collect()
+        return {r.id: (r.n_known, r.base_score, r.score) for r in found}
+
+    one = scores()
+    monkeypatch.setattr(hmm_score, "BLOCK_BYTES", 3000)
+    many = scores()
+    for i, *_ in rows:
+        assert many[i][0] == one[i][0] and math.isclose(many[i][1], one[i][1], rel_tol=1e-9)
+        assert math.isclose(many[i][2], one[i][2], rel_tol=0.01)  # shares are bytes
+    assert sum(x for *_, x in many.values()) != 0
+
+
+def test_shares_survive_as_bytes():
+    p = np.array([[0.5, 0.5, 0.0], [0.999, 0.001, 0.0], [1 / 3, 1 / 3, 1 / 3]])
+    assert np.abs(hmm_score.of_bytes(hmm_score.to_bytes(p)) - p).max() < 0.004
 
 
 def test_scores_without_training_texts(docs, empty):
-    got = hmm_score.score_documents(docs, F.lit(False), states=2, iterations=1, head=10, shared=4).collect()
+    got = hmm_score.score_documents(docs, F.lit(False), states=2, iterations=1).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in got)
-    assert hmm_score.score_documents(empty, F.lit(True), states=2, iterations=1, head=10, shared=4).count() == 0
+    assert hmm_score.score_documents(empty, F.lit(True), states=2, iterations=1).count() == 0
 
 
 # -- the cases that all operators share ------------------------------------------------

@@ -2,7 +2,11 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``, which the
 stage before it has kept. All stages but the last return the columns of ``documents``.
-Their defined cases are those of the operators they call.
+
+Defined cases: an empty table gives an empty result of every stage; a null text has no
+letter, so the first stage drops it, and is empty text to the others; of rows that repeat
+one is left after exact dedup; ties go to the smallest id, a null id being the largest;
+texts of any length are read whole; extra columns, of any name, are carried along.
 """
 
 from __future__ import annotations
@@ -22,7 +26,11 @@ MIX = {"entropy_share": 0.97, "max_epochs": 4.0}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labelled texts; documents without a language go."""
+    """Learn from the labelled texts; documents that the model rejects go.
+
+    Those are texts without a letter, and texts that score below 0.25, which is what two
+    equal duels give, one of families and one of languages.
+    """
     return keep_identified(docs, fit(docs))
 
 

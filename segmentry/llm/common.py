@@ -65,13 +65,18 @@ def materialize(df: DataFrame, name: str, compression: str | None = None) -> Dat
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that :func:`materialize` wrote and that no result reads any more."""
+    """Delete the tables that :func:`materialize` wrote and that these read.
+
+    Only for what no result reads any more; files outside the shared folder are left alone.
+    """
     for table in tables:
         context = table.sparkSession.sparkContext
-        for file in table.inputFiles():
-            folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
-            break
+        shared = context._jvm.org.apache.hadoop.fs.Path(shared_dir(table.sparkSession)).toUri().getPath()
+        path = context._jvm.org.apache.hadoop.fs.Path
+        for name in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            folder = path(name)
+            if folder.getParent().toUri().getPath() == shared:
+                folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, quoted
+from .common import discard, free_name, materialize, quoted
 
 #: Distinct digests in a slice of a run, about.
 SLICE = 8192
@@ -167,4 +167,5 @@ def drop_exact_copies(
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", "zstd")
     groups = exact_groups(numbered, id_col, text_col, keep, row_col=row)
     gone = materialize(groups.where("NOT kept").select(F.col("row").alias(row)), "copies")
+    discard(groups)
     return numbered.join(gone, row, "left_anti").drop(row)

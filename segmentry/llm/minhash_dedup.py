@@ -50,7 +50,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import free_name, materialize, quoted
+from .blocks import pack, unpack
+from .common import discard, free_name, materialize, quoted
 from .tokens import output
 from .words import Names, unpack_text, words_of
 
@@ -166,7 +167,7 @@ def _sent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
                 [
                     pa.array(bucket[begin].astype(np.int32)),
                     pa.array([block.as_py()] * len(begin), pa.int64()),
-                    pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()),
+                    pa.array([pack(np.diff(h[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()),
                     pa.array([_packed_counts(n[a:b]) for a, b in spans], pa.binary()),
                 ],
                 ["bucket", "block", "prints", "n"],
@@ -175,7 +176,7 @@ def _sent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
 
 def _bucket_frequencies(table: pa.Table) -> pa.Table:
     """The frequencies of each block's shingles of one bucket, in the order sent."""
-    prints = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("prints")]
+    prints = [np.cumsum(unpack(x.as_py(), "<u8"), dtype=np.uint64) for x in table.column("prints")]
     n = np.concatenate([_counts(x.as_py()) for x in table.column("n")])
     every, at = np.unique(np.concatenate(prints), return_inverse=True)
     df = np.bincount(at, n, len(every)).astype(np.int64)[at]
@@ -397,9 +398,11 @@ def components(links: DataFrame) -> DataFrame:
         after = materialize(
             least.join(up, "label", "left").select("node", F.least("label", "higher").alias("label")), "labels"
         )
-        changed = after.join(labels, ["node", "label"], "left_anti").isEmpty()
+        same = after.join(labels, ["node", "label"], "left_anti").isEmpty()
+        discard(labels)
         labels = after
-        if changed:
+        if same:
+            discard(both)
             return labels
 
 
@@ -425,12 +428,14 @@ def near_duplicates(
         numbered, "id", "id",
         ("row", LongType()), ("digest", BinaryType()), ("keys", ArrayType(LongType())), ("df", BinaryType()),
     )
+    frequencies = materialize(document_frequencies(blocks, text_bytes), "frequencies", "none")
     signed = materialize(
-        blocks.join(document_frequencies(blocks, text_bytes), "block", "left")
+        blocks.join(frequencies, "block", "left")
         .select("rows", "ids", "digests", "packed", "df")
         .mapInArrow(lambda b: _signatures(b, total), schema),
         "signatures",
     )
+    discard(frequencies)
     texts = signed.groupBy("digest").agg(F.min("row").alias("node"))
     members = materialize(
         signed.join(texts, "digest").select("row", "id", "node", F.expr("IF(row = node, keys, null)").alias("keys")),
@@ -444,12 +449,14 @@ def near_duplicates(
         F.max_by("node", F.struct("company", -F.col("node"))).alias("leader")
     )
     buckets = materialize(sized.join(led, ["band", "key"]), "buckets")
+    discard(sized)
     wanted = buckets.select("node").distinct()
     # Texts are compressed where they are shuffled, here and with the pairs.
     packed = blocks.select(F.inline(F.arrays_zip(F.col("rows").alias("node"), "packed")))
     known = materialize(
         signed.select(F.col("row").alias("node"), "df").join(wanted, "node").join(packed, "node"), "candidate-texts"
     )
+    discard(signed, blocks)
 
     def links_of(pairs: DataFrame) -> DataFrame:
         a = known.select(F.col("node").alias("a"), F.col("packed").alias("packed_a"), F.col("df").alias("df_a"))
@@ -510,6 +517,7 @@ def near_duplicates(
         links = materialize(links.unionByName(joined.distinct()), "links")
 
     classes = components(links)
+    discard(known, buckets)
     labelled_rows = (
         members.select("row", "id", "node")
         .join(classes, "node", "left")
@@ -529,7 +537,7 @@ def drop_near_copies(
     row = free_name(docs, "row")
     # Numbered once, in a written copy: a second numbering may differ.
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", "zstd")
-    gone = materialize(
-        near_duplicates(numbered, id_col, text_col, threshold, row).where("NOT kept").select("row"), "near-copies"
-    )
+    classes = near_duplicates(numbered, id_col, text_col, threshold, row)
+    gone = materialize(classes.where("NOT kept").select("row"), "near-copies")
+    discard(classes)
     return numbered.join(gone.withColumnRenamed("row", row), row, "left_anti").drop(row)

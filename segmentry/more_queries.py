@@ -441,12 +441,16 @@ def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, CASE WHEN value = 0 THEN 60.0 ELSE least(20 * value, 60) END AS item, least(5, value) AS poll,
-       least(greatest(event_id % 50 * CASE WHEN value > 0 THEN value ELSE 5 END, 20), 60) AS refresh, least(event_id % 9 * value, 5 * value) AS attempt
-FROM events
+WITH e AS (SELECT event_id, CASE event_id % 40 WHEN 0 THEN 0 WHEN 1 THEN -1 WHEN 2 THEN NULL ELSE value END AS value FROM events),
+s AS (SELECT *, CASE WHEN value > 0 THEN value ELSE 5 END AS sound FROM e)
+SELECT event_id, least(20 * sound, 60) AS item, least(5, sound) AS poll, least(greatest(event_id % 50 * sound, 20), 60) AS refresh,
+       CASE WHEN value IS NOT NULL THEN least(event_id % 9 * value, 5 * value) END AS attempt
+FROM s
 """)
 def timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value, event = F.col("value"), F.col("event_id")
+    """Time limits by the average segment; some averages are zero, negative, or missing."""
+    event = F.col("event_id")
+    value = F.when(event % 40 == 0, 0.0).when(event % 40 == 1, -1.0).when(event % 40 != 2, F.col("value"))
     return b.table(spark, sf_dir, "events").select(
         "event_id",
         discovery.item_seconds(value).alias("item"),

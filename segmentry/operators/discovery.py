@@ -135,39 +135,45 @@ def external_keys_without_explicit(keys: DataFrame, explicit: int) -> DataFrame:
     )
 
 
+def sound_average(average: Column) -> Column:
+    """The average segment of a playlist; five seconds where it is no positive number."""
+    return F.when(F.isnan(average) | average.isNull() | (average <= 0), 5.0).otherwise(average)
+
+
 def refresh_seconds(segments: Column, average: Column) -> Column:
-    """20 to 60 seconds, by the playlist's length; an average that is no number is 5."""
-    mean = F.when(F.isnan(average) | average.isNull() | (average <= 0), 5.0).otherwise(average)
-    return F.least(F.greatest(segments * mean, F.lit(20.0)), F.lit(60.0))
+    """20 to 60 seconds, by the playlist's length."""
+    return F.least(F.greatest(segments * sound_average(average), F.lit(20.0)), F.lit(60.0))
 
 
 def poll_seconds(average: Column) -> Column:
-    return F.least(F.lit(5.0), average)
+    return F.least(F.lit(5.0), sound_average(average))
 
 
 def item_seconds(average: Column) -> Column:
-    """Twenty times the average, at most a minute; a minute where there is no average."""
-    some = F.when(F.isnan(average) | (average == 0), None).otherwise(average)
-    return F.least(20 * some, F.lit(60.0))
+    """Twenty times the average, at most a minute."""
+    return F.least(20 * sound_average(average), F.lit(60.0))
+
+
+def sample_aes_fault(method: Column, explicit: Column) -> Column:
+    """Why a SAMPLE-AES segment cannot be opened: there must be exactly one explicit key, of
+    32 hex digits. ``explicit`` is an array of the explicit keys' texts."""
+    sound = F.element_at(explicit, 1).rlike("^[0-9a-fA-F]{32}$")
+    return F.when(
+        method == "SAMPLE-AES",
+        F.when(F.size(explicit) != 1, "SAMPLE-AES needs exactly one explicit key").when(
+            ~sound, "a SAMPLE-AES key is not 32 hex digits"
+        ),
+    )
 
 
 def sample_aes_faults(segments: DataFrame, explicit: Column) -> DataFrame:
-    """``playlist_id, fault`` of playlists with SAMPLE-AES segments whose explicit keys do
-    not serve: there must be exactly one, of 32 hex digits.
+    """``playlist_id, fault`` of playlists with such segments.
 
-    ``segments`` have ``playlist_id`` and ``encryption``; ``explicit`` is an array of the
-    explicit keys' texts. After each refresh of a live playlist this holds anew.
+    ``segments`` have ``playlist_id`` and ``encryption``. After each refresh of a live
+    playlist this holds anew.
     """
-    sound = F.element_at(explicit, 1).rlike("^[0-9a-fA-F]{32}$")
-    fault = F.when(F.size(explicit) != 1, "SAMPLE-AES needs exactly one explicit key").when(
-        ~sound, "a SAMPLE-AES key is not 32 hex digits"
-    )
-    return (
-        segments.where("encryption.method = 'SAMPLE-AES'")
-        .select("playlist_id", fault.alias("fault"))
-        .where("fault IS NOT NULL")
-        .distinct()
-    )
+    fault = sample_aes_fault(F.col("encryption.method"), explicit)
+    return segments.select("playlist_id", fault.alias("fault")).where("fault IS NOT NULL").distinct()
 
 
 def attempt_seconds(attempt: Column, timeout: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from segmentry.functions.text import attributes, parse_float, parse_int, tag_body
+from segmentry.functions.text import attributes, parse_float, parse_int, tag_body, trimmed
 from segmentry.functions.urls import key_kind, resolve
 from segmentry.operators.syntax import lines
 
@@ -240,6 +240,11 @@ def keys(playlists: DataFrame) -> DataFrame:
     )
 
 
+def has_end_list(content: Column) -> Column:
+    """Whether a playlist's text has the end mark."""
+    return F.coalesce(F.exists(F.split(content, r"\r?\n"), lambda x: trimmed(x).startswith("#EXT-X-ENDLIST")), F.lit(False))
+
+
 def summary(playlists: DataFrame) -> DataFrame:
     """End mark, total duration, segment count, and the average, NaN without segments."""
     rows = annotated_lines(playlists)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from segmentry import more_queries
+from segmentry import more_queries, stream_queries
 from segmentry.functions import binary, text, urls
 from segmentry.operators import catalog, discovery, master, media, output, syntax, tasks, transport
 from segmentry.plans import archive
@@ -394,4 +394,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         config_normalize, time_fold, fan_in, packetize, packet_units, continuity, aes_cbc_roundtrip, crc32_mpeg2,
     )
 }
-QUERIES |= more_queries.QUERIES
+QUERIES |= more_queries.QUERIES | stream_queries.QUERIES

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTCOME = "track_id string, track_index long, status string, payload string"
+#: ``event`` is ``item``, ``ended`` or ``fatal``; the last two have no item.
+FOLLOWED = (
+    "track_id string, refresh long, event string, fault string,"
+    " kind string, identity string, sequence_id long, url string"
+)
 
 
 def first_seen(found: DataFrame) -> DataFrame:
@@ -29,6 +34,18 @@ def merged(streams: list[DataFrame]) -> DataFrame:
     return first
 
 
+def new_keys(found: DataFrame, held: DataFrame) -> DataFrame:
+    """Keys ``id`` that are neither held nor seen before; what is resolved is never dropped."""
+    return found.join(held.select("id"), "id", "left_anti").dropDuplicates(["id"])
+
+
+def poll(average: float | None) -> dict[str, str]:
+    """Arguments of a trigger that polls at a track's pace: its average segment, at most
+    five seconds, and five seconds where there is no sound average."""
+    seconds = min(5.0, average) if average and average > 0 else 5.0
+    return {"processingTime": f"{round(seconds * 1000)} milliseconds"}
+
+
 def live_totals(found: DataFrame) -> DataFrame:
     """Items discovered so far for each track; totals of live tracks are open."""
     return found.groupBy("track_id").agg(F.count(F.lit(1)).alias("total"))
@@ -41,22 +58,34 @@ class ContiguousPrefix(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.next = handle.getValueState("next", "track_index long")
+        self.next = handle.getValueState("next", "track_index long, waiting long")
         self.held = handle.getMapState("held", "track_index long", "status string, payload string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at = self.next.get()[0] if self.next.exists() else 0
+        at, waiting = self.next.get() if self.next.exists() else (0, 0)
+        fresh: dict[int, tuple] = {}
         for frame in rows:
-            for index, status, payload in zip(frame["track_index"], frame["status"], frame["payload"], strict=True):
-                if index >= at and not self.held.containsKey((int(index),)):
-                    self.held.updateValue((int(index),), (status, payload))
+            for index, *outcome in zip(frame["track_index"], frame["status"], frame["payload"], strict=True):
+                if index >= at:
+                    fresh.setdefault(int(index), tuple(outcome))
         ready = []
-        while self.held.containsKey((at,)):
-            status, payload = self.held.getValue((at,))
-            ready.append((key[0], at, status, payload))
-            self.held.removeKey((at,))
+        while True:  # what is held came first; what is due at once is never held
+            if waiting and self.held.containsKey((at,)):
+                outcome = self.held.getValue((at,))
+                self.held.removeKey((at,))
+                waiting -= 1
+            elif at in fresh:
+                outcome = fresh[at]
+            else:
+                break
+            fresh.pop(at, None)
+            ready.append((key[0], at, *outcome))
             at += 1
-        self.next.update((at,))
+        for index, outcome in fresh.items():
+            if not (waiting and self.held.containsKey((index,))):
+                self.held.updateValue((index,), outcome)
+                waiting += 1
+        self.next.update((at, waiting))
         if ready:
             yield pd.DataFrame(ready, columns=["track_id", "track_index", "status", "payload"])
 
@@ -113,3 +142,63 @@ def refresh_policy(refreshes: DataFrame) -> DataFrame:
         .groupBy("track_id")
         .transformWithStateInPandas(Refreshes(), "track_id string, refresh long, verdict string", "Append", "None")
     )
+
+
+class Follow(StatefulProcessor):
+    """A track's refreshes in order: items not seen before, until the track is over.
+
+    A refresh that cannot be used ends the session before the first item; after it, an HTTP
+    fault ends the track and any other is passed over. SAMPLE-AES that the explicit keys do
+    not serve is always fatal. A refresh that comes again, or late, does not count.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "items long, last long, done boolean")
+        self.seen = handle.getMapState("seen", "kind string, identity string", "refresh long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        items, last, done = self.state.get() if self.state.exists() else (0, -1, False)
+        out: list[tuple] = []
+        if done:
+            return
+        rows_ = pd.concat(list(rows), ignore_index=True)
+        rows_ = rows_.where(rows_.notna(), None)
+        here: set[tuple] = set()
+        for refresh, found in rows_.groupby("refresh", sort=True):
+            if done or refresh <= last:
+                continue
+            last = int(refresh)
+            head = found.iloc[0]
+            code = int(head["status"] or 0)
+            reached = 200 <= code < 300
+            fault = head["fault"] if reached else f"status {code}"
+            sealed = found["sealed"].dropna()
+            if reached and not fault and len(sealed):
+                out.append((key[0], last, "fatal", sealed.iloc[0], None, None, None, None))
+                done = True
+            elif fault:
+                done = items == 0 or 400 <= code < 600
+                if done:
+                    event = "fatal" if items == 0 else "ended"
+                    out.append((key[0], last, event, fault, None, None, None, None))
+            else:
+                some = found[found["kind"].notna()].sort_values("item_ord")
+                for kind, identity, sequence_id, url in zip(*(some[c] for c in ("kind", "identity", "sequence_id", "url")), strict=True):
+                    if (kind, identity) in here:
+                        continue
+                    here.add((kind, identity))
+                    if not (items and self.seen.containsKey((kind, identity))):
+                        self.seen.updateValue((kind, identity), (last,))
+                        number = None if pd.isna(sequence_id) else int(sequence_id)
+                        out.append((key[0], last, "item", None, kind, identity, number, url))
+                        items += 1
+                if head["has_end_list"]:
+                    out.append((key[0], last, "ended", None, None, None, None, None))
+                    done = True
+        self.state.update((items, last, bool(done)))
+        if out:
+            frame = pd.DataFrame(out, columns=["track_id", "refresh", "event", "fault", "kind", "identity", "sequence_id", "url"])
+            yield frame.astype({"sequence_id": "Int64"})
+
+    def close(self) -> None:
+        pass

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,6 +68,63 @@ def protected_offsets(length: Column) -> Column:
     )
 
 
+def audio_places(frames: Column) -> Column:
+    """Places of the encrypted blocks of audio frames (``start, length, header``): all whole
+    blocks of a frame behind its header and 16 more bytes."""
+
+    def of_frame(f: Column) -> Column:
+        first = f["start"] + f["header"] + 16
+        blocks = F.floor((f["length"] - f["header"] - 16) / 16).cast("int")
+        return F.when(blocks > 0, F.sequence(first, first + 16 * (blocks - 1), F.lit(16))).otherwise(
+            F.array().cast("array<int>")
+        )
+
+    return F.flatten(F.transform(frames, of_frame))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _changed(data: Column, places: Column, change: Callable[[Column], Column]) -> Column:
+    """``data`` with its blocks at ``places``, which ascend, changed as one run of bytes."""
+
+    def spliced(x: Column) -> Column:
+        data, places = x["data"], x["places"]
+        size = F.octet_length(data)
+
+        def piece(p: Column, k: Column) -> Column:
+            until = F.coalesce(F.try_element_at(places, k + 2), size)
+            return F.concat(F.hex(part(x["blocks"], 16 * k, F.lit(16))), F.hex(part(data, p + 16, until - p - 16)))
+
+        head = part(data, F.lit(0), F.try_element_at(places, F.lit(1)))
+        return F.when(F.size(places) == 0, data).otherwise(
+            F.concat(head, F.unhex(F.array_join(F.transform(places, piece), "")))
+        )
+
+    def changed(x: Column) -> Column:
+        found = F.unhex(F.array_join(F.transform(x["places"], lambda p: F.hex(part(x["data"], p, F.lit(16)))), ""))
+        blocks = _once(found, change)
+        return _once(F.struct(x["data"].alias("data"), x["places"].alias("places"), blocks.alias("blocks")), spliced)
+
+    return _once(F.struct(data.alias("data"), places.alias("places")), changed)
+
+
+def open_blocks(data: Column, places: Column, key: Column, iv: Column) -> Column:
+    """``data`` with its blocks of 16 bytes at ``places`` decrypted as one AES-CBC chain.
+
+    A slice unit is a chain, an AAC or AC-3 frame is one, and so is a whole group of E-AC-3
+    frames. No place leaves the data as it is.
+    """
+    return _changed(data, places, lambda blocks: cbc_decrypt_blocks(blocks, key, iv))
+
+
+def seal_blocks(data: Column, places: Column, key: Column, iv: Column) -> Column:
+    """The inverse of :func:`open_blocks`."""
+    return _changed(data, places, lambda blocks: cbc_encrypt(blocks, key, iv))
+
+
 def inline_key(uri: Column) -> Column:
     """Hex of the bytes of a base64 data URI."""
     return F.lower(F.hex(F.unbase64(F.regexp_extract(uri, r"^data:[^,]*;base64,(.*)$", 1))))

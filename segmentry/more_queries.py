@@ -641,6 +641,49 @@ def protected_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _opened(docs: DataFrame, places: Column) -> DataFrame:
+    """Documents whose ``data`` has been sealed at ``places`` and opened again."""
+    key, iv = F.unhex(F.md5("source")), binary.initial_vector(F.hex("doc_id"))
+    sealed = docs.withColumn("places", places).withColumn("sealed", binary.seal_blocks(F.col("data"), F.col("places"), key, iv))
+    return sealed.withColumn("opened", binary.open_blocks(F.col("sealed"), F.col("places"), key, iv)).select(
+        "doc_id",
+        F.octet_length("sealed").alias("bytes"),
+        F.size("places").alias("blocks"),
+        (F.col("sealed") != F.col("data")).alias("was_sealed"),
+        F.md5("opened").alias("opened_md5"),
+    )
+
+
+@query("""
+SELECT doc_id, n AS bytes, blocks, blocks > 0 AS was_sealed, md5('e' || text) AS opened_md5 FROM (
+  SELECT *, (CASE WHEN n > 48 THEN (n - 49) // 160 + 1 ELSE 0 END)::INTEGER AS blocks
+  FROM (SELECT *, (octet_length(encode(text)) + 1)::INTEGER AS n FROM documents WHERE text IS NOT NULL AND source IS NOT NULL))
+""")
+def opened_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as a slice unit, one block of every ten sealed, and opened again."""
+    docs = b.table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL")
+    docs = docs.withColumn("data", F.concat(F.encode(F.lit("e"), "UTF-8"), F.encode("text", "UTF-8")))
+    return _opened(docs, binary.protected_offsets(F.octet_length("data")))
+
+
+@query("""
+SELECT doc_id, n AS bytes, blocks, blocks > 0 AS was_sealed, md5(text) AS opened_md5 FROM (
+  SELECT *, (greatest(0, n // 3 // 16 - 1) + greatest(0, (n - n // 3 - 9) // 16 - 1))::INTEGER AS blocks
+  FROM (SELECT *, octet_length(encode(text))::INTEGER AS n FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND octet_length(encode(text)) >= 30))
+""")
+def opened_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as two audio frames of one chain, of which the second has a header."""
+    docs = b.table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL").withColumn("data", F.encode("text", "UTF-8"))
+    size = F.octet_length("data")
+    first = F.floor(size / 3).cast("int")
+
+    def frame(start: Column, length: Column, header: int) -> Column:
+        return F.struct(start.alias("start"), length.alias("length"), F.lit(header).alias("header"))
+
+    frames = F.array(frame(F.lit(0), first, 0), frame(first, size - first, 9))
+    return _opened(docs.where(size >= 30), binary.audio_places(frames))
+
+
 def _packet(head: Column, body: Column) -> Column:
     """A packet of four header bytes and a body that is cut or filled up to 188."""
     return F.substring(F.concat(head, body, F.unhex(F.repeat(F.lit("ff"), 188))), 1, 188)

@@ -170,3 +170,42 @@ def test_merged_streams_and_open_totals(spark, tmp_path):
     schema = "track_id string, item int"
     got = run_stream(spark, tmp_path, [[("t", 1)], [("t", 2), ("u", 3)]], schema, lambda s: live.live_totals(live.merged([s, s])), "complete")
     assert {r.track_id: r.total for r in got} == {"t": 4, "u": 2}
+
+
+def test_follow_ends_tracks_and_counts_a_refresh_once(spark, tmp_path):
+    from segmentry.plans import follow
+    from segmentry.streaming import runs
+
+    sealed = '#EXT-X-KEY:METHOD=SAMPLE-AES,URI="skd://k",IV=0x1\n'
+    text = "#EXTM3U\n#EXT-X-MEDIA-SEQUENCE:{}\n#EXTINF:1,\n{}.ts\n"
+    base = "https://h/l.m3u8"
+    first = [("a", 0, 200, base, text.format(5, "x")), ("b", 0, 200, base, "#EXTM3U\n"), ("c", 0, 200, base, text.format(0, "x")), ("d", 0, 200, base, text.format(0, "x"))]
+    second = [
+        ("a", 0, 200, base, text.format(9, "late")), ("a", 1, 200, base, text.format(5, "x") + "#EXTINF:1,\ny.ts\n#EXT-X-ENDLIST"), ("a", 2, 200, base, text.format(7, "z")),
+        ("b", 1, 0, base, None), ("c", 1, 200, base, sealed + text.format(1, "y")), ("d", 1, 302, base, None), ("d", 2, 410, base, None),
+    ]
+    schema = "track_id string, refresh long, status int, playlist_url string, content string"
+    feed, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    for rows in (first, second):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(feed)
+        runs.drain(spark.readStream.schema(schema).parquet(feed), out + "/parsing", follow.write_parsed(out + "/parsed"))
+        parsed = spark.readStream.schema(follow.PARSED).parquet(out + "/parsed/batch-*")
+        got = runs.drained(follow.followed(parsed), out + "/tracks").collect()
+    assert sorted((r.track_id, r.refresh, r.event, r.sequence_id if r.event == "item" else r.fault) for r in got) == sorted(
+        [
+            ("a", 0, "item", 5), ("a", 1, "item", 6), ("a", 1, "ended", None), ("b", 1, "fatal", "status 0"), ("c", 0, "item", 0),
+            ("c", 1, "fatal", "SAMPLE-AES needs exactly one explicit key"), ("d", 0, "item", 0), ("d", 2, "ended", "status 410"),
+        ], key=lambda r: (r[0], r[1], r[2], str(r[3])),
+    )
+    assert live.poll(2.5) == {"processingTime": "2500 milliseconds"} and live.poll(0) == live.poll(None) == {"processingTime": "5000 milliseconds"}
+
+
+def test_sealed_blocks(spark):
+    """A chain over blocks apart from each other is that of the blocks side by side."""
+    df = spark.createDataFrame([(bytearray(range(100)), [10, 26, 60])], "d binary, p array<int>")
+    key, iv = F.unhex(F.lit("000102030405060708090a0b0c0d0e0f")), F.unhex(F.lit("0f" * 16))
+    sealed = binary.seal_blocks(F.col("d"), F.col("p"), key, iv)
+    row = df.select(sealed.alias("s"), binary.open_blocks(sealed, F.col("p"), key, iv).alias("o"), binary.cbc_encrypt(F.substring("d", 11, 32), key, iv).alias("w")).first()
+    s = bytes(row.s)
+    assert bytes(row.o) == bytes(range(100)) and s[10:42] == bytes(row.w)[:32]
+    assert s[:10] == bytes(range(10)) and s[42:60] == bytes(range(42, 60)) and s[76:] == bytes(range(76, 100)) and s[60:76] != bytes(range(60, 76))

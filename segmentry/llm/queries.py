@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import (
+    Template,
+    by_conversation,
+    canonical_turns,
+    format_chats,
+    in_layouts,
+    loss_text,
+    read_turns,
+)
 from .common import documents
 from .exact_dedup import exact_groups
 from .hmm_score import score_documents
 from .language_id import fit, identify
+from .lexical_search import search
 from .matroska import media_features, store_texts
 from .minhash_dedup import near_duplicates
 from .mixing import source_mix
@@ -18,6 +28,7 @@ from .packing import pack_documents
 from .substring_dedup import remove_repeats
 from .token_counts import document_token_counts
 from .url_filter import Rule, judge_urls
+from .vector_codes import compress_vectors
 
 
 def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,6 +241,148 @@ FROM j
 """
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return compress_vectors(vectors).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256"
+    )
+
+
+def _op11_round(i: int) -> str:
+    """Books after one more round, from the nearest entries of the books before."""
+    return f"""
+near{i} AS MATERIALIZED (
+  SELECT vec_id, part, x, d AS error, entry FROM (
+    SELECT vec_id, p.part, x, entry,
+           list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d,
+           row_number() OVER (PARTITION BY vec_id, p.part ORDER BY d, entry) AS place
+    FROM parts p JOIN books{i} b ON p.part = b.part) WHERE place = 1
+), means{i} AS (
+  SELECT part, entry, list(mean ORDER BY i) AS c FROM (
+    SELECT part, entry, i, floor(sum(x[i]) / count(*))::BIGINT AS mean
+    FROM near{i}, range(1, {DIMENSIONS // 4 + 1}) AS r(i) GROUP BY ALL) GROUP BY ALL
+), books{i + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.c, b.c) AS c
+  FROM books{i} b LEFT JOIN means{i} m ON b.part = m.part AND b.entry = m.entry
+),"""
+
+
+#: Components of the vectors of ``embeddings``; only the SQL has to know.
+DIMENSIONS = 64
+
+OP11_SQL = f"""
+WITH whole AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, part, v[part * {DIMENSIONS // 4} + 1 : (part + 1) * {DIMENSIONS // 4}] AS x
+  FROM whole, range(4) AS r(part)
+), books0 AS MATERIALIZED (
+  SELECT part, entry, x AS c FROM (
+    SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM parts) WHERE entry < 256
+),{"".join(map(_op11_round, range(5)))}
+final AS (
+  SELECT vec_id, string_agg(printf('%02x', entry::INTEGER), '' ORDER BY part) AS code, sum(error)::BIGINT AS error
+  FROM near4 GROUP BY vec_id
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM books4
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM final JOIN whole USING (vec_id), digest
+"""
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for every benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return search(documents(spark, sf_dir), items).select(
+        F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score"
+    )
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), totals AS (
+  SELECT count(*) FILTER (WHERE len(terms) > 0) AS n, sum(len(terms))::BIGINT AS l FROM t
+), tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM t) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, totals GROUP BY term, n
+), m AS (
+  SELECT doc_id, 100 - 75 + (75 * len(terms) * n) // l AS m FROM t, totals WHERE len(terms) > 0
+), q AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL
+), s AS (
+  SELECT item_id, doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+  FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations in their layouts, made canonical, formatted, and read back."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    rows = rows.unionByName(spark.createDataFrame(more, rows.schema))
+    records = in_layouts(by_conversation(rows, "conv_id", "turn", "role", "text"))
+    chats = format_chats(canonical_turns(records).select("id", "turns")).drop("turns")
+    read = chats.select(
+        "id", "formatted", read_turns(F.col("formatted")).alias("turns"),
+        loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+    )
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        F.col("id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(digest, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def _op13_escaped(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in Template().controls:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+OP13_SQL = f"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), f AS (
+  SELECT *, '<|im_start|>' || replace({_op13_escaped("role")}, chr(10), '\\' || chr(10)) || chr(10)
+            || {_op13_escaped("text")} || '<|im_end|>' || chr(10) AS marked
+  FROM r
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(marked))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hmm_score": op1_hmm_score,
@@ -242,6 +395,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_matroska": op9_matroska,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_lexical_search": op12_lexical_search,
+        "op13_chat_format": op13_chat_format,
     }
 
 
@@ -251,4 +407,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_mix_sources": OP4_SQL,
         "op8_url_filter": OP8_SQL,
         "op10_substring_dedup": OP10_SQL,
+        "op11_vector_codes": OP11_SQL,
+        "op12_lexical_search": OP12_SQL,
+        "op13_chat_format": OP13_SQL,
     }

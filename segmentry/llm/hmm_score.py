@@ -7,15 +7,18 @@ the model grows with the corpus, and no task holds all of it.
 Documents are written once as blocks. A block exchanges its distinct tokens with buckets
 for their exact counts. The model of a token is how its count is shared among the states;
 a block keeps the shares of its own tokens, one byte for a state, and those of tokens that
-other blocks have too are summed up in the buckets.
+other blocks have too are summed up in the buckets. What a state holds of all tokens is
+summed from the shares as they are stored, so its emissions are a distribution.
 
 Baum-Welch: in every iteration each block runs the scaled forward and backward recursions
 over its training texts. The expected counts of a token in each state are added over all
 blocks in its bucket, and the blocks get the sums back; the transitions, starts and the
-mass of each state, whose number is fixed, are summed by Spark for the driver. A state's
-emissions are its expected counts and ``PRIOR`` more tokens that occur as in the corpus,
-with an add-half share for a token that training never saw. Scoring is the scaled forward
-recursion over whole texts, whose scale factors multiply to the exact likelihood.
+mass of each state, whose number is fixed, are summed by Spark for the driver. A state
+draws a token that training has from its own expected counts, or with ``BACKOFF`` from the
+whole corpus; tokens that training never saw have in every state the add-half share of
+one. Both weights are of shares, not of counts, so they mean the same at every size.
+Scoring is the scaled forward recursion over whole texts, whose scale factors multiply to
+the exact likelihood.
 Recursions run over many texts at a time, sorted by length, so that each step is one small
 matrix product.
 
@@ -30,10 +33,11 @@ an empty result; columns other than the id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,14 +51,14 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from .blocks import block_rows, bucket_of, exchanged, pack, spans, unpack, word_list, word_order
+from .blocks import block_rows, bucket_of, pack, spans, unpack, word_list, word_order
 from .common import discard, materialize, quoted
 from .tokens import output
 
 STATES = 8
 ITERATIONS = 4
-#: Tokens that occur as in the corpus, added to the expected counts of each state.
-PRIOR = 20.0
+#: How often a state draws from the whole corpus in place of its own counts.
+BACKOFF = 0.2
 #: Tokens whose recursions run together.
 TOKENS_AT_ONCE = 1 << 18
 #: Text in a block of documents, and for each bucket of tokens; buckets at least.
@@ -182,10 +186,11 @@ def _send_tokens(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
             )
 
 
-def _token_counts(table: pa.Table) -> pa.Table:
+def _token_counts(table: pa.Table, states: int) -> pa.Table:
     """Each token's count, then its rank among the bucket's tokens of several blocks or 0.
 
-    ``kinds``, in a bucket's first row, is the number of its tokens that training has.
+    A bucket's first row also has ``kinds``, the number of its tokens that training has, and
+    ``mass``, what the states hold of them with the first model's shares.
     """
     table = table.sort_by("block")
     n = [unpack(x, "<u8") for x in table.column("n").to_pylist()]
@@ -199,10 +204,13 @@ def _token_counts(table: pa.Table) -> pa.Table:
     own = [at[e - len(x) : e] for x, e in zip(n, ends, strict=True)]
     told = [pack(np.concatenate([every[i], rank[i]])) for i in own]
     kinds = [int((every > 0).sum()), *[0] * (len(own) - 1)]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(every))
+    mass = (every.astype(np.float64)[:, None] * noise(h, states)).sum(0).tolist()
     return pa.table(
         {
             "block": table.column("block"), "bucket": table.column("bucket"),
             "told": pa.array(told, pa.binary()), "kinds": pa.array(kinds, pa.int64()),
+            "mass": pa.array([mass, *[None] * (len(own) - 1)], pa.list_(pa.float64())),
         }
     )
 
@@ -252,6 +260,7 @@ class Model:
     total: int  # training tokens
     kinds: int  # distinct ones
     texts: int  # end tokens
+    backoff: float = BACKOFF
 
     @property
     def states(self) -> int:
@@ -263,16 +272,22 @@ class Model:
 
     def hmm(self, count: np.ndarray, shares: np.ndarray) -> Hmm:
         """The model over a block's tokens, the end token last."""
-        prior = PRIOR * self.share(np.append(count, self.texts))[:, None]
-        emit = np.concatenate([count[:, None] * shares, self.ends[None]]) + prior
-        return Hmm(self.start, self.move, emit / (self.mass + PRIOR))
+        every = np.append(count, self.texts)
+        corpus, unseen = self.share(every)[:, None], self.share(np.zeros(1))
+        own = np.concatenate([count[:, None] * shares, self.ends[None]]) / np.maximum(self.mass, 1e-300)
+        mixed = (1 - self.backoff) * (1 - unseen) * own + self.backoff * corpus
+        return Hmm(self.start, self.move, np.where(every[:, None] > 0, mixed, corpus))
 
 
-def first_model(total: int, kinds: int, texts: int, states: int) -> Model:
-    """States that last and are alike but for the noise in their tokens' shares."""
+def first_model(total: int, kinds: int, texts: int, mass: np.ndarray) -> Model:
+    """States that last and are alike but for the noise in their tokens' shares.
+
+    ``mass`` is what that noise gives each state of the tokens other than ends.
+    """
+    states = len(mass)
     move = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
     even = np.full(states, 1 / states)
-    return Model(even, move, total * even, texts * even, total, kinds, texts)
+    return Model(even, move, mass + texts * even, texts * even, total, kinds, texts)
 
 
 def _smoothed(counts: np.ndarray) -> np.ndarray:
@@ -280,9 +295,10 @@ def _smoothed(counts: np.ndarray) -> np.ndarray:
 
 
 def next_model(m: Model, sums: np.ndarray) -> Model:
+    """``sums``: moves, starts, mass of stored shares, ends, and the likelihood."""
     k = m.states
     moves, starts, mass, ends = np.split(sums[:-1], np.cumsum([k * k, k, k]))
-    return Model(_smoothed(starts), _smoothed(moves.reshape(k, k)), mass, ends, m.total, m.kinds, m.texts)
+    return replace(m, start=_smoothed(starts), move=_smoothed(moves.reshape(k, k)), mass=mass + ends, ends=ends)
 
 
 def noise(h: np.ndarray, states: int) -> np.ndarray:
@@ -292,7 +308,8 @@ def noise(h: np.ndarray, states: int) -> np.ndarray:
         u = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
         u = (u ^ (u >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         u = (u ^ (u >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[:, k] = -np.log1p(-((u ^ (u >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53)
+        even = ((u ^ (u >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+        out[:, k] = -np.log1p(-even)
     return out / out.sum(1, keepdims=True)
 
 
@@ -357,7 +374,9 @@ def _expect(batches: Iterator[pa.RecordBatch], m: Model, first: bool) -> Iterato
                 }
                 for i, j in spans((rank >> np.uint64(32)).astype(np.int64))
             ]
-            sums = np.concatenate([moves.ravel(), starts, counts.sum(0), ends, [likelihood]])
+            # Tokens that no other block has; those of several are summed in their buckets.
+            mass = (count * (names == 0)).astype(np.float64) @ of_bytes(stored)
+            sums = np.concatenate([moves.ravel(), starts, mass, ends, [likelihood]])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block.as_py()], pa.int64()),
@@ -370,7 +389,10 @@ def _expect(batches: Iterator[pa.RecordBatch], m: Model, first: bool) -> Iterato
 
 
 def _summed(table: pa.Table, states: int) -> pa.Table:
-    """The shares of a bucket's tokens over all blocks, in the order each block sent."""
+    """The shares of a bucket's tokens over all blocks, in the order each block sent.
+
+    The first row also has ``mass``, what the states hold of these tokens.
+    """
     table = table.sort_by("block")
     ranks = [unpack(x, "<u4").astype(np.int64) - 1 for x in table.column("a").to_pylist()]
     at = np.concatenate(ranks)
@@ -381,24 +403,47 @@ def _summed(table: pa.Table, states: int) -> pa.Table:
     total = np.stack([np.bincount(at, weight * shares[:, k]) for k in range(states)], 1)
     stored = to_bytes(total / np.maximum(total.sum(1, keepdims=True), 1e-300))
     told = [pack(stored[r].reshape(-1)) for r in ranks]
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "told": pa.array(told, pa.binary())})
+    mass = (np.rint(np.bincount(at, n)) @ of_bytes(stored)).tolist()
+    return pa.table(
+        {
+            "block": table.column("block"), "bucket": table.column("bucket"), "told": pa.array(told, pa.binary()),
+            "mass": pa.array([mass, *[None] * (len(told) - 1)], pa.list_(pa.float64())),
+        }
+    )
 
 
-def _with_shares(counted: DataFrame, expected: DataFrame | None, states: int) -> DataFrame:
+def _collected(answers: DataFrame) -> DataFrame:
+    """``block, told``: what the buckets answered to each block."""
+    return answers.groupBy("block").agg(
+        F.array_sort(F.collect_list(F.struct("bucket", "told"))).getField("told").alias("told")
+    )
+
+
+def _total(rows: DataFrame, column: str, size: int) -> np.ndarray:
+    """Sum of the arrays of a column, place by place."""
+    out = np.zeros(size)
+    for r in rows.select(F.posexplode(column).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r.i] = r.v
+    return out
+
+
+def _with_shares(counted: DataFrame, expected: DataFrame | None, answers: DataFrame | None) -> DataFrame:
     """``counted`` with ``prior`` and ``told``: a block's own shares, and the summed ones."""
     if expected is None:
         return counted.select("*", F.col("h").alias("prior"), F.lit(None).cast("array<binary>").alias("told"))
-    told = exchanged(expected.select("block", F.inline("sent")), lambda t: _summed(t, states))
     own = expected.select("block", F.col("shares").alias("prior"))
-    return counted.join(own, "block").join(told, "block", "left")
+    return counted.join(own, "block").join(_collected(answers), "block", "left")
 
 
-def train(counted: DataFrame, m: Model, iterations: int) -> tuple[Model, DataFrame | None, list[float]]:
-    """The model after ``iterations`` rounds, the blocks' shares with it, and the log10
-    likelihood of the training texts before each round."""
-    expected, path = None, []
+def train(
+    counted: DataFrame, m: Model, iterations: int
+) -> tuple[Model, DataFrame | None, DataFrame | None, list[float]]:
+    """The model after ``iterations`` rounds, the shares with it of blocks and of buckets,
+    and the log10 likelihood of the training texts before each round."""
+    expected = answers = None
+    path, k = [], m.states
     for _ in range(iterations):
-        rows = _with_shares(counted, expected, m.states)
+        rows = _with_shares(counted, expected, answers)
         first = expected is None
         after = materialize(
             rows.select("block", "train", "sizes", "codes", "c", "name", "prior", "told").mapInArrow(
@@ -407,15 +452,21 @@ def train(counted: DataFrame, m: Model, iterations: int) -> tuple[Model, DataFra
             "expected", "none",
         )
         if expected is not None:
-            discard(expected)
+            discard(expected, answers)
         expected = after
-        sums = expected.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-        if not sums:
+        answers = materialize(
+            expected.select("block", F.inline("sent"))
+            .groupBy("bucket")
+            .applyInArrow(lambda t: _summed(t, k), "block long, bucket int, told binary, mass array<double>"),
+            "answers", "none",
+        )
+        if not m.texts:
             break
-        vector = np.array([r.v for r in sorted(sums, key=lambda r: r.i)])
-        path.append(float(vector[-1]))
-        m = next_model(m, vector)
-    return m, expected, path
+        sums = _total(expected, "sums", k * k + 3 * k + 1)
+        sums[k * k + k : k * k + 2 * k] += _total(answers, "mass", k)
+        path.append(float(sums[-1]))
+        m = next_model(m, sums)
+    return m, expected, answers, path
 
 
 def _score(batches: Iterator[pa.RecordBatch], m: Model, first: bool) -> Iterator[pa.RecordBatch]:
@@ -439,8 +490,10 @@ def _score(batches: Iterator[pa.RecordBatch], m: Model, first: bool) -> Iterator
             )
 
 
-def counted_blocks(docs: DataFrame, train_on: Column, id_col: str, text_col: str) -> tuple[DataFrame, int, int, int]:
-    """Blocks with the exact counts of their tokens; training tokens, kinds and texts."""
+def counted_blocks(
+    docs: DataFrame, train_on: Column, id_col: str, text_col: str, states: int = STATES
+) -> tuple[DataFrame, Model]:
+    """Blocks with the exact counts of their tokens, and the first model."""
     taught = F.coalesce(train_on, F.lit(False))
     rows = docs.select(quoted(id_col).alias("id"), taught.alias("train"), quoted(text_col).alias("text"))
     ids = StructField("ids", ArrayType(rows.schema["id"].dataType))
@@ -454,17 +507,14 @@ def counted_blocks(docs: DataFrame, train_on: Column, id_col: str, text_col: str
         blocks.select("block", "train", "sizes", "codes", "words")
         .mapInArrow(lambda b: _send_tokens(b, buckets), "bucket int, block long, words binary, n binary")
         .groupBy("bucket")
-        .applyInArrow(_token_counts, "block long, bucket int, told binary, kinds long"),
+        .applyInArrow(lambda t: _token_counts(t, states), "block long, bucket int, told binary, kinds long, mass array<double>"),
         "counts", "none",
     )
-    told = answers.groupBy("block").agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "told"))).getField("told").alias("told")
-    )
     schema = StructType(
         [*lists, *(binary[n] for n in ("sizes", "codes", "c", "name", "h")), StructField("tokens", LongType()), StructField("texts", LongType())]
     )
     counted = materialize(
-        blocks.join(told, "block", "left")
+        blocks.join(_collected(answers), "block", "left")
         .select("block", "ids", "train", "sizes", "codes", "words", "told")
         .mapInArrow(lambda b: _counted(b, buckets), schema),
         "counted", "none",
@@ -472,8 +522,9 @@ def counted_blocks(docs: DataFrame, train_on: Column, id_col: str, text_col: str
     zero = F.lit(0).cast("long")
     total, texts = counted.agg(F.coalesce(F.sum("tokens"), zero), F.coalesce(F.sum("texts"), zero)).first()
     kinds = answers.agg(F.coalesce(F.sum("kinds"), zero)).first()[0] + (texts > 0)
+    mass = _total(answers, "mass", states)
     discard(blocks, answers)
-    return counted, int(total), int(kinds), int(texts)
+    return counted, first_model(int(total), int(kinds), int(texts), mass)
 
 
 def score_documents(
@@ -483,21 +534,22 @@ def score_documents(
     text_col: str = "text",
     states: int = STATES,
     iterations: int = ITERATIONS,
+    backoff: float = BACKOFF,
 ) -> DataFrame:
     """``id, train, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     ``train_on`` is a condition on ``docs``; rows where it holds are learned from.
     """
-    counted, total, kinds, texts = counted_blocks(docs, train_on, id_col, text_col)
-    m, expected, _ = train(counted, first_model(total, kinds, texts, states), iterations)
+    counted, m = counted_blocks(docs, train_on, id_col, text_col, states)
+    m, expected, answers, _ = train(counted, replace(m, backoff=backoff), iterations)
     schema = output(
         docs, id_col, "id", ("train", BooleanType()), ("n_tokens", LongType()), ("n_known", LongType()),
         ("base_score", DoubleType()), ("score", DoubleType()),
     )
     first = expected is None
     scored = (
-        _with_shares(counted, expected, states)
+        _with_shares(counted, expected, answers)
         .select("ids", "train", "sizes", "codes", "c", "name", "prior", "told")
         .mapInArrow(lambda b: _score(b, m, first), schema)
     )
-    return scored.withColumn("train_tokens", F.lit(total).cast("long"))
+    return scored.withColumn("train_tokens", F.lit(m.total).cast("long"))

@@ -716,10 +716,111 @@ def test_recursions_match_sums_over_all_paths():
     assert np.allclose(counts, 0) and np.allclose(moves, 0) and np.allclose(starts, 0)
 
 
-def test_training_raises_the_likelihood(docs):
-    counted, *n = hmm_score.counted_blocks(docs, F.lit(True), "doc_id", "text")
-    _, _, path = hmm_score.train(counted, hmm_score.first_model(*n, 4), 6)
-    assert len(path) == 6 and path[-1] > path[1] and path[1:] == sorted(path[1:])
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    """Blocks of the given documents, the trained model, the shares, and the likelihoods."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    counted, m = hmm_score.counted_blocks(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1, "doc_id", "text")
+    return docs, counted, hmm_score.train(counted, m, 4)
+
+
+def test_training_gains_and_states_differ(trained):
+    _, _, (m, _, _, path) = trained
+    assert path == sorted(path) and path[-1] > 0.95 * path[0]
+    assert m.mass.max() > 1.2 * m.mass.min() and math.isclose(m.mass.sum(), m.total, rel_tol=1e-9)
+
+
+def test_held_out_texts_score_above_the_base(trained):
+    docs, *_ = trained
+    scored = hmm_score.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1).where("NOT train")
+    score, base, unknown = scored.agg(F.sum("score"), F.sum("base_score"), F.sum(F.col("n_tokens") - F.col("n_known"))).first()
+    assert score >= base and unknown > 0
+
+
+def test_emissions_of_a_state_sum_to_one(trained):
+    """Over all distinct tokens of training, ends, and one that training has not."""
+    _, counted, (m, expected, answers, _) = trained
+    emit = {}
+    for r in hmm_score._with_shares(counted, expected, answers).collect():
+        count, names = (blocks.unpack(bytes(x), "<u8") for x in (r.c, r.name))
+        prints = blocks.unpack(bytes(r.h), "<u8")
+        told = pa.scalar(r.told and [bytes(x) for x in r.told], pa.list_(pa.binary()))
+        shares = hmm_score._shares(pa.scalar(bytes(r.prior)), told, names, m.states, False)
+        rows = m.hmm(count.astype(float), shares).emit
+        emit |= {int(h): e for h, e, c in zip(prints, rows, count, strict=False) if c}
+        end = rows[-1]
+    total = sum(emit.values()) + end + m.share(np.zeros(1))
+    assert len(emit) + 1 == m.kinds and np.abs(total - 1).max() < 1e-9
+
+
+def plain_baum_welch(texts, states, rounds, backoff):
+    """One text, one position and one state at a time."""
+    count = Counter(w for t in texts for w in t)
+    n, kinds = sum(count.values()), len(count)
+    prints = np.array([hmm_score.xxhash.xxh3_64_intdigest(w) for w in count if w != b"end"], np.uint64)
+    share = dict(zip([w for w in count if w != b"end"], hmm_score.noise(prints, states).tolist(), strict=True))
+    share[b"end"] = [1 / states] * states
+    start = [1 / states] * states
+    move = [[0.3 / states + 0.7 * (i == j) for j in range(states)] for i in range(states)]
+    unseen = 0.5 / (n + 0.5 * (kinds + 1))
+    K, path = range(states), []
+    for _ in range(rounds):
+        mass = [sum(count[w] * share[w][k] for w in count) for k in K]
+
+        def emit(w, k, mass=mass, share=share):
+            own = count[w] * share[w][k] / mass[k]
+            return (1 - backoff) * (1 - unseen) * own + backoff * (count[w] + 0.5) / (n + 0.5 * (kinds + 1))
+
+        likelihood, c = 0.0, {w: [0.0] * states for w in count}
+        moves, starts = [[0.0] * states for _ in K], [0.0] * states
+        for t in texts:
+            a = [[start[k] * emit(t[0], k) for k in K]]
+            for w in t[1:]:
+                a.append([sum(a[-1][i] * move[i][k] for i in K) * emit(w, k) for k in K])
+            b = [[1.0] * states]
+            for w in reversed(t[1:]):
+                b.insert(0, [sum(move[k][j] * emit(w, j) * b[0][j] for j in K) for k in K])
+            p = sum(a[-1])
+            likelihood += math.log10(p)
+            for i, w in enumerate(t):
+                for k in K:
+                    c[w][k] += a[i][k] * b[i][k] / p
+                    if i + 1 < len(t):
+                        for j in K:
+                            moves[k][j] += a[i][k] * move[k][j] * emit(t[i + 1], j) * b[i + 1][j] / p
+            for k in K:
+                starts[k] += a[0][k] * b[0][k] / p
+        path.append(likelihood)
+        share = {}
+        for w in count:
+            stored = [c[w][k] / count[w] for k in K]
+            if w != b"end":  # one byte for a share, by its square root
+                stored = [round(255 * math.sqrt(x)) ** 2 for x in stored]
+            share[w] = [x / sum(stored) for x in stored]
+        start = [(x + 1) / (sum(starts) + states) for x in starts]
+        move = [[(x + 1) / (sum(row) + states) for x in row] for row in moves]
+    return start, move, [sum(count[w] * share[w][k] for w in count) for k in K], path
+
+
+def test_the_model_is_that_of_a_plain_baum_welch(spark):
+    rng = random.Random(8)
+    kinds = ["a b c d e f", "p q r s t u", "a q x y z"]
+    texts = [" ".join(rng.choices(rng.choice(kinds).split(), k=rng.randrange(1, 9))) for _ in range(60)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    counted, first = hmm_score.counted_blocks(table, F.lit(True), "doc_id", "text", 3)
+    m, _, _, path = hmm_score.train(counted, first, 4)
+    start, move, mass, plain = plain_baum_welch([[*t.encode().split(), b"end"] for t in texts], 3, 4, hmm_score.BACKOFF)
+    assert np.allclose(path, plain, rtol=1e-6)
+    assert np.allclose(m.start, start, atol=1e-5) and np.allclose(m.move, move, atol=1e-5) and np.allclose(m.mass, mass, rtol=1e-5)
+
+
+def test_noise_is_spread():
+    shares = hmm_score.noise(np.arange(10_000, dtype=np.uint64), 8)
+    assert np.allclose(shares.sum(1), 1) and abs(shares.mean() - 1 / 8) < 1e-9
+    assert 0.08 < shares.std() < 0.15 and np.abs(np.corrcoef(shares.T) + 1 / 7 * (1 - np.eye(8)) - np.eye(8)).max() < 0.05
 
 
 def test_scores_do_not_depend_on_how_documents_are_dealt(docs, rows, monkeypatch):

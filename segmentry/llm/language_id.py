@@ -239,5 +239,7 @@ def keep_identified(
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
-    marked = docs.select("*", F.coalesce(quoted(text_col).rlike(r"\p{L}"), F.lit(False)))
-    return marked.mapInArrow(lambda b: _accepted(b, shared, at, least_score), docs.schema)
+    # A schema is told by its text, which not every name survives: plain ones around the call.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    marked = plain.select("*", F.coalesce(F.col(f"c{at}").rlike(r"\p{L}"), F.lit(False)))
+    return marked.mapInArrow(lambda b: _accepted(b, shared, at, least_score), plain.schema).toDF(*docs.columns)

@@ -5,9 +5,11 @@ The token share ``p`` of every source is raised to an exponent and normalised:
 reach the target entropy, but not below the smallest one at which no source is
 repeated more than ``max_epochs`` times within the budget. Every source then gets
 ``floor(w * budget)`` tokens. They are realised as permutations of the source's
-documents: whole permutations while the budget lasts, then the head of one more,
-up to the last document that still fits. A document's place in a permutation is
-the MD5 of seed, source, epoch number and id.
+documents: whole permutations while the budget lasts, then the head of one more. The
+head ends where its tokens are nearest to the budget, so the document that crosses it is
+taken if at most half of it is beyond, and every source gets its tokens within half a
+document. A document's place in a permutation is the MD5 of seed, source, epoch number
+and id.
 
 Only sums move: one row per source, and one per (source, block of the permutation).
 The end of the last permutation is found block by block and then inside one block,
@@ -16,8 +18,8 @@ the texts themselves are never shuffled.
 
 Defined cases: a null source is a source of its own; a null text has no tokens; a
 source without tokens has weight 0 and none of its documents is taken; rows that
-repeat an id have the same place and are taken together; an empty table gives an
-empty result.
+repeat an id have the same place and are taken together, as one document; weights are
+rounded to nine places; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,21 +40,26 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def _weights(shares: Column, a: Column) -> Column:
-    powers = F.transform(shares, lambda p: F.pow(p, a))
-    total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(powers, lambda x: x / total)
+def _powers(shares: Column, a: Column) -> Column:
+    """Sum of the powers of all shares; ``shares`` are ``(p, n)``, n sources with share p each."""
+    return F.aggregate(shares, F.lit(0.0), lambda s, x: s + x["n"] * F.pow(x["p"], a))
 
 
 def _entropy(shares: Column, a: Column) -> Column:
     """In bits, of the weights at exponent ``a``."""
-    return F.aggregate(_weights(shares, a), F.lit(0.0), lambda s, w: s - w * F.log2(w))
+    norm = _powers(shares, a)
+
+    def add(s: Column, x: Column) -> Column:
+        w = F.pow(x["p"], a) / norm
+        return s - x["n"] * w * F.log2(w)
+
+    return F.aggregate(shares, F.lit(0.0), add)
 
 
 def _repeats(shares: Column, a: Column, scale: Column) -> Column:
     """The most times that a source is read; ``scale`` is budget over all tokens."""
-    reads = F.zip_with(_weights(shares, a), shares, lambda w, p: w * scale / p)
-    return F.aggregate(reads, F.lit(0.0), lambda s, x: F.greatest(s, x))
+    norm = _powers(shares, a)
+    return F.aggregate(shares, F.lit(0.0), lambda s, x: F.greatest(s, F.pow(x["p"], a) / norm * scale / x["p"]))
 
 
 def _bisect(high_enough, low: float, high: float) -> Column:
@@ -87,17 +94,25 @@ def source_plan(
     cannot hold and the mix is in proportion, which repeats least. ``epochs`` whole permutations are taken,
     and ``rest`` tokens of the next.
     """
-    all_ = sources.where("tokens > 0").agg(
-        F.sum("tokens").alias("total"),
-        F.array_sort(F.collect_list(F.col("tokens").cast("double"))).alias("each"),
+    # Sources of as many tokens weigh alike: what comes together is one entry for each
+    # number of tokens, fewer than twice the root of all tokens however many sources.
+    all_ = (
+        sources.where("tokens > 0")
+        .groupBy("tokens")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(
+            F.sum(F.col("tokens") * F.col("n")).alias("total"),
+            F.sum("n").alias("sources"),
+            F.array_sort(F.collect_list(F.struct(F.col("tokens").cast("double").alias("p"), "n"))).alias("each"),
+        )
     )
-    shares = F.transform("each", lambda t: t / F.col("total"))
+    shares = F.transform("each", lambda x: F.struct((x["p"] / F.col("total")).alias("p"), x["n"].alias("n")))
     spend = F.lit(budget).cast("long") if budget is not None else F.col("total")
     scale = spend / F.col("total")
     # With no target the shares stay as they are.
     alpha = F.lit(1.0) if entropy_share is None and max_epochs is None else F.lit(0.0)
     if entropy_share is not None:
-        goal = F.lit(float(entropy_share)) * F.log2(F.size("each").cast("double"))
+        goal = F.lit(float(entropy_share)) * F.log2(F.col("sources").cast("double"))
         alpha = _bisect(lambda a: _entropy(F.col("shares"), a) < goal, 0.0, HIGHEST)
     if max_epochs is not None:
         least = _bisect(
@@ -109,10 +124,7 @@ def source_plan(
         .withColumn("spend", spend)
         .withColumn("scale", scale)
         .withColumn("alpha", F.round(alpha, 6))
-        .withColumn(
-            "norm",
-            F.aggregate("shares", F.lit(0.0), lambda s, p: s + F.pow(p, F.col("alpha"))),
-        )
+        .withColumn("norm", _powers(F.col("shares"), F.col("alpha")))
         .select("alpha", "norm", "total", "spend")
     )
     # One row of four numbers, which become constants of the plan.
@@ -174,9 +186,11 @@ def _cuts(counts: DataFrame, plan: DataFrame, seed: int, digits: int) -> DataFra
     )
     # The default frame takes all rows of a place at once.
     upto = Window.partitionBy("source").orderBy("place")
+    here = Window.partitionBy("source", "place")
     last = (
         inside.withColumn("upto", F.sum("n_tokens").over(upto))
-        .where("upto <= room")
+        .withColumn("here", F.sum("n_tokens").over(here))
+        .where("2 * upto - here <= 2 * room")
         .groupBy("source")
         .agg(F.max("place").alias("last_place"))
     )

@@ -129,16 +129,19 @@ WITH RECURSIVE n AS (
          md5('1|' || coalesce(n.source, '') || '|' || epochs || '|' || n.doc_id) AS place
   FROM n JOIN plan ON n.source IS NOT DISTINCT FROM plan.source
 ), run AS (
-  SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY place) AS upto FROM placed
+  SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY place) AS upto,
+         sum(n_tokens) OVER (PARTITION BY source, place) AS here
+  FROM placed
 )
 SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, alpha, weight,
-       (epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::INTEGER AS copies
+       (epochs + CASE WHEN 2 * upto - here <= 2 * rest THEN 1 ELSE 0 END)::INTEGER AS copies
 FROM run
 UNION ALL
 SELECT doc_id, source, n_tokens::BIGINT, (SELECT alpha FROM a), 0.0, 0
 FROM n WHERE source IN (SELECT source FROM s WHERE tokens = 0)
 """
 
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmentry.operators import media
-from segmentry.plans import follow
+from segmentry.plans import archive, follow
 from segmentry.sources import bindings as b
+from segmentry.sources import tracks
 from segmentry.streaming import live, runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +108,52 @@ def follow_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(live.FOLLOWED).parquet(f"{folder}/tracks/out").drop("identity")
 
 
+@query(ORACLE["follow_tracks"])
+def recorded_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a source of recorded playlists, its stream run again after each recording."""
+    folder = runs.new_folder(spark, "recorded")
+    source, parsed = f"{folder}/source", f"{folder}/parsed"
+    refreshes = _refreshes(spark, sf_dir)
+    for part, some in enumerate((F.col("refresh") < 2, F.col("refresh") >= 2), 1):
+        tracks.record(refreshes.where(some), source, part)
+        runs.drain(tracks.recorded_stream(spark, source), f"{folder}/parsing", follow.write_parsed(parsed))
+        rows = spark.readStream.schema(follow.PARSED).parquet(f"{parsed}/batch-*")
+        runs.drain(follow.followed(rows), f"{folder}/tracks")
+    return spark.read.schema(live.FOLLOWED).parquet(f"{folder}/tracks/out").drop("identity")
+
+
+@query("""
+WITH u AS (
+  SELECT user_id AS u, user_id // 10 AS part, (user_id * 37 % 101 + 1) * 1000 AS bandwidth
+  FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL)
+), o AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY u) - 1 AS at FROM u),
+best AS (SELECT part, arg_max(at, (bandwidth, -at)) AS at, arg_max(u, (bandwidth, -at)) AS u FROM o GROUP BY part)
+SELECT 'k' || part AS playlist_id, row_number() OVER (PARTITION BY part ORDER BY event_id) - 1 AS track_index,
+       'https://cdn.example/' || u || '/' || event_id || '.ts' AS url
+FROM best JOIN events ON user_id = u
+""")
+def recorded_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masters to the items of their default option, all playlists read from a recording."""
+    folder = runs.new_folder(spark, "recorded")
+    texts = b.playlist_texts(spark, sf_dir).where("playlist_id IS NOT NULL")
+    user = F.regexp_extract("playlist_url", "example/([0-9]+)/", 1).cast("long")
+    entry = F.concat(
+        F.lit("#EXT-X-STREAM-INF:BANDWIDTH="), (F.col("u") * 37 % 101 + 1) * 1000, F.lit("\n"), F.col("playlist_url")
+    )
+    masters = (
+        texts.select(user.alias("u"), "playlist_url")
+        .select(F.expr("u div 10").alias("part"), F.struct("u", entry.alias("line")).alias("entry"))
+        .groupBy("part")
+        .agg(F.array_sort(F.collect_list("entry")).getField("line").alias("lines"))
+        .select(F.concat(F.lit("k"), "part").alias("track_id"), F.lit(b.CDN).alias("playlist_url"), F.array_join("lines", "\n").alias("content"))
+    )
+    every = masters.unionByName(texts.withColumnRenamed("playlist_id", "track_id"))
+    tracks.record(every.withColumns({"refresh": F.lit(0), "status": F.lit(200)}), f"{folder}/source", 1)
+    found = tracks.last_playlists(tracks.recorded(spark, f"{folder}/source"))
+    kinds = F.col("content").contains("#EXT-X-STREAM-INF")
+    return archive.default_archive(found.where(kinds), found.where(~kinds)).select("playlist_id", "track_index", "url")
+
+
 @query("""
 SELECT DISTINCT 'https://cdn.example/' || conv_id || '/k' || turn // 2 AS id FROM conversations
 WHERE NOT (conv_id % 7 = 3 AND turn >= 3) AND conv_id % 6 <> 0

@@ -60,7 +60,7 @@ ITERATIONS = 4
 #: How often a state draws from the whole corpus in place of its own counts.
 BACKOFF = 0.2
 #: Tokens whose recursions run together.
-TOKENS_AT_ONCE = 1 << 18
+TOKENS_AT_ONCE = 1 << 19
 #: Text in a block of documents, and for each bucket of tokens; buckets at least.
 BLOCK_BYTES, BUCKET_BYTES, BUCKETS = 1 << 23, 1 << 24, 64
 
@@ -124,8 +124,8 @@ class Packed:
 
     def expected(self, m: Hmm, counts: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> float:
         """Add the expected counts to the arrays; return the log10 likelihood."""
-        alpha, scale, e = self.forward(m)
-        w = e / scale[:, None]  # becomes emission * beta / scale
+        alpha, scale, w = self.forward(m)
+        w /= scale[:, None]  # becomes emission * beta / scale
         beta = np.ones((self.active[0], m.emit.shape[1]))
         inner = np.zeros_like(m.move)
         for t in range(len(self.active) - 1, -1, -1):
@@ -136,9 +136,8 @@ class Packed:
                 after = w[nb : nb + later]
                 inner += alpha[b : b + later].T @ after
                 beta[:later] = after @ m.move.T
-            gamma = alpha[b : b + n] * beta[:n]
+            alpha[b : b + n] *= beta[:n]
             w[b : b + n] *= beta[:n]
-            alpha[b : b + n] = gamma
         moves += inner * m.move
         starts += alpha[: self.active[0]].sum(0)
         for k in range(counts.shape[1]):
@@ -368,9 +367,10 @@ def _expect(batches: Iterator[pa.RecordBatch], m: Model, first: bool) -> Iterato
             sent = [
                 {
                     "bucket": int(rank[i] >> np.uint64(32)),
-                    "a": pack((rank[i:j] & np.uint64(0xFFFFFFFF)).astype("<u4")),
+                    # Ranks rise, so their steps are small numbers.
+                    "a": pack(np.diff(rank[i:j] & np.uint64(0xFFFFFFFF), prepend=np.uint64(0)).astype("<u4")),
                     "b": pack(stored[order[i:j]].reshape(-1)),
-                    "n": pack(n[order[i:j]].astype("<f4")),
+                    "n": pack(np.rint(n[order[i:j]]).astype("<u4")),
                 }
                 for i, j in spans((rank >> np.uint64(32)).astype(np.int64))
             ]
@@ -394,16 +394,16 @@ def _summed(table: pa.Table, states: int) -> pa.Table:
     The first row also has ``mass``, what the states hold of these tokens.
     """
     table = table.sort_by("block")
-    ranks = [unpack(x, "<u4").astype(np.int64) - 1 for x in table.column("a").to_pylist()]
+    ranks = [np.cumsum(unpack(x, "<u4"), dtype=np.int64) - 1 for x in table.column("a").to_pylist()]
     at = np.concatenate(ranks)
-    n = np.concatenate([unpack(x, "<f4") for x in table.column("n").to_pylist()])
+    n = np.concatenate([unpack(x, "<u4") for x in table.column("n").to_pylist()])
     shares = of_bytes(np.concatenate([unpack(x, "u1") for x in table.column("b").to_pylist()]).reshape(-1, states))
     # A token that no text of a block teaches has no say, unless nobody has.
     weight = n.astype(np.float64) + 1e-9
     total = np.stack([np.bincount(at, weight * shares[:, k]) for k in range(states)], 1)
     stored = to_bytes(total / np.maximum(total.sum(1, keepdims=True), 1e-300))
     told = [pack(stored[r].reshape(-1)) for r in ranks]
-    mass = (np.rint(np.bincount(at, n)) @ of_bytes(stored)).tolist()
+    mass = (np.bincount(at, n) @ of_bytes(stored)).tolist()
     return pa.table(
         {
             "block": table.column("block"), "bucket": table.column("bucket"), "told": pa.array(told, pa.binary()),

@@ -20,6 +20,17 @@ def part(data: Column, start: Column | int, length: Column | int) -> Column:
     return F.substring(data, at, size)
 
 
+def byte_values(data: Column) -> Column:
+    """All bytes as an array of whole numbers, decoded once."""
+    places = F.when(F.octet_length(data) > 0, F.sequence(F.lit(0), F.octet_length(data) - 1)).otherwise(F.array().cast("array<int>"))
+    digits = F.struct(F.hex(data).alias("hex"), places.alias("places"))
+
+    def decoded(x: Column) -> Column:
+        return F.transform(x["places"], lambda i: F.conv(F.substring(x["hex"], 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+
+    return once(digits, decoded)
+
+
 def crc32_mpeg2(data: Column) -> Column:
     """CRC-32 with polynomial 0x04C11DB7, most significant bit first, no final inversion."""
     size = F.octet_length(data)
@@ -82,7 +93,7 @@ def audio_places(frames: Column) -> Column:
     return F.flatten(F.transform(frames, of_frame))
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -105,10 +116,10 @@ def _changed(data: Column, places: Column, change: Callable[[Column], Column]) -
 
     def changed(x: Column) -> Column:
         found = F.unhex(F.array_join(F.transform(x["places"], lambda p: F.hex(part(x["data"], p, F.lit(16)))), ""))
-        blocks = _once(found, change)
-        return _once(F.struct(x["data"].alias("data"), x["places"].alias("places"), blocks.alias("blocks")), spliced)
+        blocks = once(found, change)
+        return once(F.struct(x["data"].alias("data"), x["places"].alias("places"), blocks.alias("blocks")), spliced)
 
-    return _once(F.struct(data.alias("data"), places.alias("places")), changed)
+    return once(F.struct(data.alias("data"), places.alias("places")), changed)
 
 
 def open_blocks(data: Column, places: Column, key: Column, iv: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from segmentry.operators import spans
 
 
 def effective_iv(kind: Column, iv: Column, sequence_id: Column) -> Column:
@@ -38,11 +39,11 @@ def running_time(rows: DataFrame, track: str = "playlist_id", order: str = "item
     """Add ``start_time`` and ``end_time``; initialization takes no time.
 
     Times are sums of decimals of six places, so they do not depend on the order in
-    which a plan adds them.
+    which a plan adds them, nor on the spans in which a track is added up.
     """
     played = F.when(F.col("kind") == "media", F.col("duration").cast("decimal(20,6)")).otherwise(0)
-    upto = Window.partitionBy(track).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("end_time", F.sum(played).over(upto)).withColumn("start_time", F.col("end_time") - played)
+    timed = spans.before(rows, [track], order, sums={"start_time": played})
+    return timed.withColumn("end_time", F.col("start_time") + F.coalesce(played, F.lit(0)))
 
 
 def time_slice(rows: DataFrame, start: float, end: float, track: str = "playlist_id", order: str = "item_ord") -> DataFrame:

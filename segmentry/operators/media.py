@@ -1,7 +1,8 @@
-"""Media playlists: lines to segments, keys, summaries and errors, by window functions.
+"""Media playlists: lines to segments, keys, summaries and errors.
 
-A playlist's state at a line is what windows over the lines before it say: the last key
-tag, the last sequence tag and the segments since, the tags since the last URI. A fault
+A playlist's state at a line is what the lines before it say: the last key tag, the last
+sequence tag and the segments since, the tags since the last URI. It is found by windows
+over spans of lines and carried from span to span, so no task holds a playlist. A fault
 is a row of ``errors``, the first of a playlist; its segments are still returned, so a
 caller decides whether to keep them.
 """
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 
 from segmentry.functions.text import attributes, parse_float, parse_int, tag_body, trimmed
 from segmentry.functions.urls import key_kind, resolve
+from segmentry.operators import spans
 from segmentry.operators.syntax import lines
 
 DEFAULT_DURATION = 5.0
@@ -61,22 +63,26 @@ def _key_event(id_: Column) -> Column:
 
 
 def annotated_lines(playlists: DataFrame) -> DataFrame:
-    """Every line with the state that holds there.
+    """Every line up to the end mark with the state that holds there.
 
-    Attributes are read and URIs resolved once, before the windows.
+    ``playlists`` have their text as ``content``, or are rows of single lines already (see
+    :func:`syntax.lines`). No window spans a playlist. Lines are first counted by spans of
+    their numbers, so each knows how many URIs are before it; then they meet in spans of
+    that count, whose ends are URIs, so a segment's tags are in its own span, and what
+    goes on (key, sequence base, place in the chain of byte ranges) is carried over.
     """
-    order = Window.partitionBy("playlist_id").orderBy("line_no")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("playlist_id")
     line, body = F.col("line"), tag_body(F.col("line"))
 
     def tag(name: str) -> Column:
         return line.startswith(f"#EXT-X-{name}")
 
+    counted = spans.before(
+        lines(playlists), ["playlist_id"], "line_no",
+        sums={"uris": (~line.startswith("#")).cast("long")},
+        wholes={"i_frames": (F.max, tag("I-FRAMES-ONLY")), "end_line": (F.min, F.when(tag("ENDLIST"), F.col("line_no")))},
+    ).where("end_line IS NULL OR line_no <= end_line")
     parsed = (
-        lines(playlists)
-        .withColumn("is_uri", ~line.startswith("#"))
+        counted.withColumn("is_uri", ~line.startswith("#"))
         .withColumn("is_key", tag("KEY"))
         .withColumn("is_map", tag("MAP"))
         .withColumn("is_reset", tag("MEDIA-SEQUENCE"))
@@ -98,35 +104,32 @@ def annotated_lines(playlists: DataFrame) -> DataFrame:
         )
         .withColumn("asked_here", F.when(F.col("range_text").isNotNull(), _byte_range(F.col("range_text"))))
         .withColumn("inf", F.when(F.col("is_inf"), parse_float(F.split_part(body, F.lit(","), F.lit(1)))))
-        .withColumn("base", F.when(F.col("is_reset"), parse_int(body)))
+        .withColumn("base_here", F.when(F.col("is_reset"), parse_int(body)))
         .drop("a", "range_text", "playlist_url")
+        .withColumn(spans.PART, spans.part_of(["playlist_id"], F.col("uris")))
+        .repartition(spans.PART)
     )
-    rows = (
-        parsed.withColumn("i_frames", F.max(tag("I-FRAMES-ONLY")).over(whole))
-        .withColumn("end_line", F.min(F.when(F.col("is_end"), F.col("line_no"))).over(whole))
-        .where("end_line IS NULL OR line_no <= end_line")
-        .withColumn("uris", F.coalesce(F.sum(F.col("is_uri").cast("long")).over(before), F.lit(0)))
-        .withColumn("key", F.last("key_event", ignorenulls=True).over(so_far))
-        .withColumn("resets", F.sum(F.col("is_reset").cast("long")).over(so_far))
-        .withColumn("sequence_base", F.coalesce(F.last("base", ignorenulls=True).over(so_far), F.lit(0)))
-    )
-    one = Window.partitionBy("playlist_id", "uris")
+    one = Window.partitionBy(spans.PART, "uris")
     seconds = F.when((F.col("inf") == 0) | F.col("inf").isNull(), DEFAULT_DURATION).otherwise(F.col("inf"))
-    since = Window.partitionBy("playlist_id", "resets").orderBy("line_no").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    rows = (
-        rows.withColumn("infs", F.sum(F.col("is_inf").cast("int")).over(one))
+    tagged = (
+        parsed.withColumn("infs", F.sum(F.col("is_inf").cast("int")).over(one))
         .withColumn("ranges", F.sum(F.col("is_range").cast("int")).over(one))
-        .withColumn("own_duration", F.max(F.when(F.col("is_inf"), seconds)).over(one))
+        .withColumn("duration", F.when(F.col("is_uri"), F.max(F.when(F.col("is_inf"), seconds)).over(one)))
         .withColumn("own_range", F.max(F.when(F.col("is_range"), F.col("asked_here"))).over(one))
-        .withColumn("passed", F.sum(F.col("is_uri").cast("long")).over(since))
-        .withColumn("duration", F.when(F.col("is_uri"), F.col("own_duration")))
         .withColumn("asked", F.when(F.col("is_uri"), F.col("own_range")).when(F.col("is_map"), F.col("asked_here")))
-        .withColumn("sequence_id", F.when(F.col("is_uri"), F.col("sequence_base") + F.col("passed") - 1))
-        .drop("own_duration", "own_range", "passed", "asked_here", "inf", "base", "sequence_base")
+        .drop("own_range", "asked_here", "inf")
+    )
+    rows = _carried_ranges(
+        tagged,
+        sums={"seg_ord": (F.col("is_uri") | F.col("is_map")).cast("long")},
+        lasts={"key": F.col("key_event"), "base": F.col("base_here"), "reset": F.when(F.col("is_reset"), F.struct("uris"))},
+    )
+    passed = F.col("uris") - F.coalesce("reset.uris", F.lit(0))
+    return (
+        rows.withColumn("key", F.coalesce("key_event", "key"))
+        .withColumn("sequence_id", F.when(F.col("is_uri"), F.coalesce("base", F.lit(0)) + passed))
+        .drop("base", "base_here", "reset")
     )
-    return byte_ranges(rows)
 
 
 def byte_ranges(rows: DataFrame) -> DataFrame:
@@ -135,22 +138,82 @@ def byte_ranges(rows: DataFrame) -> DataFrame:
 
     ``rows`` have ``playlist_id, line_no, is_uri, url, asked``.
     """
-    order = Window.partitionBy("playlist_id", "is_uri").orderBy("line_no")
-    implicit = F.col("asked").isNotNull() & F.col("asked.offset").isNull()
-    follows = F.lag(F.col("asked").isNotNull()).over(order) & (F.lag("url").over(order) == F.col("url"))
-    chained = F.col("is_uri") & implicit & F.coalesce(follows, F.lit(False))
-    island = F.sum((~chained).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run = Window.partitionBy("playlist_id", "is_uri", "island").orderBy("line_no").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    return _carried_ranges(rows.withColumn(spans.PART, spans.part_of(["playlist_id"], F.col("line_no"))).repartition(spans.PART))
+
+
+def _carried_ranges(
+    rows: DataFrame, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None
+) -> DataFrame:
+    """As :func:`byte_ranges`, of rows that have their part and are dealt by it; ``sums`` and
+    ``lasts`` are carried along in the same join, as :func:`spans.before` does.
+
+    A range without an offset goes on from the last one that starts: its offset, and the
+    lengths since. Within a span only the first segment does not see the one before it, so
+    that one is decided where the spans' totals are put in order.
+    """
+    sums, lasts, part, is_uri = sums or {}, lasts or {}, spans.PART, F.col("is_uri")
+    here = Window.partitionBy(part).orderBy("line_no")
+    so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = here.rowsBetween(Window.unboundedPreceding, -1)
+    zero, ranged = F.lit(0).cast("long"), F.col("asked").isNotNull()
+    size = F.when(is_uri, F.col("asked.length"))
+    implicit = ranged & F.col("asked.offset").isNull()
+
+    def follows(prior: str) -> Column:
+        return F.coalesce(F.col(f"{prior}.ranged") & (F.col(f"{prior}.url") == F.col("url")), F.lit(False))
+
+    held = (
+        rows.withColumns({f"of_{n}": c for n, c in {**sums, **lasts}.items()})
+        .withColumn("prior", F.last(F.when(is_uri, F.struct("url", ranged.alias("ranged"))), ignorenulls=True).over(ahead))
+        .withColumn("sized", F.coalesce(F.sum(size).over(ahead), zero))
+        .withColumn("chained", is_uri & implicit & follows("prior"))
+        .withColumn("first_open", is_uri & implicit & F.col("prior").isNull())
+        .withColumn("start_here", F.when(is_uri & ~F.col("chained") & ~F.col("first_open"), F.struct("asked.offset", "sized")))
+        .withColumn("start", F.last("start_here", ignorenulls=True).over(so_far))
     )
-    return (
-        rows.withColumn("derivable", ~implicit | chained)
-        .withColumn("island", island)
-        .withColumn("length", F.col("asked.length"))
+    totals = held.groupBy(part).agg(
+        F.sum(size).alias("size"),
+        spans.last_of(F.col("start_here"), "line_no").alias("start"),
+        F.min_by(F.struct(F.col("first_open").alias("open"), "url"), F.when(is_uri, F.col("line_no"))).alias("first"),
+        F.max_by(F.struct("url", ranged.alias("ranged")), F.when(is_uri, F.col("line_no"))).alias("final"),
+        *(F.sum(f"of_{n}").alias(n) for n in sums),
+        *(spans.last_of(F.col(f"of_{n}"), "line_no").alias(n) for n in lasts),
+    )
+    upto = spans.earlier(["playlist_id"])
+
+    def start(offset: Column, sized: Column) -> Column:
+        return F.struct(offset.cast("long").alias("offset"), sized.alias("sized"))
+
+    broken = F.col("first.open") & ~F.col("first_chained")
+    carried = (
+        totals.withColumn("in_size", F.coalesce(F.sum("size").over(upto), zero))
+        .withColumn("prior", F.last("final", ignorenulls=True).over(upto))
+        .withColumn("url", F.col("first.url"))
+        .withColumn("first_chained", F.coalesce(F.col("first.open"), F.lit(False)) & follows("prior"))
+        .withColumn("lead", F.when(broken, start(F.lit(None), F.col("in_size"))))
         .withColumn(
-            "offset", F.first("asked.offset").over(run) + F.sum("asked.length").over(run) - F.col("asked.length")
+            "end_start",
+            F.when(F.col("start").isNotNull(), start(F.col("start.offset"), F.col("start.sized") + F.col("in_size"))).otherwise(F.col("lead")),
+        )
+        .select(
+            part, "in_size", "first_chained",
+            F.coalesce("lead", F.last("end_start", ignorenulls=True).over(upto)).alias("lead"),
+            *(F.sum(n).over(upto).alias(f"in_{n}") for n in sums),
+            *(F.last(n, ignorenulls=True).over(upto).alias(f"in_{n}") for n in lasts),
         )
-        .drop("island")
+    )
+    own = F.col("start").isNotNull()
+    since = F.when(own, F.col("sized") - F.col("start.sized")).otherwise(F.col("sized") + F.col("in_size") - F.col("lead.sized"))
+    offset = F.when(~is_uri, F.col("asked.offset")).when(
+        F.col("asked.length").isNotNull(), F.when(own, F.col("start.offset")).otherwise(F.col("lead.offset")) + since
+    )
+    return held.join(carried, part).select(
+        *(f"`{c}`" for c in rows.columns if c != part),
+        (~implicit | F.col("chained") | (F.col("first_open") & F.col("first_chained"))).alias("derivable"),
+        F.col("asked.length").alias("length"),
+        offset.alias("offset"),
+        *((F.coalesce(F.sum(f"of_{n}").over(ahead), zero) + F.coalesce(f"in_{n}", zero)).alias(n) for n in sums),
+        *(F.coalesce(F.last(f"of_{n}", ignorenulls=True).over(ahead), f"in_{n}").alias(n) for n in lasts),
     )
 
 
@@ -209,11 +272,9 @@ def errors(playlists: DataFrame) -> DataFrame:
 
 def segments(playlists: DataFrame) -> DataFrame:
     """Initialization and media segments in order, with what is in force for each."""
-    order = Window.partitionBy("playlist_id").orderBy("line_no")
     return (
         annotated_lines(playlists)
         .where("is_uri OR is_map")
-        .withColumn("seg_ord", F.row_number().over(order) - 1)
         .select(
             "playlist_id",
             "seg_ord",

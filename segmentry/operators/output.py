@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from segmentry.operators import spans
+
 # File extensions of video containers.
 VIDEO_EXTENSIONS = (
     "3g2", "3gp", "asf", "avi", "flv", "m2ts", "m4v", "mkv", "mov", "mp4", "mpe",
@@ -14,9 +16,12 @@ VIDEO_EXTENSIONS = (
 
 
 def contiguous_prefix(rows: DataFrame) -> DataFrame:
-    """Outcomes that can be written: those without a missing index before them."""
-    order = Window.partitionBy("track_id").orderBy("track_index")
-    return rows.withColumn("at", F.row_number().over(order) - 1).where("track_index = at").drop("at")
+    """Outcomes that can be written: those without a missing index before them.
+
+    A track is counted in spans of its indexes.
+    """
+    at = spans.before(rows, ["track_id"], "track_index", sums={"prefix_at": F.lit(1).cast("long")})
+    return at.where("track_index = prefix_at").drop("prefix_at")
 
 
 def completeness(rows: DataFrame, expected: DataFrame) -> DataFrame:
@@ -36,15 +41,17 @@ def duplicate_outcomes(rows: DataFrame) -> DataFrame:
 def runs(rows: DataFrame, ignore_gaps: bool = False) -> DataFrame:
     """Add ``run`` to ready outcomes: it grows at each one that follows a drop.
 
-    Drops before the first, after the last, and several in a row start nothing.
+    Drops before the first, after the last, and several in a row start nothing. A track is
+    gone through in spans: the status before a row, and the starts before it, are carried on.
     """
-    order = Window.partitionBy("track_id").orderBy("track_index")
     ready = F.col("status") == "ready"
-    starts = ready & (F.coalesce(F.lag("status").over(order), F.lit("dropped")) == "dropped")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = rows.withColumn("starts", starts)
-    run = F.lit(0).cast("long") if ignore_gaps else F.sum(F.col("starts").cast("long")).over(upto) - 1
-    return marked.withColumn("run", run).where(ready).drop("starts")
+    if ignore_gaps:
+        return rows.where(ready).withColumn("run", F.lit(0).cast("long"))
+    seen = spans.before(rows, ["track_id"], "track_index", lasts={"status_before": F.coalesce("status", F.lit("dropped"))})
+    starts = ready & (F.coalesce("status_before", F.lit("dropped")) == "dropped")
+    marked = seen.withColumn("starts", starts.cast("long"))
+    counted = spans.before(marked, ["track_id"], "track_index", sums={"run_before": F.col("starts")})
+    return counted.withColumn("run", F.col("run_before") + F.col("starts") - 1).where(ready).drop("starts", "status_before", "run_before")
 
 
 def concentrated(rows: DataFrame, payload: str, ignore_gaps: bool = False) -> DataFrame:
@@ -118,14 +125,12 @@ def kept_items(rows: DataFrame) -> DataFrame:
 def ordered_paths(run_paths: DataFrame, tracks: DataFrame) -> DataFrame:
     """``place, path``: all outputs, by the declared order of tracks and then by run.
 
-    Outputs are counted by track and numbered within it, so only the tracks, which are
-    few, are ordered as a whole.
+    Outputs are counted by track and numbered within it, and the tracks' counts are added
+    up in spans of their order, so only the spans' totals are ordered as a whole.
     """
     counts = run_paths.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("track_ord").rowsBetween(Window.unboundedPreceding, -1)
-    first = tracks.join(counts, "track_id").select(
-        "track_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
-    )
+    counted = tracks.select("track_id", "track_ord").join(counts, "track_id")
+    first = spans.before(counted, [], "track_ord", sums={"first": F.col("n")}).select("track_id", "first")
     at = Window.partitionBy("track_id").orderBy("run")
     return run_paths.join(first, "track_id").select(
         (F.col("first") + F.row_number().over(at) - 1).alias("place"), "track_id", "path"

@@ -9,14 +9,15 @@ from segmentry.functions.text import trimmed
 
 
 def lines(playlists: DataFrame) -> DataFrame:
-    """``playlist_id, playlist_url, line_no, line`` of all lines that are not blank."""
-    return (
-        playlists.select(
-            "playlist_id", "playlist_url", F.posexplode(F.split("content", r"\r?\n")).alias("at", "raw")
-        )
-        .select("playlist_id", "playlist_url", F.col("at").alias("line_no"), trimmed(F.col("raw")).alias("line"))
-        .where("line <> ''")
-    )
+    """``playlist_id, playlist_url, line_no, line`` of all lines that are not blank.
+
+    Playlists have their text as ``content``, or are rows of ``line_no`` and ``line`` already,
+    which no row or task has to hold as a whole.
+    """
+    if "content" in playlists.columns:
+        at = F.posexplode(F.split("content", r"\r?\n")).alias("line_no", "line")
+        playlists = playlists.select("playlist_id", "playlist_url", at)
+    return playlists.select("playlist_id", "playlist_url", "line_no", trimmed(F.col("line")).alias("line")).where("line <> ''")
 
 
 def playlist_kind(playlists: DataFrame) -> DataFrame:

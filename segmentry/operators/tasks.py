@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from segmentry.functions.text import duration_text, fixed
+from segmentry.operators import spans
 
 ATTEMPTS = 5
 TRACK_ID = r"^[A-Za-z0-9][A-Za-z0-9_-]{0,63}$"
 
 
 def track_index(rows: DataFrame, order: str) -> DataFrame:
-    """Add ``track_index``: the place of an item in its track, from 0."""
+    """Add ``track_index``: the place of an item in its track, from 0.
+
+    Where ``order`` is a whole number a track is counted in spans; another order has no
+    spans, and a track is then one window.
+    """
+    if isinstance(rows.schema[order].dataType, IntegralType):
+        return spans.before(rows, ["track_id"], order, sums={"track_index": F.lit(1).cast("long")})
     at = Window.partitionBy("track_id").orderBy(order)
     return rows.withColumn("track_index", F.row_number().over(at).cast("long") - 1)
 

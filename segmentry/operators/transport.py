@@ -191,7 +191,8 @@ def elementary(units_: DataFrame) -> DataFrame:
     """Units with ``header_bytes``, ``declared`` and ``fault`` of their packet header.
 
     A header is the start code, the stream id, the length of what follows, two bytes of
-    flags and the length of the header's rest. A declared length of 0 means all that is there.
+    flags and the length of the header's rest. A declared length of 0 means all that is there;
+    what lies behind a declared length is no part of the unit.
     """
     data = F.col("data")
     declared = byte_at(data, 4) * 256 + byte_at(data, 5)
@@ -200,8 +201,9 @@ def elementary(units_: DataFrame) -> DataFrame:
         "fault",
         F.when(F.coalesce(part(data, 0, 3) != F.lit(b"\x00\x00\x01"), F.lit(True)), "a unit has no start code")
         .when(F.coalesce(byte_at(data, 6).bitwiseAND(F.lit(0xC0)) != 0x80, F.lit(True)), "a unit has no header")
-        .when(F.octet_length(data) < header, "a header is longer than its unit")
-        .when((declared > 0) & (declared + 6 != F.octet_length(data)), "a unit has another length than it declares"),
+        .when(F.coalesce(F.octet_length(data) < header, F.lit(True)), "a header is longer than its unit")
+        .when((declared > 0) & (declared + 6 > F.octet_length(data)), "a unit has another length than it declares")
+        .when((declared > 0) & (declared + 6 < header), "a header is longer than its unit"),
     )
 
 
@@ -362,3 +364,52 @@ def adts_frames(data: pd.Series) -> pd.Series:
 def audio_block_bytes(frame_length: Column, header: Column) -> Column:
     """Encrypted bytes of an audio frame: whole blocks behind the header and 16 bytes."""
     return F.greatest(F.lit(0), F.floor((frame_length - header - 16) / 16).cast("int") * 16)
+
+
+@F.pandas_udf(
+    StructType([StructField("units", _pairs("prefix", "start", "end")), StructField("tail", IntegerType()), StructField("fault", StringType())])
+)
+def access_unit(data: pd.Series) -> pd.DataFrame:
+    """The units of an access unit with the zeros and start codes in front of each, and the
+    place of the zeros behind the last. One that does not begin with a start code, or has a
+    unit of no bytes, is faulty."""
+    units, tails, faults = [], [], []
+    for s in data:
+        found, tail, fault = [], None, None
+        at = -1 if s is None else s.find(b"\x00\x00\x01")
+        while at >= 0:
+            begin = at + 3
+            prefix = len(s[:at].rstrip(b"\x00")) if not found else max(len(s[:at].rstrip(b"\x00")), found[-1]["start"])
+            if found:
+                found[-1]["end"] = prefix
+            found.append({"prefix": prefix, "start": begin, "end": None})
+            at = s.find(b"\x00\x00\x01", begin)
+        if s is not None and (not found or found[0]["prefix"]):
+            fault = "a payload does not begin with a start code"
+        elif found:
+            tail = found[-1]["end"] = max(len(s.rstrip(b"\x00")), found[-1]["start"])
+            if any(u["end"] <= u["start"] for u in found):
+                fault = "a payload has an empty unit"
+        units.append(None if s is None or fault else found)
+        tails.append(tail if fault is None else None)
+        faults.append(fault)
+    return pd.DataFrame({"units": units, "tail": pd.array(tails, "Int32"), "fault": faults})
+
+
+@F.pandas_udf(BinaryType())
+def with_emulation(data: pd.Series) -> pd.Series:
+    """Units with a byte 3 wherever two zeros would be followed by a byte of at most 3."""
+
+    def guard(s: bytes | None) -> bytes | None:
+        if s is None or b"\x00\x00" not in s:
+            return s
+        out, zeros = bytearray(), 0
+        for x in s:
+            if zeros >= 2 and x <= 3:
+                out.append(3)
+                zeros = 0
+            out.append(x)
+            zeros = zeros + 1 if x == 0 else 0
+        return bytes(out)
+
+    return data.map(guard)

@@ -18,13 +18,13 @@ from segmentry.sources.playlists import config_options
 
 def media_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of every user's playlist that overlap [60, 600) seconds."""
-    return archive.archive_items(b.playlist_texts(spark, sf_dir), 60, 600).select(
+    return archive.archive_items(b.playlist_lines(spark, sf_dir), 60, 600).select(
         "track_id", "item_ord", "track_index", "kind", "sequence_id", "url", "duration"
     )
 
 
 def segment_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.segments(b.playlist_texts(spark, sf_dir)).select(
+    return media.segments(b.playlist_lines(spark, sf_dir)).select(
         "playlist_id", "seg_ord", "kind", "url", "duration", "sequence_id",
         F.col("encryption.method").alias("method"), F.col("encryption.key_id").alias("key_id"),
         F.col("encryption.key_kind").alias("key_kind"), F.col("encryption.iv").alias("iv"),
@@ -32,13 +32,13 @@ def segment_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def playlist_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.summary(b.playlist_texts(spark, sf_dir)).withColumn(
+    return media.summary(b.playlist_lines(spark, sf_dir)).withColumn(
         "average_duration", F.round("average_duration", 6)
     )
 
 
 def playlist_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.keys(b.playlist_texts(spark, sf_dir)).select("playlist_id", "id", "key_kind")
+    return media.keys(b.playlist_lines(spark, sf_dir)).select("playlist_id", "id", "key_kind")
 
 
 def playlist_errors(spark: SparkSession, sf_dir: str) -> DataFrame:

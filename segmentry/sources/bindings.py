@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from segmentry.operators import spans
+
 CDN = "https://cdn.example/"
 
 
@@ -15,11 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A track for each user and a segment for each event, sign-ups being initialization."""
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf_dir, "events").select(
+    one = F.lit(1).cast("long")
+    return spans.before(table(spark, sf_dir, "events"), ["user_id"], "event_id", sums={"ord": one}).select(
         F.concat(F.lit("u"), "user_id").alias("track_id"),
         "event_id",
-        (F.row_number().over(order) - 1).cast("long").alias("ord"),
+        "ord",
         F.when(F.col("event_type") == "signup", "init").otherwise("media").alias("kind"),
         F.col("value").alias("duration"),
         F.concat(F.lit(CDN), "user_id", F.lit("/"), "event_id", F.lit(".ts")).alias("url"),
@@ -28,11 +30,11 @@ def event_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An outcome for each event, errors being dropped; the payload is the event's id."""
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf_dir, "events").select(
+    one = F.lit(1).cast("long")
+    return spans.before(table(spark, sf_dir, "events"), ["user_id"], "event_id", sums={"track_index": one}).select(
         F.concat(F.lit("u"), "user_id").alias("track_id"),
         "event_id",
-        (F.row_number().over(order) - 1).cast("long").alias("track_index"),
+        "track_index",
         F.when(F.col("event_type") == "error", "dropped").otherwise("ready").alias("status"),
         F.when(F.col("event_type") == "signup", "init").otherwise("media").alias("kind"),
         F.col("value").alias("duration"),
@@ -48,13 +50,13 @@ def event_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("task_id", "attempt", (F.col("attempt") == F.col("needed")).alias("ok"))
 
 
-def playlist_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The media playlist of every track, as text.
+#: Lines of every playlist before its items, and behind them.
+HEAD = ("#EXTM3U", "# a comment", "", "#EXT-X-MEDIA-SEQUENCE:100")
+TAIL = ("#EXT-X-ENDLIST", "#EXTINF:9,", "late.ts")
 
-    Sequences start at 100. Every fifth item changes the key: a key with a vector, or
-    none. Text behind the end mark must be ignored.
-    """
-    rows = event_segments(spark, sf_dir)
+
+def _item_texts() -> Column:
+    """Text of an item of :func:`event_segments`, of one to three lines."""
     turn = F.expr("ord div 5")
     iv = F.lower(F.hex(F.col("ord") + 1))
     key = F.when(
@@ -68,17 +70,47 @@ def playlist_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.when(
         F.col("kind") == "init", F.concat(F.lit('#EXT-X-MAP:URI="'), name, F.lit('"'))
     ).otherwise(F.concat(F.lit("#EXTINF:"), F.col("duration").cast("string"), F.lit(",title\r\n  "), name))
-    text = F.concat_ws("\n", key, item)
+    return F.concat_ws("\n", key, item)
+
+
+def _playlist_url(track: Column) -> Column:
+    return F.concat(F.lit(CDN), F.substr(track, F.lit(2)), F.lit("/list.m3u8"))
+
+
+def playlist_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of :func:`playlist_texts`, which no row holds together."""
+    rows = event_segments(spark, sf_dir).where("track_id IS NOT NULL")
+    most = F.lit(4).cast("long")  # places an item has for its lines
+    items = rows.select(
+        F.col("track_id").alias("playlist_id"), ((F.col("ord") + len(HEAD)) * most).alias("at"),
+        F.posexplode(F.split(_item_texts(), r"\r?\n")).alias("k", "line"),
+    )
+    ends = rows.groupBy(F.col("track_id").alias("playlist_id")).agg((F.max("ord") + 1 + len(HEAD)).alias("after"))
+    head = ends.select("playlist_id", F.lit(0).cast("long").alias("at"), F.posexplode(F.array(*map(F.lit, HEAD))).alias("k", "line"))
+    tail = ends.select("playlist_id", (F.col("after") * most).alias("at"), F.posexplode(F.array(*map(F.lit, TAIL))).alias("k", "line"))
+    return items.unionByName(head).unionByName(tail).select(
+        "playlist_id", _playlist_url(F.col("playlist_id")).alias("playlist_url"), (F.col("at") + F.col("k")).alias("line_no"), "line"
+    )
+
+
+def playlist_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The media playlist of every track, as text.
+
+    Sequences start at 100. Every fifth item changes the key: a key with a vector, or
+    none. Text behind the end mark must be ignored.
+    """
+    rows = event_segments(spark, sf_dir)
+    text = _item_texts()
     body = F.transform(F.array_sort(F.collect_list(F.struct("ord", text.alias("text")))), lambda x: x["text"])
     return rows.groupBy("track_id").agg(
         F.concat(
-            F.lit("#EXTM3U\n# a comment\n\n#EXT-X-MEDIA-SEQUENCE:100\n"),
+            F.lit("\n".join((*HEAD, ""))),
             F.array_join(body, "\n"),
-            F.lit("\n#EXT-X-ENDLIST\n#EXTINF:9,\nlate.ts\n"),
+            F.lit("\n".join(("", *TAIL, ""))),
         ).alias("content")
     ).select(
         F.col("track_id").alias("playlist_id"),
-        F.concat(F.lit(CDN), F.substr("track_id", F.lit(2)), F.lit("/list.m3u8")).alias("playlist_url"),
+        _playlist_url(F.col("track_id")).alias("playlist_url"),
         "content",
     )
 

@@ -126,8 +126,8 @@ def recorded_follow(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH u AS (
   SELECT user_id AS u, user_id // 10 AS part, (user_id * 37 % 101 + 1) * 1000 AS bandwidth
   FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL)
-), o AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY u) - 1 AS at FROM u),
-best AS (SELECT part, u FROM o QUALIFY row_number() OVER (PARTITION BY part ORDER BY bandwidth DESC, at) = 1)
+), o AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY u) - 1 AS place FROM u),
+best AS (SELECT part, u FROM o QUALIFY row_number() OVER (PARTITION BY part ORDER BY bandwidth DESC, place) = 1)
 SELECT 'k' || part AS playlist_id, row_number() OVER (PARTITION BY part ORDER BY event_id) - 1 AS track_index,
        'https://cdn.example/' || u || '/' || event_id || '.ts' AS url
 FROM best JOIN events ON user_id = u

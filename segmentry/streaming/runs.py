@@ -51,3 +51,10 @@ def drained(stream: DataFrame, folder: str) -> DataFrame:
     """What ``stream`` has put out so far, after :func:`drain`."""
     drain(stream, folder)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in the shared folder, read back: for what is read more than once."""
+    folder = new_folder(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)

@@ -154,6 +154,28 @@ def recorded_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.default_archive(found.where(kinds), found.where(~kinds)).select("playlist_id", "track_index", "url")
 
 
+@query("""
+WITH r AS (SELECT conv_id, turn AS refresh, unnest(range(greatest(0, turn - 3), turn + 1)) AS n FROM conversations),
+first AS (SELECT conv_id, n, min((refresh % 2 = 0, refresh)) AS came FROM r GROUP BY ALL)
+SELECT 'c' || conv_id AS track_id, n AS sequence_id, struct_extract(came, 2) AS refresh FROM first
+""")
+def late_refreshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second refresh of a live track comes late, and still brings what it alone has."""
+    folder, r = runs.new_folder(spark, "late"), F.col("turn")
+    first = F.greatest(F.lit(0).cast("long"), r - 3)
+    lines = F.array_join(F.transform(F.sequence(first, r), lambda t: F.concat(F.lit("#EXTINF:2,\n"), t, F.lit(".ts"))), "\n")
+    fetched = b.table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("c"), "conv_id").alias("track_id"), r.alias("refresh"), F.lit(200).alias("status"),
+        F.lit(b.CDN).alias("playlist_url"), F.concat(F.lit("#EXT-X-MEDIA-SEQUENCE:"), first, F.lit("\n"), lines).alias("content"),
+    )
+
+    def run(stream: DataFrame) -> None:
+        runs.drain(follow.followed(stream), folder)
+
+    _in_parts(runs.written(follow.parsed_refreshes(fetched), "parsed"), [F.col("refresh") % 2 == 1, F.col("refresh") % 2 == 0], run)
+    return spark.read.schema(live.FOLLOWED).parquet(f"{folder}/out").where("event = 'item'").select("track_id", "sequence_id", "refresh")
+
+
 @query("""
 SELECT DISTINCT 'https://cdn.example/' || conv_id || '/k' || turn // 2 AS id FROM conversations
 WHERE NOT (conv_id % 7 = 3 AND turn >= 3) AND conv_id % 6 <> 0

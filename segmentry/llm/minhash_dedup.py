@@ -1,11 +1,12 @@
 """Near-duplicate detection by improved consistent weighted sampling.
 
 A text is a weighted set: its distinct shingles of ``SHINGLE`` words, each with weight
-term frequency times inverse document frequency, ``log(1 + documents / frequency)``, where
-a shingle that fewer than one of ``RARE`` documents have weighs as if one of ``RARE`` had it.
-So a pair is judged alike in tables of any size: what is common to many documents weighs
-less, but the copies in a group do not make their own shingles weigh less than the edits
-between them, unless the group is a notable share of all documents.
+term frequency times a damped inverse document frequency, ``1/2 + log4(documents /
+frequency) / 2``, at most 1. It is a function of the share of documents that have the
+shingle, so a pair is judged alike in tables of any size. What nearly all documents have
+weighs half; what fewer than one in ``COMMON`` have weighs alike, since the copies of a
+group would otherwise make their own shingles weigh less than the edits between them: a
+group with a tenth of all documents would lose the links that make it one.
 Document frequencies are exact for every 64-bit shingle fingerprint, and no task holds a
 table of them: documents are written once as blocks of ``BLOCK_BYTES`` of text, a block
 sends its distinct fingerprints to buckets by value, and a bucket returns their
@@ -63,7 +64,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 #: Shingles that fewer than one of so many documents have weigh alike.
-RARE = 1000
+COMMON = 4
 #: Text in a block of documents, and for each bucket of fingerprints; buckets at least.
 BLOCK_BYTES, BUCKET_BYTES, BUCKETS = 1 << 22, 1 << 24, 64
 #: Buckets of more nodes are compared tile by tile, not as rows of pairs.
@@ -207,7 +208,7 @@ def document_frequencies(blocks: DataFrame, text_bytes: int) -> DataFrame:
 
 
 def inverse(df: np.ndarray, total: int) -> np.ndarray:
-    return np.log1p(np.minimum(total / df, RARE))
+    return 0.5 + 0.5 * np.minimum(np.log(total / df) / np.log(COMMON), 1)
 
 
 @lru_cache(maxsize=1)

@@ -2,7 +2,11 @@
 
 Resolution covers absolute URIs, and relative ones (``//host``, ``/path``, ``path``,
 ``?query``, ``#fragment``, empty) against a hierarchical base, with dot segments
-removed. Other normalisation, such as of host names or percent escapes, is left out.
+removed. :func:`normalised` then gives the form that the URL standard writes, for URLs of
+the schemes that have a host: scheme and host in lower case, no default port, back slashes
+as slashes, dot segments also where dots are escaped, an empty path as ``/``, and characters
+that a part may not hold as escapes. Other URLs stay as they are. Left out: internationalised
+hosts (a host that is not ASCII is kept), and numbers as hosts.
 """
 
 from __future__ import annotations
@@ -11,6 +15,56 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+# The schemes with a host, and their default ports.
+PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
+#: What most URLs look like, in their normal form already.
+PLAIN = r"^https?://[a-z0-9.-]+(?:/(?!\.|%2)[A-Za-z0-9_~!$&()*+,;=:@.-]*)+(?:\?[A-Za-z0-9_~!$&()*+,;=:@/?.-]+)?$"
+# ASCII characters that are escaped in each part, beside controls and DEL.
+ESCAPED = {"path": ' "#<>?^`{}', "query": " \"#<>'", "fragment": ' "<>`'}
+
+
+def escaped(text: Column, part: str) -> Column:
+    """``text`` with what may not stand in a part of a URL as percent escapes of its UTF-8."""
+    held = "".join(f"\\x{ord(c):02X}" for c in ESCAPED[part])
+    unsafe = rf"[\x00-\x1F\x7F{held}]|[^\x00-\x7F]"
+
+    def escape(c: Column) -> Column:
+        pairs = F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+        return F.when(c.rlike(unsafe), pairs).otherwise(c)
+
+    # Runs of what needs no escape stay together, so a plain text is one piece.
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(?:{unsafe})|(?:(?!{unsafe}).)+"), F.lit(0))
+    return F.when(text.rlike(unsafe), F.array_join(F.transform(pieces, escape), "")).otherwise(text)
+
+
+def normalised(url: Column) -> Column:
+    """An absolute URL as the URL standard writes it; null where a host is missing or a port is
+    no number up to 65535."""
+    clean = F.regexp_replace(F.regexp_replace(url, r"[\t\n\r]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    scheme = F.lower(F.regexp_extract(clean, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    # Of these schemes any number of slashes, either way, leads to the host.
+    rest = F.regexp_extract(clean, r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\]*(.*)$", 1)
+    place = F.regexp_extract(rest, r"^([^/\\?#]*)", 1)
+    login = F.regexp_extract(place, r"^(.*@)", 1)
+    server = F.regexp_replace(place, r"^.*@", "")
+    host = F.lower(F.regexp_extract(server, r"^(\[[^\]]*\]|[^:\[]*)", 1))
+    port_text = F.regexp_extract(server, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1)
+    port = F.when(port_text.rlike("^[0-9]+$"), F.regexp_replace(port_text, "^0+(?=[0-9])", ""))
+    bad_port = (port_text != "") & (port.isNull() | (F.length(port) > 5) | (port.try_cast("int") > 65535))
+    ports = F.create_map(*(F.lit(x) for pair in PORTS.items() for x in pair))
+    own_port = F.when(port.isNull() | (port == F.try_element_at(ports, scheme)), "").otherwise(F.concat(F.lit(":"), port))
+    path = F.translate(F.regexp_extract(rest, r"^[^/\\?#]*([^?#]*)", 1), "\\", "/")
+    dotted = F.regexp_replace(
+        F.regexp_replace(F.concat(F.lit("/"), F.regexp_replace(path, "^/", "")), r"(?i)(?<=/)(\.%2e|%2e\.|%2e%2e)(?=/|$)", ".."),
+        r"(?i)(?<=/)%2e(?=/|$)", ".",
+    )
+    query, fragment = F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1), F.regexp_extract(rest, r"^[^#]*(#.*)$", 1)
+    whole = F.concat(
+        scheme, F.lit("://"), login, host, own_port, escaped(_without_dots(dotted), "path"),
+        F.when(query == "", "").otherwise(F.concat(F.lit("?"), escaped(F.substring(query, 2, 1 << 30), "query"))),
+        F.when(fragment == "", "").otherwise(F.concat(F.lit("#"), escaped(F.substring(fragment, 2, 1 << 30), "fragment"))),
+    )
+    return F.when(url.rlike(PLAIN), url).when(~scheme.isin(*PORTS), clean).when((host == "") | bad_port, None).otherwise(whole)
 
 
 def _without_dots(path: Column) -> Column:
@@ -28,6 +82,11 @@ def _without_dots(path: Column) -> Column:
     return F.concat(F.array_join(kept, "/"), slash)
 
 
+def absolute(base: Column, uri: Column) -> Column:
+    """``uri`` against its base in normal form, null where that cannot be."""
+    return normalised(resolve(base, uri))
+
+
 def resolve(base: Column, uri: Column) -> Column:
     """Absolute form of ``uri``, null where it is relative and the base cannot serve."""
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)

@@ -644,7 +644,7 @@ def protected_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _opened(docs: DataFrame, places: Column) -> DataFrame:
     """Documents whose ``data`` has been sealed at ``places`` and opened again."""
-    key, iv = F.unhex(F.md5("source")), binary.initial_vector(F.hex("doc_id"))
+    key, iv = F.unhex(F.md5(F.coalesce("source", F.lit("")))), binary.initial_vector(F.hex("doc_id"))
     sealed = docs.withColumn("places", places).withColumn("sealed", binary.seal_blocks(F.col("data"), F.col("places"), key, iv))
     return sealed.withColumn("opened", binary.open_blocks(F.col("sealed"), F.col("places"), key, iv)).select(
         "doc_id",
@@ -656,25 +656,25 @@ def _opened(docs: DataFrame, places: Column) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, n AS bytes, blocks, blocks > 0 AS was_sealed, md5('e' || text) AS opened_md5 FROM (
+SELECT doc_id, n AS bytes, blocks, blocks > 0 AS was_sealed, md5('e' || body) AS opened_md5 FROM (
   SELECT *, (CASE WHEN n > 48 THEN (n - 49) // 160 + 1 ELSE 0 END)::INTEGER AS blocks
-  FROM (SELECT *, (octet_length(encode(text)) + 1)::INTEGER AS n FROM documents WHERE text IS NOT NULL AND source IS NOT NULL))
+  FROM (SELECT *, coalesce(text, '') AS body, (octet_length(encode(coalesce(text, ''))) + 1)::INTEGER AS n FROM documents))
 """)
 def opened_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text as a slice unit, one block of every ten sealed, and opened again."""
-    docs = b.table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL")
-    docs = docs.withColumn("data", F.concat(F.encode(F.lit("e"), "UTF-8"), F.encode("text", "UTF-8")))
+    docs = b.table(spark, sf_dir, "documents")
+    docs = docs.withColumn("data", F.concat(F.lit(b"e"), F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
     return _opened(docs, binary.protected_offsets(F.octet_length("data")))
 
 
 @query("""
-SELECT doc_id, n AS bytes, blocks, blocks > 0 AS was_sealed, md5(text) AS opened_md5 FROM (
+SELECT doc_id, n AS bytes, blocks, blocks > 0 AS was_sealed, md5(body) AS opened_md5 FROM (
   SELECT *, (greatest(0, n // 3 // 16 - 1) + greatest(0, (n - n // 3 - 9) // 16 - 1))::INTEGER AS blocks
-  FROM (SELECT *, octet_length(encode(text))::INTEGER AS n FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND octet_length(encode(text)) >= 30))
+  FROM (SELECT *, coalesce(text, '') AS body, octet_length(encode(coalesce(text, '')))::INTEGER AS n FROM documents))
 """)
 def opened_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text as two audio frames of one chain, of which the second has a header."""
-    docs = b.table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL").withColumn("data", F.encode("text", "UTF-8"))
+    docs = b.table(spark, sf_dir, "documents").withColumn("data", F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     size = F.octet_length("data")
     first = F.floor(size / 3).cast("int")
 
@@ -682,7 +682,7 @@ def opened_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(start.alias("start"), length.alias("length"), F.lit(header).alias("header"))
 
     frames = F.array(frame(F.lit(0), first, 0), frame(first, size - first, 9))
-    return _opened(docs.where(size >= 30), binary.audio_places(frames))
+    return _opened(docs, binary.audio_places(frames))
 
 
 def _packet(head: Column, body: Column) -> Column:
@@ -988,3 +988,29 @@ def clear_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("fault").isNull(), F.col("summed") & (F.col("after") == F.col("before"))).alias("whole"),
         )
     )
+
+
+@query("""
+WITH p AS (
+  SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,
+         regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[a-z]+://[^?#]*(.*)$', 1) AS tail, url FROM pages
+)
+SELECT page_id, url AS same, scheme || '://' || host || path || tail AS written, 'http://' || host || ':443' || path AS port,
+       scheme || '://' || host || '/%C3%A9%20' || page_id || '?q=%22%C3%A9%22' AS escapes, NULL::VARCHAR AS bad
+FROM p
+""")
+def url_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' URLs as they are, and written in other ways that mean the same."""
+    url = F.col("url")
+    scheme, host, path = F.regexp_extract(url, "^([a-z]+)://", 1), urls.authority(url), urls.url_path(url)
+    tail = F.regexp_extract(url, r"^[a-z]+://[^?#]*(.*)$", 1)
+    default = F.when(scheme == "https", ":443").otherwise(":0080")
+    odd = _text(F.upper(scheme), ":\\\\", F.upper(host), default, "/.\\x/%2E./", "\t", F.substring(path, 2, 10_000), tail, " ")
+    return b.table(spark, sf_dir, "pages").select(
+        "page_id",
+        urls.normalised(url).alias("same"),
+        urls.normalised(odd).alias("written"),
+        urls.normalised(_text("http://", host, ":443", path)).alias("port"),
+        urls.normalised(_text(scheme, "://", host, "/é ", F.col("page_id"), '?q="é"')).alias("escapes"),
+        urls.normalised(_text(scheme, "://", host, ":port", path)).alias("bad"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from segmentry.functions.text import attributes, parse_int, tag_body, whole_number
-from segmentry.functions.urls import resolve
+from segmentry.functions.urls import absolute
 from segmentry.operators.syntax import lines
 
 
@@ -32,7 +32,7 @@ def variants(playlists: DataFrame) -> DataFrame:
         .select(
             "playlist_id",
             (F.row_number().over(order) - 1).alias("variant_index"),
-            resolve(F.col("playlist_url"), F.col("uri")).alias("url"),
+            absolute(F.col("playlist_url"), F.col("uri")).alias("url"),
             whole_number(_value("BANDWIDTH")).alias("bandwidth"),
             _value("CODECS").alias("codecs"),
             whole_number(_value("FRAME-RATE")).alias("frame_rate"),
@@ -41,7 +41,7 @@ def variants(playlists: DataFrame) -> DataFrame:
             _value("AUDIO").alias("audio_group_id"),
             F.when(F.col("uri").isNull(), "a stream has no URI")
             .when(_value("BANDWIDTH").isNull(), "a stream has no bandwidth")
-            .when(resolve(F.col("playlist_url"), F.col("uri")).isNull(), "a URI cannot be resolved")
+            .when(absolute(F.col("playlist_url"), F.col("uri")).isNull(), "a URI cannot be resolved")
             .alias("error"),
         )
     )
@@ -61,7 +61,7 @@ def audio_renditions(playlists: DataFrame) -> DataFrame:
             (F.row_number().over(order) - 1).alias("rendition_index"),
             _value("GROUP-ID").alias("group_id"),
             _value("NAME").alias("name"),
-            F.when(uri.isNotNull(), resolve(F.col("playlist_url"), uri)).alias("url"),
+            F.when(uri.isNotNull(), absolute(F.col("playlist_url"), uri)).alias("url"),
             _value("LANGUAGE").alias("language"),
             _value("CHARACTERISTICS").alias("characteristics"),
             parse_int(F.split_part(_value("CHANNELS"), F.lit("/"), F.lit(1))).alias("channels"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from segmentry.functions.text import attributes, parse_float, parse_int, tag_body, trimmed
-from segmentry.functions.urls import key_kind, resolve
+from segmentry.functions.urls import key_kind, absolute
 from segmentry.operators import spans
 from segmentry.operators.syntax import lines
 
@@ -94,7 +94,7 @@ def annotated_lines(playlists: DataFrame) -> DataFrame:
             "target",
             F.when(F.col("is_uri"), line).otherwise(F.nullif(F.try_element_at("a", F.lit("URI")), F.lit(""))),
         )
-        .withColumn("url", F.when(F.col("target").isNotNull(), resolve(F.col("playlist_url"), F.col("target"))))
+        .withColumn("url", F.when(F.col("target").isNotNull(), absolute(F.col("playlist_url"), F.col("target"))))
         .withColumn("key_event", F.when(F.col("is_key"), _key_event(F.col("url"))))
         .withColumn(
             "range_text",

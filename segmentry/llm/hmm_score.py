@@ -380,7 +380,8 @@ def _expect(batches: Iterator[pa.RecordBatch], m: Model, first: bool) -> Iterato
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block.as_py()], pa.int64()),
-                    pa.array([pack(stored.reshape(-1))], pa.binary()),
+                    # Shares of tokens that other blocks have come from their buckets.
+                    pa.array([pack((stored * (names == 0)[:, None]).reshape(-1))], pa.binary()),
                     pa.array([sums.tolist()], pa.list_(pa.float64())),
                     pa.array([sent], SENT_ARROW),
                 ],

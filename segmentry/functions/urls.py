@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from segmentry.functions.binary import once
+
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 # The schemes with a host, and their default ports.
 PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
@@ -40,31 +42,53 @@ def escaped(text: Column, part: str) -> Column:
 def normalised(url: Column) -> Column:
     """An absolute URL as the URL standard writes it; null where a host is missing or a port is
     no number up to 65535."""
+    return F.when(url.rlike(PLAIN), url).otherwise(once(url, _normal_form))
+
+
+def _normal_form(url: Column) -> Column:
+    """:func:`normalised` of a URL that has been computed; each part is computed once too."""
     clean = F.regexp_replace(F.regexp_replace(url, r"[\t\n\r]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    scheme = F.lower(F.regexp_extract(clean, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    # Of these schemes any number of slashes, either way, leads to the host.
-    rest = F.regexp_extract(clean, r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\]*(.*)$", 1)
-    place = F.regexp_extract(rest, r"^([^/\\?#]*)", 1)
-    login = F.regexp_extract(place, r"^(.*@)", 1)
-    server = F.regexp_replace(place, r"^.*@", "")
-    host = F.lower(F.regexp_extract(server, r"^(\[[^\]]*\]|[^:\[]*)", 1))
-    port_text = F.regexp_extract(server, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1)
-    port = F.when(port_text.rlike("^[0-9]+$"), F.regexp_replace(port_text, "^0+(?=[0-9])", ""))
-    bad_port = (port_text != "") & (port.isNull() | (F.length(port) > 5) | (port.try_cast("int") > 65535))
     ports = F.create_map(*(F.lit(x) for pair in PORTS.items() for x in pair))
-    own_port = F.when(port.isNull() | (port == F.try_element_at(ports, scheme)), "").otherwise(F.concat(F.lit(":"), port))
-    path = F.translate(F.regexp_extract(rest, r"^[^/\\?#]*([^?#]*)", 1), "\\", "/")
-    dotted = F.regexp_replace(
-        F.regexp_replace(F.concat(F.lit("/"), F.regexp_replace(path, "^/", "")), r"(?i)(?<=/)(\.%2e|%2e\.|%2e%2e)(?=/|$)", ".."),
-        r"(?i)(?<=/)%2e(?=/|$)", ".",
-    )
-    query, fragment = F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1), F.regexp_extract(rest, r"^[^#]*(#.*)$", 1)
-    whole = F.concat(
-        scheme, F.lit("://"), login, host, own_port, escaped(_without_dots(dotted), "path"),
-        F.when(query == "", "").otherwise(F.concat(F.lit("?"), escaped(F.substring(query, 2, 1 << 30), "query"))),
-        F.when(fragment == "", "").otherwise(F.concat(F.lit("#"), escaped(F.substring(fragment, 2, 1 << 30), "fragment"))),
-    )
-    return F.when(url.rlike(PLAIN), url).when(~scheme.isin(*PORTS), clean).when((host == "") | bad_port, None).otherwise(whole)
+
+    def split(x: Column) -> Column:
+        # Of these schemes any number of slashes, either way, leads to the host.
+        rest = F.regexp_extract(x, r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\]*(.*)$", 1)
+        scheme = F.lower(F.regexp_extract(x, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+        return once(F.struct(x.alias("clean"), scheme.alias("scheme"), rest.alias("rest")), placed)
+
+    def placed(x: Column) -> Column:
+        place = F.regexp_extract(x["rest"], r"^([^/\\?#]*)", 1)
+        server = F.regexp_replace(place, r"^.*@", "")
+        port = F.regexp_extract(server, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1)
+        path = F.translate(F.regexp_extract(x["rest"], r"^[^/\\?#]*([^?#]*)", 1), "\\", "/")
+        parts = F.struct(
+            x["clean"], x["scheme"], F.regexp_extract(place, r"^(.*@)", 1).alias("login"),
+            F.lower(F.regexp_extract(server, r"^(\[[^\]]*\]|[^:\[]*)", 1)).alias("host"),
+            F.when(port == "", "").when(port.rlike("^[0-9]+$"), F.regexp_replace(port, "^0+(?=[0-9])", "")).otherwise("bad").alias("port"),
+            F.concat(F.lit("/"), F.regexp_replace(path, "^/", "")).alias("path"),
+            F.regexp_extract(x["rest"], r"^[^?#]*\?([^#]*)", 1).alias("query"),
+            F.regexp_extract(x["rest"], r"^[^#]*#(.*)$", 1).alias("fragment"),
+        )
+        return F.when(~x["scheme"].isin(*PORTS), x["clean"]).otherwise(once(parts, joined))
+
+    def joined(x: Column) -> Column:
+        port = x["port"]
+        bad_port = (port == "bad") | (F.length(port) > 5) | (port.try_cast("int") > 65535)
+        own_port = F.when((port == "") | (port == F.try_element_at(ports, x["scheme"])), "").otherwise(F.concat(F.lit(":"), port))
+        dotted = F.regexp_replace(
+            F.regexp_replace(x["path"], r"(?i)(?<=/)(\.%2e|%2e\.|%2e%2e)(?=/|$)", ".."), r"(?i)(?<=/)%2e(?=/|$)", "."
+        )
+
+        def tail(mark: str, part: str) -> Column:
+            return F.when(x[part] == "", "").otherwise(F.concat(F.lit(mark), escaped(x[part], part)))
+
+        path = once(once(dotted, _without_dots), lambda p: escaped(p, "path"))
+        whole = F.concat(
+            x["scheme"], F.lit("://"), x["login"], x["host"], own_port, path, tail("?", "query"), tail("#", "fragment")
+        )
+        return F.when((x["host"] == "") | F.coalesce(bad_port, F.lit(False)), None).otherwise(whole)
+
+    return once(clean, split)
 
 
 def _without_dots(path: Column) -> Column:
@@ -84,7 +108,7 @@ def _without_dots(path: Column) -> Column:
 
 def absolute(base: Column, uri: Column) -> Column:
     """``uri`` against its base in normal form, null where that cannot be."""
-    return normalised(resolve(base, uri))
+    return once(resolve(base, uri), normalised)
 
 
 def resolve(base: Column, uri: Column) -> Column:

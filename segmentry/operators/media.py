@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from segmentry.functions.text import attributes, parse_float, parse_int, tag_body, trimmed
-from segmentry.functions.urls import key_kind, absolute
+from segmentry.functions.urls import absolute, key_kind
 from segmentry.operators import spans
 from segmentry.operators.syntax import lines
 

@@ -1,4 +1,4 @@
-"""Playlist parsing: the reference cases of lines, tags, ranges, keys, and faults."""
+"""Playlist parsing: lines, tags, ranges, keys, and faults."""
 
 from __future__ import annotations
 
@@ -30,25 +30,25 @@ def by_playlist(rows):
 def test_sequence_initialization_and_end(spark):
     found = playlists(
         spark,
-        '#EXTM3U\n#EXT-X-MEDIA-SEQUENCE:41\n#EXT-X-MAP:URI="init.mp4",BYTERANGE="1000@0"\n'
-        "#EXTINF:4.25,\na.ts\r\n#EXTINF:5.75,title\n\n  b.ts\n#EXT-X-ENDLIST\n#EXTINF:9,\nlate.ts",
+        '#EXTM3U\n#EXT-X-MEDIA-SEQUENCE:58\n#EXT-X-MAP:URI="init.mp4",BYTERANGE="640@32"\n'
+        "#EXTINF:3.5,\na.ts\r\n#EXTINF:8.5,title\n\n  b.ts\n#EXT-X-ENDLIST\n#EXTINF:9,\nlate.ts",
         "#EXTM3U\n#EXTINF:0,\na.ts\n#EXTINF:x,\nb.ts\n#EXT-X-MEDIA-SEQUENCE:9\n#EXTINF:1.5e0x,\nc.ts",
         "#EXTM3U",
     )
     got = by_playlist(media.segments(found).collect())
     init, a, b = got[0]
-    assert (init.kind, init.url, init.byte_range, init.sequence_id) == ("init", "https://cdn.example/path/init.mp4", (0, 1000), None)
-    assert [(x.url[-4:], x.duration, x.sequence_id) for x in (a, b)] == [("a.ts"[-4:], 4.25, 41), ("b.ts", 5.75, 42)]
+    assert (init.kind, init.url, init.byte_range, init.sequence_id) == ("init", "https://cdn.example/path/init.mp4", (32, 640), None)
+    assert [(x.url[-4:], x.duration, x.sequence_id) for x in (a, b)] == [("a.ts", 3.5, 58), ("b.ts", 8.5, 59)]
     assert [(x.duration, x.sequence_id) for x in got[1]] == [(5.0, 0), (5.0, 1), (1.5, 9)]
     sums = {r.playlist_id: r for r in media.summary(found).collect()}
-    assert (sums["0"].has_end_list, sums["0"].total_duration, sums["0"].average_duration) == (True, 10, 5)
+    assert (sums["0"].has_end_list, sums["0"].total_duration, sums["0"].average_duration) == (True, 12, 6)
     assert not sums["1"].has_end_list and sums["2"].average_duration != sums["2"].average_duration
 
 
 def test_byte_ranges(spark):
     found = playlists(
         spark,
-        '#EXT-X-MAP:URI="i",BYTERANGE="20@0"\n#EXTINF:1,\n#EXT-X-BYTERANGE:4@20\nx\n#EXT-X-BYTERANGE:5\n#EXTINF:1,\nx\n'
+        '#EXT-X-MAP:URI="i",BYTERANGE="31@2"\n#EXTINF:1,\n#EXT-X-BYTERANGE:6@40\nx\n#EXT-X-BYTERANGE:9\n#EXTINF:1,\nx\n'
         "#EXTINF:1,\n#EXT-X-BYTERANGE:7\nx",
         "#EXTINF:1,\n#EXT-X-BYTERANGE:invalid\nx",
         "#EXTINF:1,\n#EXT-X-BYTERANGE:0@0\nx",
@@ -59,7 +59,7 @@ def test_byte_ranges(spark):
         '#EXT-X-MAP:URI="i",BYTERANGE="100"',
     )
     got = by_playlist(media.segments(found).collect())
-    assert [s.byte_range.offset for s in got[0]] == [0, 20, 24, 29]
+    assert [s.byte_range.offset for s in got[0]] == [2, 40, 46, 55]
     faults = {int(r.playlist_id): r.error for r in media.errors(found).collect()}
     assert 0 not in faults and set(faults) == set(range(1, 8))
     assert faults[1] == faults[2] == faults[3] == "a byte range is invalid"
@@ -70,18 +70,18 @@ def test_byte_ranges(spark):
 def test_keys_carry_forward_until_cleared(spark):
     found = playlists(
         spark,
-        f'#EXT-X-KEY:METHOD=AES-128,URI="k1?token=a=b,c",IV={KEY16}\n#EXT-X-MAP:URI="i"\n#EXTINF:1,\na\n'
+        f'#EXT-X-KEY:METHOD=AES-128,URI="k1?sig=x=y,z",IV={KEY16}\n#EXT-X-MAP:URI="i"\n#EXTINF:1,\na\n'
         '#EXT-X-KEY:METHOD=NONE\n#EXTINF:1,\nb\n#EXTINF:1,\n#EXT-X-KEY:METHOD=AES-128,URI="k2"\nc\n'
         '#EXT-X-KEY:METHOD=OTHER,URI="z"\n#EXTINF:1,\nd',
         '#EXT-X-KEY:METHOD=AES-128,URI="skd://one"\n#EXTINF:1,\na\n#EXT-X-KEY:METHOD=AES-128,URI="data:text/plain;base64,AAEC"\n#EXTINF:1,\nb',
     )
     got = by_playlist(media.segments(found).collect())
     enc = [s.encryption for s in got[0]]
-    assert [e and e.key_id for e in enc] == ["https://cdn.example/path/k1?token=a=b,c"] * 2 + [None, "https://cdn.example/path/k2", None]
+    assert [e and e.key_id for e in enc] == ["https://cdn.example/path/k1?sig=x=y,z"] * 2 + [None, "https://cdn.example/path/k2", None]
     assert enc[0].iv == "1" * 32 and enc[3].iv is None
     assert [s.encryption.key_kind for s in got[1]] == ["external", "inline"]
     ids = [r.id for r in media.keys(found).where("playlist_id = '0'").orderBy("key_ord").collect()]
-    assert [i[-2:] for i in ids] == [",c", "k2"]
+    assert [i[-2:] for i in ids] == [",z", "k2"]
     items = by_playlist(discovery.items(media.segments(found)).withColumnRenamed("item_ord", "seg_ord").collect())
     assert [i.encryption and i.encryption.iv for i in items[0]] == ["1" * 32] * 2 + [None, "2", None]
 
@@ -97,7 +97,7 @@ def test_keys_carry_forward_until_cleared(spark):
         ("#EXT-X-BYTERANGE:1@0", "a tag applies to no segment"),
         ("#EXT-X-MAP:X=1", "an initialization has no URI"),
         ("#EXT-X-KEY:METHOD=AES-128", "a key has no URI"),
-        ('#EXT-X-KEY:METHOD=AES-128,URI="k",IV=prefix0x01', "an IV is malformed"),
+        ('#EXT-X-KEY:METHOD=AES-128,URI="k",IV=is0x2A', "an IV is malformed"),
         ('#EXT-X-KEY:METHOD=AES-128,URI="k",IV=0xGG', "an IV is malformed"),
         ('#EXT-X-KEY:METHOD=AES-128,URI="k",IV=0x' + "1" * 33, "an IV is malformed"),
         ('#EXT-X-KEY:METHOD=AES-128,URI="k"\n#EXT-X-MAP:URI="i"', "an encrypted initialization has no IV"),

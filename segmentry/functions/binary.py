@@ -137,5 +137,19 @@ def seal_blocks(data: Column, places: Column, key: Column, iv: Column) -> Column
 
 
 def inline_key(uri: Column) -> Column:
-    """Hex of the bytes of a base64 data URI."""
-    return F.lower(F.hex(F.unbase64(F.regexp_extract(uri, r"^data:[^,]*;base64,(.*)$", 1))))
+    """Hex of the bytes of a data URI: its data without a fragment and percent escapes,
+    decoded if the URI says that it is base64. Null for what is no data URI, or no base64."""
+    head = F.regexp_extract(uri, r"^[dD][aA][tT][aA]:([^,]*),", 1)
+    body = F.regexp_extract(uri, r"^[dD][aA][tT][aA]:[^,]*,([^#]*)", 1)
+    parts = F.regexp_extract_all(body, F.lit(r"(%[0-9A-Fa-f]{2}|(?s:.))"), 1)
+    whole = F.array_join(
+        F.transform(parts, lambda p: F.when(F.length(p) == 3, F.substr(p, F.lit(2))).otherwise(F.hex(F.encode(p, "UTF-8")))), ""
+    )
+
+    def decoded(digits: Column) -> Column:
+        letters = F.regexp_replace(F.decode(F.unhex(digits), "UTF-8"), r"[\s=]", "")
+        padded = F.rpad(letters, F.ceil(F.length(letters) / 4).cast("int") * 4, F.lit("="))
+        return F.hex(F.try_to_binary(padded, F.lit("base64")))
+
+    is_base64 = F.lower(head).rlike(r";\s*base64\s*$")
+    return F.when(uri.rlike("^[dD][aA][tT][aA]:[^,]*,"), F.lower(once(whole, lambda x: F.when(is_base64, decoded(x)).otherwise(x))))

@@ -122,15 +122,15 @@ def playlist_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Variants of the sound masters, and every supplier as a rendition of all playlists
-    that name its group, so a shared rendition is one track of several options."""
+    """Variants of the sound masters, and every supplier as a rendition of eight of the
+    playlists, so a shared rendition is one track of several options."""
     variants = master.variants(_masters(spark, sf_dir)).where("error IS NULL")
-    groups = variants.select("playlist_id", F.col("audio_group_id").alias("group_id")).distinct()
+    part = F.explode(F.sequence(F.expr("3 * s_suppkey div 10"), F.expr("3 * s_suppkey div 10 + 7")))
     suppliers = b.table(spark, sf_dir, "supplier").select(
-        (F.col("s_suppkey") - 1).alias("rendition_index"), _text("g", F.col("s_nationkey")).alias("group_id"), F.col("s_name").alias("name"),
+        part.alias("part"), (F.col("s_suppkey") - 1).alias("rendition_index"), _text("g", F.col("s_nationkey")).alias("group_id"), F.col("s_name").alias("name"),
         F.when(F.col("s_suppkey") % 3 != 0, _text(b.CDN, "a/", F.col("s_suppkey"))).alias("url"), (F.col("s_suppkey") % 2 == 1).alias("is_default"),
     )
-    return variants, suppliers.join(groups, "group_id")
+    return variants, suppliers.select(_text("m", F.col("part")).alias("playlist_id"), "*").drop("part")
 
 
 OWN = f"""{VARIANTS}, own AS (
@@ -138,7 +138,8 @@ OWN = f"""{VARIANTS}, own AS (
   FROM variants WHERE error IS NULL
 ), ext AS (
   SELECT own.playlist_id, variant_index, s_suppkey, 'audio-' || s_suppkey AS audio_id, 'https://cdn.example/a/' || s_suppkey AS audio_url
-  FROM own JOIN supplier ON audio_group_id = 'g' || s_nationkey WHERE s_suppkey % 3 <> 0
+  FROM own JOIN supplier ON audio_group_id = 'g' || s_nationkey AND substr(playlist_id, 2)::BIGINT BETWEEN 3 * s_suppkey // 10 AND 3 * s_suppkey // 10 + 7
+  WHERE s_suppkey % 3 <> 0
 ), opts AS (
   SELECT own.*, list_concat([own_id], coalesce((SELECT list(audio_id ORDER BY s_suppkey) FROM ext
            WHERE ext.playlist_id = own.playlist_id AND ext.variant_index = own.variant_index), [])) AS ids FROM own
@@ -164,7 +165,8 @@ FROM opts WHERE own_id LIKE 'video-%'
 """)
 def video_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Video tracks, those of the best options first."""
-    return catalog.video_choices(catalog.options(*_catalog(spark, sf_dir)))
+    variants, _ = _catalog(spark, sf_dir)
+    return catalog.video_choices(catalog.own_options(variants))
 
 
 @query(f"""
@@ -174,7 +176,7 @@ SELECT playlist_id, CASE WHEN count(*) > 1 THEN 'ask' WHEN bool_or(own_id LIKE '
 FROM opts GROUP BY playlist_id
 """)
 def automatic_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.automatic_choice(catalog.options(*_catalog(spark, sf_dir)), interactive=True)
+    return catalog.automatic_choice(catalog.option_counts(*_catalog(spark, sf_dir)), interactive=True)
 
 
 @query("""

@@ -41,6 +41,7 @@ def primary_tracks(variants: DataFrame) -> DataFrame:
         F.when(~audio, F.col("width")).alias("width"),
         F.when(~audio, F.col("height")).alias("height"),
         F.when(~audio, F.col("frame_rate")).alias("frame_rate"),
+        "audio_group_id",
     )
 
 
@@ -62,34 +63,65 @@ def linked(variants: DataFrame, renditions: DataFrame) -> DataFrame:
     )
 
 
+def offered(variants: DataFrame, renditions: DataFrame) -> DataFrame:
+    """Each track once, with where it first appears: ``playlist_id, track_id, type, url,
+    variant_index, rendition_index, audio_group_id``.
+
+    A variant's own track has rendition -1 and no group. A rendition is joined with the
+    first variant that names its group, so rows grow with variants and renditions and not
+    with their pairs.
+    """
+    own = primary_tracks(variants).select(
+        "playlist_id", "track_id", "type", "url", "variant_index", F.lit(-1).alias("rendition_index"), F.lit(None).cast("string").alias("audio_group_id")
+    )
+    used = variants.where("audio_group_id IS NOT NULL").groupBy("playlist_id", "audio_group_id").agg(F.min("variant_index").alias("variant_index"))
+    audio = external_tracks(renditions).join(used, ["playlist_id", "audio_group_id"])
+    return own.unionByName(audio)
+
+
+def external_tracks(renditions: DataFrame) -> DataFrame:
+    """Renditions that can be downloaded, as tracks of their group."""
+    return renditions.where("url IS NOT NULL").select(
+        "playlist_id", F.col("group_id").alias("audio_group_id"), F.concat(F.lit("audio-"), F.col("rendition_index") + 1).alias("track_id"),
+        F.lit("audio").alias("type"), "url", "rendition_index",
+    )
+
+
 def tracks(variants: DataFrame, renditions: DataFrame) -> DataFrame:
     """All tracks in the order they first appear; a shared audio track appears once."""
-    own = primary_tracks(variants).select("playlist_id", "track_id", "type", F.col("variant_index").alias("at"), F.lit(-1).alias("sub"), "url")
-    audio = linked(variants, renditions).where("audio_track_id IS NOT NULL").select(
-        "playlist_id", F.col("audio_track_id").alias("track_id"), F.lit("audio").alias("type"),
-        F.col("variant_index").alias("at"), F.col("rendition_index").alias("sub"), F.col("audio_url").alias("url"),
+    order = Window.partitionBy("playlist_id").orderBy("variant_index", "rendition_index")
+    return offered(variants, renditions).select("playlist_id", "track_id", "type", "url", (F.row_number().over(order) - 1).alias("track_ord"))
+
+
+def own_options(variants: DataFrame) -> DataFrame:
+    """An option for each variant with its own track alone, and the group that the rest of
+    its tracks are in: ``playlist_id, option_id, option_index, bandwidth, track_ids, type,
+    url, audio_group_id``."""
+    return primary_tracks(variants).select(
+        "playlist_id", F.concat(F.lit("option-"), F.col("variant_index") + 1).alias("option_id"), F.col("variant_index").alias("option_index"),
+        "bandwidth", F.array("track_id").alias("track_ids"), "type", "url", "audio_group_id",
     )
-    first = own.unionByName(audio).groupBy("playlist_id", "track_id", "type", "url").agg(F.min(F.struct("at", "sub")).alias("first"))
-    order = Window.partitionBy("playlist_id").orderBy("first")
-    return first.select("playlist_id", "track_id", "type", "url", (F.row_number().over(order) - 1).alias("track_ord"))
 
 
 def options(variants: DataFrame, renditions: DataFrame) -> DataFrame:
-    """Stream options: a primary track and the external audio tracks of its group."""
-    members = linked(variants, renditions)
-    own = primary_tracks(variants).select("playlist_id", "variant_index", F.col("track_id").alias("own_id"))
-    pairs = F.array_sort(F.collect_list(F.when(F.col("audio_track_id").isNotNull(), F.struct("rendition_index", "audio_track_id"))))
-    return (
-        members.groupBy("playlist_id", "variant_index", "bandwidth")
-        .agg(pairs.alias("audio"))
-        .join(own, ["playlist_id", "variant_index"])
-        .select(
-            "playlist_id",
-            F.concat(F.lit("option-"), F.col("variant_index") + 1).alias("option_id"),
-            F.col("variant_index").alias("option_index"),
-            "bandwidth",
-            F.concat(F.array("own_id"), F.transform("audio", lambda x: x["audio_track_id"])).alias("track_ids"),
-        )
+    """Stream options: a primary track and the external audio tracks of its group.
+
+    A group is collected once and not for each variant that names it.
+    """
+    members = F.array_sort(F.collect_list(F.struct("rendition_index", "track_id"))).getField("track_id")
+    groups = external_tracks(renditions).groupBy("playlist_id", "audio_group_id").agg(members.alias("audio"))
+    none = F.array().cast("array<string>")
+    return own_options(variants).join(groups, ["playlist_id", "audio_group_id"], "left").select(
+        "playlist_id", "option_id", "option_index", "bandwidth", F.concat("track_ids", F.coalesce("audio", none)).alias("track_ids")
+    )
+
+
+def option_counts(variants: DataFrame, renditions: DataFrame) -> DataFrame:
+    """``playlist_id, option_id, option_index, bandwidth, videos, audios``: how many tracks
+    of each type an option has, ``audios`` being those of its group."""
+    groups = external_tracks(renditions).groupBy("playlist_id", "audio_group_id").agg(F.count(F.lit(1)).alias("n"))
+    return own_options(variants).join(groups, ["playlist_id", "audio_group_id"], "left").select(
+        "playlist_id", "option_id", "option_index", "bandwidth", (F.col("type") == "video").cast("long").alias("videos"), F.coalesce("n", F.lit(0)).alias("audios")
     )
 
 
@@ -99,9 +131,19 @@ def effective_bandwidth(bandwidth: Column, track_bandwidths: Column) -> Column:
     return F.coalesce(bandwidth, total)
 
 
+def with_effective_bandwidth(options_: DataFrame, tracks_: DataFrame) -> DataFrame:
+    """``options_`` whose ``bandwidth``, where it is null, is the sum of their tracks'.
+
+    ``tracks_``: ``playlist_id, option_id, bandwidth``; an option without any has 0.
+    """
+    total = tracks_.groupBy("playlist_id", "option_id").agg(F.sum("bandwidth").alias("total"))
+    return options_.join(total, ["playlist_id", "option_id"], "left").withColumn("bandwidth", F.coalesce("bandwidth", "total", F.lit(0.0))).drop("total")
+
+
 def default_option(options_: DataFrame, bandwidth: str = "bandwidth") -> DataFrame:
-    """The option of highest bandwidth of each playlist; of equal ones the first."""
-    best = F.max_by(F.struct("option_id", "option_index", bandwidth), F.struct(F.col(bandwidth), -F.col("option_index")))
+    """The option of highest bandwidth of each playlist, as a whole row; of equal ones the first."""
+    rest = [c for c in options_.columns if c != "playlist_id"]
+    best = F.max_by(F.struct(*rest), F.struct(F.col(bandwidth), -F.col("option_index")))
     return options_.groupBy("playlist_id").agg(best.alias("best")).select("playlist_id", "best.*")
 
 
@@ -185,15 +227,6 @@ def video_choices(options_: DataFrame) -> DataFrame:
     )
 
 
-def selected_tracks(options_: DataFrame, tracks_: DataFrame) -> DataFrame:
-    """The tracks of one chosen option of each playlist, with what to fetch for them.
-
-    ``tracks_`` are those of :func:`tracks`; only a playlist's own tracks are joined.
-    """
-    chosen = options_.select("playlist_id", F.posexplode("track_ids").alias("place", "track_id"))
-    return chosen.join(tracks_.select("playlist_id", "track_id", "type", "url"), ["playlist_id", "track_id"])
-
-
 def direct_tracks(playlists: DataFrame) -> DataFrame:
     """A media playlist that was given itself is one video track of the name ``main``."""
     return playlists.select(
@@ -211,18 +244,17 @@ def audio_choices(tracks_: DataFrame) -> DataFrame:
     return tracks_.select("playlist_id", "option_id", F.col("place").cast("long"), "track_id", "title").unionByName(none)
 
 
-def automatic_choice(options_: DataFrame, interactive: bool) -> DataFrame:
-    """The branches of the selection that ask nothing.
+def automatic_choice(counts: DataFrame, interactive: bool) -> DataFrame:
+    """The branches of the selection that ask nothing, from :func:`option_counts`.
 
     ``default``: there is no video and one option, or nobody to ask. ``video``: one
     video without external audio. ``ask``: anything else.
     """
-    video = F.count_if(F.exists("track_ids", lambda t: t.startswith("video-")))
-    audio = F.max(F.size("track_ids") > 1)
-    return options_.groupBy("playlist_id").agg(
+    video, one = F.sum("videos"), F.count(F.lit(1)) == 1
+    return counts.groupBy("playlist_id").agg(
         F.when(F.lit(not interactive), "default")
-        .when((video == 0) & (F.count(F.lit(1)) == 1), "default")
-        .when((video == 1) & (F.count(F.lit(1)) == 1) & ~audio, "video")
+        .when((video == 0) & one, "default")
+        .when((video == 1) & one & (F.max("audios") == 0), "video")
         .otherwise("ask")
         .alias("choice")
     )

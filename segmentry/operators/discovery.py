@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segmentry.functions.binary import inline_key
 from segmentry.operators import spans
 
 
@@ -136,6 +139,27 @@ def external_keys_without_explicit(keys: DataFrame, explicit: int) -> DataFrame:
     )
 
 
+def resolved_keys(keys: DataFrame, files: DataFrame, explicit: Sequence[str] = ()) -> DataFrame:
+    """``keys`` with ``key``, its bytes in hex, and ``fault``, why there is none.
+
+    ``keys``: ``playlist_id, id, key_kind``, an id being an absolute URI, and any other
+    columns; ``files``: ``url, content``, the fetched ones. One explicit key is the key of
+    every id, more are a fault. An external key without one is a fault of all keys of its
+    playlist, of which none is then looked for.
+    """
+    if explicit:
+        one = F.lit(explicit[0] if len(explicit) == 1 else None).cast("string")
+        return keys.withColumns({"key": one, "fault": F.when(one.isNull(), "more than one explicit key")})
+    batches = external_keys_without_explicit(keys, 0)
+    met = keys.join(batches.withColumnRenamed("fault", "batch_fault"), "playlist_id")
+    fetched = F.when(F.col("batch_fault").isNull() & (F.col("key_kind") == "http"), F.col("id"))
+    found = met.join(files.select(F.col("url").alias("file_url"), F.col("content").alias("file")), fetched == F.col("file_url"), "left")
+    bytes_ = F.when(F.col("key_kind") == "http", F.lower(F.hex("file"))).otherwise(inline_key(F.col("id")))
+    key = F.when(F.col("batch_fault").isNull(), bytes_)
+    fault = F.coalesce("batch_fault", F.when(key.isNull(), "a key cannot be fetched"))
+    return found.withColumns({"key": key, "fault": fault}).drop("batch_fault", "file_url", "file")
+
+
 def sound_average(average: Column) -> Column:
     """The average segment of a playlist; five seconds where it is no positive number."""
     return F.when(F.isnan(average) | average.isNull() | (average <= 0), 5.0).otherwise(average)

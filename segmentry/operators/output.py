@@ -165,9 +165,9 @@ def mux_plan(artifacts: DataFrame, group: str) -> DataFrame:
     )
 
 
-def first_available(muxers: DataFrame) -> DataFrame:
-    """The available muxer of least priority number; a failed probe is none."""
-    return muxers.where("available").agg(F.min_by("name", "priority").alias("name"))
+def first_available(muxers: DataFrame, *hosts: str) -> DataFrame:
+    """The available muxer of least priority, of each of ``hosts`` if named; a failed probe is none."""
+    return muxers.where("available").groupBy(*hosts).agg(F.min_by("name", "priority").alias("name"))
 
 
 def mux_arguments(name: Column, output: Column, inputs: Column) -> Column:

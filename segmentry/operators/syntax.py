@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmentry.functions.text import trimmed
@@ -20,11 +20,11 @@ def lines(playlists: DataFrame) -> DataFrame:
     return playlists.select("playlist_id", "playlist_url", "line_no", trimmed(F.col("line")).alias("line")).where("line <> ''")
 
 
+def is_master(content: Column) -> Column:
+    """Whether any line of a playlist's text is a stream tag."""
+    return F.exists(F.split(content, r"\r?\n"), lambda x: trimmed(x).startswith("#EXT-X-STREAM-INF"))
+
+
 def playlist_kind(playlists: DataFrame) -> DataFrame:
     """``playlist_id, kind``: master if any line is a stream tag, else media."""
-    master = F.exists(
-        F.split("content", r"\r?\n"), lambda x: trimmed(x).startswith("#EXT-X-STREAM-INF")
-    )
-    return playlists.select(
-        "playlist_id", F.when(master, F.lit("master")).otherwise(F.lit("media")).alias("kind")
-    )
+    return playlists.select("playlist_id", F.when(is_master(F.col("content")), F.lit("master")).otherwise(F.lit("media")).alias("kind"))

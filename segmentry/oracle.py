@@ -6,7 +6,7 @@ cannot hide in both.
 
 from __future__ import annotations
 
-from segmentry import more_queries, stream_queries
+from segmentry import choice_queries, more_queries, stream_queries
 
 SEGMENT = """
 seg AS (
@@ -319,4 +319,4 @@ FROM e WHERE x IS NOT NULL AND event_type <> 'error' AND c <> x
 SELECT doc_id, (strlen(text) // 16 + 1) * 16 AS padded_bytes, true AS same_padded, true AS same_blocks FROM documents
 """,
 }
-ORACLE |= more_queries.ORACLE | stream_queries.ORACLE
+ORACLE |= more_queries.ORACLE | choice_queries.ORACLE | stream_queries.ORACLE

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from segmentry import more_queries, stream_queries
+from segmentry import choice_queries, more_queries, stream_queries
 from segmentry.functions import binary, text, urls
 from segmentry.operators import catalog, discovery, master, media, output, syntax, tasks, transport
 from segmentry.plans import archive
@@ -194,7 +194,8 @@ def key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def default_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = b.customer_variants(spark, sf_dir).withColumn("option_id", F.concat(F.lit("option-"), F.col("variant_index") + 1))
-    return catalog.default_option(options.withColumnRenamed("variant_index", "option_index"))
+    best = catalog.default_option(options.withColumnRenamed("variant_index", "option_index"))
+    return best.select("playlist_id", "option_id", "option_index", "bandwidth")
 
 
 def stream_options(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,4 +395,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         config_normalize, time_fold, fan_in, packetize, packet_units, continuity, aes_cbc_roundtrip, crc32_mpeg2,
     )
 }
-QUERIES |= more_queries.QUERIES | stream_queries.QUERIES
+QUERIES |= more_queries.QUERIES | choice_queries.QUERIES | stream_queries.QUERIES

@@ -140,15 +140,18 @@ def customer_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The market segments of customers.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
 def supplier_renditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An audio rendition for each supplier, in the group of its nation; each third has no URI."""
-    segments = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("playlist_id")).distinct()
-    suppliers = table(spark, sf_dir, "supplier").select(
+    """An audio rendition for each supplier and market segment, in the group of its nation;
+    each third has no URI."""
+    return table(spark, sf_dir, "supplier").select(
+        F.explode(F.array(*map(F.lit, SEGMENTS))).alias("playlist_id"),
         (F.col("s_suppkey") - 1).alias("rendition_index"),
         F.concat(F.lit("g"), "s_nationkey").alias("group_id"),
         F.col("s_name").alias("name"),
         F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit("https://cdn.example/a/"), "s_suppkey")).alias("url"),
         (F.col("s_suppkey") % 2 == 1).alias("is_default"),
     )
-    # Every market segment offers all renditions: the segments are a handful of rows.
-    return suppliers.withColumn("one", F.lit(1)).join(segments.withColumn("one", F.lit(1)), "one").drop("one")

@@ -34,7 +34,7 @@ def test_shared_external_audio_is_one_track(spark):
     options = catalog.options(v, r).orderBy("option_index").collect()
     assert [o.track_ids for o in options] == [["video-1", "audio-1"], ["video-2", "audio-1"], ["audio-primary-3"]]
     assert catalog.default_option(catalog.options(v, r)).first().option_id == "option-2"
-    assert catalog.automatic_choice(catalog.options(v, r), True).first().choice == "ask"
+    assert catalog.automatic_choice(catalog.option_counts(v, r), True).first().choice == "ask"
     assert not any(x.missing for x in catalog.linked(v, r).collect())
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from segmentry.functions import binary
 from segmentry.operators import catalog, discovery, master, media, output, selection, syntax, tasks
 from segmentry.sources.playlists import byte_ranges
+from segmentry.streaming import runs
 
 
 def archive_items(playlists: DataFrame, start: float | None = None, end: float | None = None) -> DataFrame:
@@ -66,13 +67,14 @@ def archive_of(
     """``playlist_id, place, track_id`` and the numbered items of each of ``tracks``, all in one plan.
 
     ``media_playlists`` have been fetched; those of the tracks are found by URL. Tracks
-    that :func:`track_faults` names have no items.
+    that :func:`track_faults` names have no items. The texts of the tracks are written as a
+    table, as the plan of their segments reads them several times.
     """
     known = media_playlists.where(~syntax.is_master(F.col("content")))
     found = tracks.join(known.select(F.col("playlist_url").alias("url"), "content"), "url").select(
         F.struct("playlist_id", "place", "track_id").alias("playlist_id"), F.col("url").alias("playlist_url"), "content"
     )
-    items = archive_items(found, start, end)
+    items = archive_items(runs.written(found, "tracks"), start, end)
     return items.select("track_id.*", *(f"`{c}`" for c in items.columns if c != "track_id"))
 
 

@@ -36,11 +36,13 @@ def planned_tracks(playlists: DataFrame, selected: DataFrame | None = None) -> t
     The first has ``playlist_id, place, track_id, type, url``, the second ``playlist_id,
     fault``. A media playlist is a track of its own. Of a master the tracks are those of
     the caller's selection (rows as in ``operators.selection``), or without any caller
-    those of the default option. A master with a faulty line gives no track.
+    those of the default option. A master with a faulty line gives no track. Variants and
+    renditions are written as tables, as several joins read them.
     """
     is_master = syntax.is_master(F.col("content"))
     masters, direct = playlists.where(is_master), playlists.where(~is_master)
-    variants, renditions = master.variants(masters), master.audio_renditions(masters)
+    variants = runs.written(master.variants(masters), "variants")
+    renditions = runs.written(master.audio_renditions(masters), "renditions")
     lines = [x.where("error IS NOT NULL").select("playlist_id", F.col("error").alias("fault")) for x in (variants, renditions)]
     bad = lines[0].unionByName(lines[1]).groupBy("playlist_id").agg(F.min("fault").alias("fault"))
     variants = variants.join(bad, "playlist_id", "left_anti")

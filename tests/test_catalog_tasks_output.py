@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from segmentry import more_queries
 from segmentry.operators import catalog, discovery, output, tasks
 from segmentry.plans import archive
 
@@ -38,6 +39,46 @@ def test_shared_external_audio_is_one_track(spark):
     assert not any(x.missing for x in catalog.linked(v, r).collect())
 
 
+def first_seen(named, groups):
+    """Ids of tracks in the order they first appear: ``named`` has each variant's own track and
+    group, ``groups`` the external tracks of each group."""
+    found = {}
+    for own, group in named:
+        found |= dict.fromkeys([own, *groups.get(group, [])])
+    return list(found)
+
+
+def test_renditions_of_all_playlists_are_tracks_of_each_that_names_their_group(spark):
+    sizes = {"a": 1, "b": catalog.BLOCK, "c": 2 * catalog.BLOCK + 1, "d": 0, "unnamed": 3}
+    names = [g for g, n in sizes.items() for _ in range(n)]
+    random.Random(5).shuffle(names)
+    shared = [(i, g, "n", "u" if i % 9 else None, False) for i, g in enumerate(names)]
+    playlists = {"p": ["b", None, "c", "b", "d", "a", "c"], "q": [None], "r": ["c", "c"], "s": ["a", "b"]}
+    v = variants(spark, [(k, i, "v", 1.0, "avc1", None, None, None, g) for k, named in playlists.items() for i, g in enumerate(named)])
+    audio = {g: [f"audio-{i + 1}" for i, x in enumerate(names) if x == g and i % 9] for g in sizes}
+    want = {k: first_seen([(f"video-{i + 1}", g) for i, g in enumerate(named)], audio) for k, named in playlists.items()}
+    for r in (renditions(spark, [(None, *x) for x in shared]).drop("playlist_id"), renditions(spark, [(k, *x) for k in playlists for x in shared])):
+        rows = sorted(catalog.tracks(v, r).collect(), key=lambda t: (t.playlist_id, t.track_ord))
+        assert {k: [t.track_id for t in rows if t.playlist_id == k] for k in playlists} == want
+        assert [t.track_ord for t in rows] == [i for k in sorted(want) for i in range(len(want[k]))]
+        assert all((t.type, t.url) == (("audio", "u") if t.track_id.startswith("audio") else ("video", "v")) for t in rows)
+
+
+def test_catalog_tracks_has_each_supplier_in_all_playlists_that_name_its_nation(spark, tmp_path):
+    customers, suppliers = [(i, i * 7 % 5) for i in range(600)], [(i, i % 6) for i in range(40)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(k, f"n{k}", n) for k, n in suppliers], "s_suppkey long, s_name string, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    audio = {n: [f"audio-{k}" for k, m in suppliers if m == n and k % 3] for n in range(6)}
+    want = {}
+    for part in range(12):
+        # The last tag of a playlist has no URI if its key is divisible by seven; one of eleven has no bandwidth.
+        sound = [(k, n) for k, n in customers if k // 50 == part and k % 11 and (k % 7 or k % 50 != 49)]
+        want[f"m{part}"] = first_seen([(f"{'video' if k % 15 else 'audio-primary'}-{k % 50 + 1}", n) for k, n in sound], audio)
+    rows = more_queries.catalog_tracks(spark, str(tmp_path)).orderBy("playlist_id", "track_ord").collect()
+    assert {k: [t.track_id for t in rows if t.playlist_id == k] for k in want} == want
+    assert len(rows) == sum(map(len, want.values()))
+
+
 def test_equal_bandwidth_goes_to_the_first_option(spark):
     v = variants(spark, [("p", i, "u", b, None, None, None, None, None) for i, b in enumerate((1.0, 7.0, 7.0))])
     assert catalog.default_option(catalog.options(v, renditions(spark, []))).first().option_index == 1

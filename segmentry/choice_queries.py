@@ -236,7 +236,18 @@ SELECT 'u' || user_id AS track_id, (round(ok::DECIMAL(20, 10) / seconds::DECIMAL
 FROM s
 """)
 def media_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items and seconds of media that each track gained in a second; its clock starts at 0."""
-    per_track = tasks.progress(b.event_outcomes(spark, sf_dir)).where("track_id IS NOT NULL")
+    """Items and seconds of media that each track gained in a second; its clock starts at 0.
+
+    An event without a type is still open. A track has no rate of media where no item tells one.
+    """
+    kind = F.col("event_type")
+    rows = b.table(spark, sf_dir, "events").where("user_id IS NOT NULL").select(
+        _text("u", F.col("user_id")).alias("track_id"), F.when(kind == "error", "dropped").when(kind.isNotNull(), "ready").alias("status"),
+        F.when(kind == "signup", "init").otherwise("media").alias("kind"), F.col("value").alias("duration"),
+    )
+    silent = F.expr("status <=> 'ready' AND kind = 'media' AND duration IS NULL")
+    told = rows.groupBy("track_id").agg(F.bool_or(~silent).alias("told"))
+    per_track = tasks.progress(rows).where("track_id IS NOT NULL").join(told, "track_id")
+    per_track = per_track.withColumn("successful_duration", F.when(F.col("told"), F.col("successful_duration")))
     seconds = tasks.elapsed_seconds(F.lit(0), F.col("total") * 7919)
     return tasks.rates(per_track, seconds).select("track_id", "chunks_per_second", "media_per_second")

@@ -83,6 +83,15 @@ def fixed(values: pd.Series, digits: pd.Series) -> pd.Series:
     return pd.Series([one(x, n) for x, n in zip(values, digits, strict=True)])
 
 
+def hundredths(number: Column) -> Column:
+    """Decimal text of two places, ties away from zero, judged on a hundred times the number.
+
+    A quotient that should be a tie often has a binary value just below it, which
+    :func:`fixed` rounds down; times a hundred it is one again.
+    """
+    return (F.round(number * 100).try_cast("decimal(18,0)") / 100).cast("decimal(20,2)").cast("string")
+
+
 def seconds_of(text: Column) -> Column:
     """``[h:]m:s`` in base 60; null unless it has two or more parts of digits only."""
     parts = F.transform(F.split(text, ":"), lambda p: p.try_cast("long"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
-from segmentry.functions.text import duration_text, fixed
+from segmentry.functions.text import duration_text, hundredths
 from segmentry.operators import spans
 
 ATTEMPTS = 5
@@ -178,8 +178,8 @@ def rates(progress_: DataFrame, seconds: Column) -> DataFrame:
     """Progress with items and seconds of media for each second, as texts of two places."""
     return progress_.select(
         "*",
-        fixed(F.col("successful") / seconds, F.lit(2)).alias("chunks_per_second"),
-        fixed(F.col("successful_duration") / seconds, F.lit(2)).alias("media_per_second"),
+        hundredths(F.col("successful") / seconds).alias("chunks_per_second"),
+        hundredths(F.col("successful_duration") / seconds).alias("media_per_second"),
     )
 
 

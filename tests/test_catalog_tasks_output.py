@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from segmentry import more_queries
+from segmentry import choice_queries, more_queries
 from segmentry.operators import catalog, discovery, output, tasks
 from segmentry.plans import archive
 
@@ -157,6 +157,21 @@ def test_progress_of_one_track(spark):
     assert tuple(row) == (4, 1, "0s", "--")
 
 
+def test_media_rates_round_ties_as_their_sql(spark, tmp_path):
+    """72 events last 570 seconds: 2026.35 seconds of media are 3.555 for each of these."""
+    import duckdb
+
+    ties = [2026.35, 2026.34, 1935.15, 2345.55, 2.85, 0.0]
+    rows = [(72 * u + i, u, "error" if i % 5 == 3 else "view", played if i == 0 else 0.0) for u, played in enumerate(ties) for i in range(72)]
+    rows += [(1000 + i, 6, None if i < 3 else "view", 1.5) for i in range(6)] + [(1010 + i, 7, "view", None) for i in range(3)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.sql(choice_queries.ORACLE["media_rates"]).fetchall())
+    assert [w[2] for w in want] == ["3.56", "3.55", "3.40", "4.12", "0.01", "0.00", "0.09", None]
+    assert sorted(map(tuple, choice_queries.media_rates(spark, str(tmp_path)).collect())) == want
+
+
 def test_attempts_fold_to_outcomes(spark):
     rows = [(1, 1, False), (1, 2, False), (2, 1, True), (3, 1, False), (3, 2, True), (4, 1, False), (4, 2, False), (4, 3, True)]
     got = {r.task_id: (r.status, r.errors) for r in tasks.outcomes(spark.createDataFrame(rows, "task_id int, attempt int, ok boolean"), 2).collect()}

@@ -16,7 +16,6 @@ from segmentry.operators import catalog, discovery, master, media, output, rewri
 from segmentry.plans import archive, clear_stream
 from segmentry.sources import bindings as b
 from segmentry.sources import playlists as sources
-from segmentry.streaming import runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -898,63 +897,53 @@ def frame_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.frame_groups(frames).select("resource_id", "event_id", "group", "fault")
 
 
-def _sealed_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _sealed_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A transport stream for each document, with its key and vector: the text as slice unit
-    of one picture and as frames of sound, both sealed; and the streams that it has.
+    of one picture and as frames of sound, both sealed.
 
     By their number the maps of some documents have no encrypted stream, are cut off, or the
-    second packet of a picture that has more is lost.
+    second packet of a picture that has more is lost. Texts are dealt by document, and so are
+    the streams made of them, which do not compress.
     """
-    key = F.col("doc_id")
-    docs = b.table(spark, sf_dir, "documents").select(
-        key.alias("resource_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"),
-        F.unhex(F.md5(key.cast("string"))).alias("key"), binary.initial_vector(F.lower(F.hex(key))).alias("iv"),
-    )
-    slice_ = F.concat(F.lit(b"\x65"), F.col("raw"))
-    sealed = binary.seal_blocks(slice_, binary.protected_offsets(F.octet_length(slice_)), F.col("key"), F.col("iv"))
-    # A vectorised function takes no column that a lambda makes in the same stage.
-    docs = runs.written(docs.withColumn("slice", sealed), "slices")
-    picture = transport.with_emulation(F.col("slice"))
+    key, raw = F.col("resource_id"), F.col("raw")
+    docs = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("resource_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw")).repartition("resource_id")
     # Frames of 507 bytes, seven of them a header that ends in the frame's length.
     n = F.ceil(F.octet_length("raw") / 500).cast("int")
+    keyed = docs.select("*", n.alias("n"), F.unhex(F.md5(key.cast("string"))).alias("key"), binary.initial_vector(F.lower(F.hex(key))).alias("iv"))
+    slice_ = F.concat(F.lit(b"\x65"), raw)
+    sealed = binary.seal_blocks(slice_, binary.protected_offsets(F.octet_length(slice_)), F.col("key"), F.col("iv"))
+    head, tail = F.unhex(F.lit("000001e00000800000000001")), F.lit(b"\x00")
+    picture = binary.once(sealed, lambda x: F.concat(head, transport.with_emulation(x), tail))
 
     def frame(i: Column) -> Column:
-        body = binary.part(F.col("raw"), i * 500, F.lit(500))
+        body = binary.part(raw, i * 500, F.lit(500))
         size = F.octet_length(body) + 7
         head = F.concat(F.unhex(F.lit("fff150")), F.unhex(F.lpad(F.hex(size.cast("long") * 8192), 8, "0")))
-        whole = F.concat(head, body)
         blocks = binary.audio_places(F.array(F.struct(F.lit(0).alias("start"), size.alias("length"), F.lit(7).alias("header"))))
-        return F.hex(binary.seal_blocks(whole, blocks, F.col("key"), F.col("iv")))
-
-    frames = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), frame)).otherwise(F.array().cast("array<string>"))
-    seen = docs.select(
-        "resource_id", F.lit(256).alias("pid"), F.lit(0).alias("unit"),
-        F.concat(F.unhex(F.lit("000001e00000800000000001")), picture, F.lit(b"\x00")).alias("data"),
-    )
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.struct(i.alias("unit"), F.unhex(F.try_element_at(frames, i + 1)).alias("body")))
-    spoken = docs.select("resource_id", F.inline(parts)).select(
-        "resource_id", F.lit(257).alias("pid"), "unit",
-        F.concat(F.unhex(F.lit("000001c0")), rewrite.two_bytes(3 + F.octet_length(F.coalesce("body", F.lit(b"")))), F.unhex(F.lit("800000")), F.coalesce("body", F.lit(b""))).alias("data"),
-    )
-    media_packets = rewrite.packetised(runs.written(seen.unionByName(spoken), "units"))
-    place = (F.when(F.col("pid") == 256, 0).otherwise(1_000_000) + F.col("unit")).cast("long") * 1_000_000 + F.col("k") + 2
-    lost = (F.col("resource_id") % 11 == 5) & (F.col("pid") == 256) & (F.col("k") == 1) & (F.col("bytes") > 400)
-    sizes = docs.select("resource_id", F.octet_length("raw").alias("bytes"))
-    media_packets = media_packets.join(sizes, "resource_id").where(~lost).select("resource_id", place.alias("at"), "data")
+        return binary.seal_blocks(F.concat(head, body), blocks, F.col("key"), F.col("iv"))
+
+    def spoken(i: Column) -> Column:
+        body = F.when(F.col("n") > 0, frame(i)).otherwise(F.lit(b""))
+        whole = binary.once(body, lambda x: F.concat(F.unhex(F.lit("000001c0")), rewrite.two_bytes(3 + F.octet_length(x)), F.unhex(F.lit("800000")), x))
+        return F.struct(F.lit(257).alias("pid"), i.alias("unit"), whole.alias("data"))
+
+    seen = F.array(F.struct(F.lit(256).alias("pid"), F.lit(0).alias("unit"), picture.alias("data")))
+    every = F.concat(seen, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), spoken))
+    units = keyed.select("resource_id", "key", "iv", F.octet_length(raw).alias("bytes"), F.inline(every))
+    media_packets = rewrite.packetised(units, keep=["key", "iv", "bytes"])
+    place = (F.when(F.col("pid") == 256, 0).otherwise(1_000_000) + F.col("unit")).cast("long") * 1_000_000 + F.col("k")
+    lost = (key % 11 == 5) & (F.col("pid") == 256) & (F.col("k") == 1) & (F.col("bytes") > 400)
     types = F.when(key % 11 == 3, F.lit("1be100f0000fe101f000")).otherwise("dbe100f000cfe101f000")
     size = F.when(key % 11 == 4, "b016").otherwise("b017")
     pmt = F.concat(F.lit("4750001000"), F.lit("02"), size, F.lit("0001c10000e100f000"), types, F.lit("00000000"))
     pat = "474000100000b00d0001c100000001f00000000000"
-    tables = b.table(spark, sf_dir, "documents").select(
-        key.alias("resource_id"),
-        F.inline(F.array(
-            F.struct(F.lit(0).cast("long").alias("at"), _packet(F.unhex(F.lit(pat)), F.lit(b"")).alias("data")),
-            F.struct(F.lit(1).cast("long").alias("at"), _packet(F.unhex(pmt), F.lit(b"")).alias("data")),
-        )),
-    )
-    content = tables.unionByName(media_packets).groupBy("resource_id").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY at)").alias("content"))
-    streams = docs.select("resource_id", F.explode(F.array(F.lit(256), F.lit(257))).alias("pid"))
-    return content.join(docs.select("resource_id", "key", "iv"), "resource_id"), streams
+    return (
+        media_packets.where(~lost)
+        .select("resource_id", "key", "iv", place.alias("at"), "data")
+        .groupBy("resource_id")
+        .agg(F.first("key").alias("key"), F.first("iv").alias("iv"), F.expr("listagg(data) WITHIN GROUP (ORDER BY at)").alias("media"))
+        .select("resource_id", F.concat(_packet(F.unhex(F.lit(pat)), F.lit(b"")), _packet(F.unhex(pmt), F.lit(b"")), "media").alias("content"), "key", "iv")
+    )
 
 
 def _slice_of(payload: Column) -> Column:
@@ -974,34 +963,37 @@ FROM f
 def clear_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sealed transport streams to clear ones, which are then read as any stream is: each
     document comes back as picture and as sound, the map tells clear types, its check sum
-    holds, and all packets are there."""
-    made, streams = _sealed_streams(spark, sf_dir)
-    sealed = runs.written(made, "sealed")
-    found = runs.written(clear_stream.clear_streams(sealed), "clear")
-    rows = transport.packets(found.where("fault IS NULL"))
-    held = clear_stream.elementary_bytes(rows, streams)
-    picture = held.where("pid = 256").select("resource_id", F.md5(_slice_of(F.col("payload"))).alias("picture_md5"))
-    spoken = held.where("pid = 257").select("resource_id", "unit", binary.part(F.col("payload"), 7, F.octet_length("payload")).alias("body"))
-    sound = spoken.groupBy("resource_id").agg(
-        F.md5(F.expr("listagg(body) WITHIN GROUP (ORDER BY unit)")).alias("sound_md5"), F.count(F.lit(1)).alias("sound_units")
-    )
-    maps = transport.payloads(rows.where("payload_unit_start AND pid = 4096")).select(
-        "resource_id", transport.section(F.col("payload"), transport.MAP).alias("section")
-    )
+    holds, and all packets are there.
+
+    All is one pass over the texts, dealt by document; the clear packets are dealt once more."""
+    found = clear_stream.clear_streams(_sealed_streams(spark, sf_dir).withColumn("before", F.octet_length("content")))
+    own = ["told", "before", "after"]
+    packets = transport.packets(found.select("resource_id", "content", F.col("fault").alias("told"), "before", F.octet_length("content").alias("after")), keep=own)
+    rows = transport.packet_fields(packets).where("index IS NULL OR held AND pid IN (256, 257, 4096)")
+    held = clear_stream.elementary_bytes(rows, own)
+    section = transport.section(F.col("data"), transport.MAP)
+    types = F.transform(rewrite.map_entries(section)["entries"], lambda e: F.lpad(F.lower(F.hex(e["stream_type"].cast("long"))), 2, "0"))
     size = F.octet_length("section")
     summed = binary.crc32_mpeg2(binary.part(F.col("section"), 0, size - 4)) == F.conv(F.hex(binary.part(F.col("section"), size - 4, F.lit(4))), 16, 10).cast("long")
-    kinds = F.array_join(F.transform(rewrite.map_entries(F.col("section"))["entries"], lambda e: F.lpad(F.lower(F.hex(e["stream_type"].cast("long"))), 2, "0")), "")
-    told = maps.select("resource_id", kinds.alias("types"), summed.alias("summed"))
-    sizes = sealed.select("resource_id", F.octet_length("content").alias("before"))
+    spoken = F.when(F.col("pid") == 257, binary.part(F.col("payload"), 7, F.octet_length("payload")))
+    told = (
+        held.withColumn("section", F.when(F.col("pid") == 4096, section))
+        .withColumn("summed", F.when(F.col("section").isNotNull(), summed))
+        .withColumn("types", F.when(F.col("pid") == 4096, F.array_join(types, "")))
+        .withColumn("picture_md5", F.when(F.col("pid") == 256, F.md5(_slice_of(F.col("payload")))))
+        .withColumn("body", spoken)
+    )
     return (
-        found.select("resource_id", "fault", F.octet_length("content").alias("after"))
-        .join(sizes, "resource_id")
-        .join(picture, "resource_id", "left")
-        .join(sound, "resource_id", "left")
-        .join(told, "resource_id", "left")
+        told.groupBy("resource_id")
+        .agg(
+            *(F.first(c).alias(c) for c in own),
+            *(F.max(c).alias(c) for c in ("picture_md5", "types", "summed")),
+            F.md5(F.expr("listagg(body) WITHIN GROUP (ORDER BY unit)")).alias("sound_md5"),
+            F.nullif(F.count_if(F.col("pid") == 257), F.lit(0).cast("long")).alias("sound_units"),
+        )
         .select(
-            "resource_id", "fault", "picture_md5", "sound_md5", "sound_units", "types",
-            F.when(F.col("fault").isNull(), F.col("summed") & (F.col("after") == F.col("before"))).alias("whole"),
+            "resource_id", F.col("told").alias("fault"), "picture_md5", "sound_md5", "sound_units", "types",
+            F.when(F.col("told").isNull(), F.col("summed") & (F.col("after") == F.col("before"))).alias("whole"),
         )
     )
 

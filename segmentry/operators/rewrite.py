@@ -6,12 +6,14 @@ packets of one unit.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from segmentry.functions.binary import byte_at, byte_values, crc32_mpeg2, once, part
-from segmentry.operators.transport import CLEAR_TYPES, MAP, PACKET, section, section_fault
+from segmentry.operators.transport import CLEAR_TYPES, MAP, PACKET, section
 
 ENTRIES = "array<struct<place:int,pid:int,stream_type:int>>"
 #: A section in one packet has no more entries of five bytes.
@@ -96,19 +98,17 @@ def clear_map(map_section: Column) -> Column:
     return once(F.struct(map_section.alias("section"), map_entries(map_section).alias("walked")), edited)
 
 
-def clear_map_packets(maps: DataFrame) -> DataFrame:
-    """Packets that start a program map (see :func:`transport.payloads`) with clear types:
-    ``data`` anew, or a ``fault``; all else of a packet stays as it is."""
-    at = F.col("payload_offset") + 1 + byte_at(F.col("payload"), 0)
-    old = section(F.col("payload"), MAP)
-    parts = maps.withColumn("old", old).withColumn("at", at).withColumn("new", clear_map(F.col("old"))).withColumn(
-        "map_fault", F.coalesce("fault", section_fault(F.col("payload"), MAP), map_entries(F.col("old"))["fault"])
-    )
-    data, after = F.col("data"), F.col("at") + F.octet_length("old")
-    whole = F.concat(part(data, 0, F.col("at")), F.col("new"), part(data, after, F.lit(PACKET)))
-    return parts.withColumn("fault", F.col("map_fault")).withColumn(
-        "data", F.when(F.col("map_fault").isNull(), whole).otherwise(data)
-    ).drop("old", "new", "at", "map_fault")
+def clear_map_packet() -> Column:
+    """A packet that starts a program map (see :func:`transport.payloads`) with clear types, null
+    where the map cannot be read; all else of a packet stays as it is."""
+    data, payload = F.col("data"), F.col("payload")
+
+    def made(x: Column) -> Column:
+        after = x["at"] + F.octet_length(x["old"])
+        return F.concat(part(data, 0, x["at"]), clear_map(x["old"]), part(data, after, F.lit(PACKET)))
+
+    at = F.col("payload_offset") + 1 + byte_at(payload, 0)
+    return once(F.struct(at.alias("at"), section(payload, MAP).alias("old")), made)
 
 
 def packet_of(head: Column, adaptation: Column, payload: Column) -> Column:
@@ -136,6 +136,12 @@ def packet_of(head: Column, adaptation: Column, payload: Column) -> Column:
     return once(F.struct(head.alias("head"), adaptation.alias("adaptation"), payload.alias("payload")), made)
 
 
+def adaptation_field() -> Column:
+    """The bytes of a packet's adaptation field, null where it has none."""
+    told = F.shiftright(byte_at(F.col("data"), 3), 4).bitwiseAND(F.lit(2)) != 0
+    return F.when(told, part(F.col("data"), 5, byte_at(F.col("data"), 4)))
+
+
 def refilled(packets: DataFrame, units: DataFrame) -> DataFrame:
     """Payload packets filled with their units' new bytes: ``data`` anew, or a ``fault``.
 
@@ -147,9 +153,6 @@ def refilled(packets: DataFrame, units: DataFrame) -> DataFrame:
     order = Window.partitionBy(*names).orderBy("index")
     ahead, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*names)
     room = PACKET - F.col("payload_offset")
-    adaptation = F.when(
-        F.shiftright(byte_at(F.col("data"), 3), 4).bitwiseAND(F.lit(2)) != 0, part(F.col("data"), 5, byte_at(F.col("data"), 4))
-    )
     placed = (
         packets.withColumn("room", room)
         .withColumn("from", F.coalesce(F.sum("room").over(ahead), F.lit(0)))
@@ -159,23 +162,25 @@ def refilled(packets: DataFrame, units: DataFrame) -> DataFrame:
     payload = part(F.col("clear"), F.col("from").cast("int"), F.col("room"))
     fits = F.octet_length("clear") <= F.col("all_room")
     fault = F.coalesce("fault", "unit_fault", F.when(~fits, "a unit is larger than its packets"))
-    return placed.withColumn("fault", fault).withColumn("data", F.when(fits, packet_of(F.col("data"), adaptation, payload))).drop(
+    return placed.withColumn("fault", fault).withColumn("data", F.when(fits, packet_of(F.col("data"), adaptation_field(), payload))).drop(
         "room", "from", "all_room", "clear", "unit_fault"
     )
 
 
-def packetised(units: DataFrame, payload: str = "data") -> DataFrame:
-    """``resource_id, pid, unit, k, data``: packets of units ``resource_id, pid, unit`` and bytes.
+def packetised(units: DataFrame, payload: str = "data", keep: Sequence[str] = ()) -> DataFrame:
+    """``resource_id, pid, unit, k, data``: packets of units ``resource_id, pid, unit`` and bytes;
+    ``keep`` are more columns that they have.
 
     The first packet of a unit is marked as its start; the last is stuffed. Counters go on
     over the units of a stream.
     """
     n = F.ceil(F.greatest(F.octet_length(payload), F.lit(1)) / (PACKET - 4)).cast("int")
     order = Window.partitionBy("resource_id", "pid").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
+    names = ["resource_id", "pid", "unit", *keep]
     counted = units.withColumn("n", n).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    each = counted.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    bodies = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: part(F.col(payload), k * (PACKET - 4), F.lit(PACKET - 4)))
+    each = counted.select(*names, "before", F.posexplode(bodies).alias("k", "body"))
     start = F.when(F.col("k") == 0, 0x40).otherwise(0)
     counter = (F.col("before") + F.col("k")) % 16
     head = F.concat(F.lit(b"\x47"), two_bytes(start * 256 + F.col("pid")), byte(counter))
-    body = part(F.col(payload), F.col("k") * (PACKET - 4), F.lit(PACKET - 4))
-    return each.select("resource_id", "pid", "unit", "k", packet_of(head, F.lit(None).cast("binary"), body).alias("data"))
+    return each.select(*names, "k", packet_of(head, F.lit(None).cast("binary"), F.col("body")).alias("data"))

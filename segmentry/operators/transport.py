@@ -6,10 +6,12 @@ of varying length are walked by small functions in a vectorised UDF.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from segmentry.functions.binary import byte_at, part
@@ -24,36 +26,37 @@ def _pairs(*names: str) -> ArrayType:
     return ArrayType(StructType([StructField(n, IntegerType()) for n in names]))
 
 
-def packets(resources: DataFrame, content: str = "content") -> DataFrame:
+def packets(resources: DataFrame, content: str = "content", keep: Sequence[str] | None = None) -> DataFrame:
     """``resource_id, index, pid, payload_unit_start, data`` of every 188 bytes.
 
-    Resources whose length is not a positive multiple of that give none.
+    Resources whose length is not a positive multiple of that give none; with ``keep``, more
+    columns that the rows have, they give one row of a null ``index``.
     """
-    n = F.expr(f"octet_length(`{content}`) div {PACKET}")
-    sound = (F.octet_length(content) > 0) & (F.octet_length(content) % PACKET == 0)
-    return (
-        resources.where(sound)
-        .select("resource_id", content, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("index"))
-        .select("resource_id", "index", part(F.col(content), (F.col("index") * PACKET).cast("int"), PACKET).alias("data"))
-        .select(
-            "resource_id",
-            "index",
-            (byte_at(F.col("data"), 1).bitwiseAND(F.lit(0x1F)) * 256 + byte_at(F.col("data"), 2)).alias("pid"),
-            (byte_at(F.col("data"), 1).bitwiseAND(F.lit(0x40)) != 0).alias("payload_unit_start"),
-            "data",
-        )
+    size = F.octet_length(content)
+    sound = (size > 0) & (size % PACKET == 0)
+    places = F.when(sound, F.sequence(F.lit(0), F.expr(f"cast(octet_length(`{content}`) div {PACKET} - 1 AS int)")))
+    each = F.transform(places, lambda i: part(F.col(content), i * PACKET, PACKET))
+    cut = (F.posexplode if keep is None else F.posexplode_outer)(each).alias("index", "data")
+    return resources.select("resource_id", *(keep or ()), cut).select(
+        "resource_id",
+        *(keep or ()),
+        F.col("index").cast("long").alias("index"),
+        (byte_at(F.col("data"), 1).bitwiseAND(F.lit(0x1F)) * 256 + byte_at(F.col("data"), 2)).alias("pid"),
+        (byte_at(F.col("data"), 1).bitwiseAND(F.lit(0x40)) != 0).alias("payload_unit_start"),
+        "data",
     )
 
 
-def payloads(rows: DataFrame) -> DataFrame:
-    """Packets with a payload: ``payload_offset, continuity, discontinuity, payload, fault``."""
+def packet_fields(rows: DataFrame) -> DataFrame:
+    """Packets with ``payload_offset, continuity, discontinuity, fault``, with ``held``, which
+    says whether there is a payload or a fault, and with the ``payload`` of those without one."""
     data = F.col("data")
     control = F.shiftright(byte_at(data, 3), 4).bitwiseAND(F.lit(3))
     adaptation = byte_at(data, 4)
-    offset = F.when(control == 3, 5 + adaptation).otherwise(4)
+    offset = F.when(F.col("control") == 3, 5 + adaptation).otherwise(4)
+    some = (byte_at(data, 0) != SYNC) | F.col("control").isin(1, 3)
     return (
         rows.withColumn("control", control)
-        .where((byte_at(data, 0) != SYNC) | F.col("control").isin(1, 3))
         .withColumn("payload_offset", offset)
         .withColumn("continuity", byte_at(data, 3).bitwiseAND(F.lit(0x0F)))
         .withColumn(
@@ -66,12 +69,17 @@ def payloads(rows: DataFrame) -> DataFrame:
             .when(byte_at(data, 1).bitwiseAND(F.lit(0x80)) != 0, "a packet is marked as faulty")
             .when(F.col("payload_offset") > PACKET, "an adaptation field is too long"),
         )
-        .where(F.col("fault").isNotNull() | (F.col("payload_offset") < PACKET))
-        .withColumn("payload", F.when(F.col("fault").isNull(), part(data, F.col("payload_offset"), PACKET)))
+        .withColumn("held", F.coalesce(some & (F.col("fault").isNotNull() | (F.col("payload_offset") < PACKET)), F.lit(False)))
+        .withColumn("payload", F.when(F.col("held") & F.col("fault").isNull(), part(data, F.col("payload_offset"), PACKET)))
         .drop("control")
     )
 
 
+def payloads(rows: DataFrame) -> DataFrame:
+    """Packets with a payload: ``payload_offset, continuity, discontinuity, payload, fault``."""
+    return packet_fields(rows).where("held").drop("held")
+
+
 def continuity_faults(rows: DataFrame) -> DataFrame:
     """Payload packets whose counter does not follow the one before it in their stream."""
     order = Window.partitionBy("resource_id", "pid").orderBy("index")
@@ -121,22 +129,27 @@ def section_fault(payload: Column, table: int) -> Column:
 ASSOCIATION, MAP = 0x00, 0x02
 
 
+def program_map_pid(association: Column) -> Column:
+    """The PID of the first program in an association section, null where it has none."""
+    size = F.octet_length(association)
+    places = F.when(size >= 16, F.sequence(F.lit(8), size - 8, F.lit(4)))
+
+    def entry(at: Column) -> Column:
+        program = byte_at(association, at) * 256 + byte_at(association, at + 1)
+        pid = byte_at(association, at + 2).bitwiseAND(F.lit(0x1F)) * 256 + byte_at(association, at + 3)
+        return F.struct(program.alias("program"), pid.alias("pid"))
+
+    return F.try_element_at(F.filter(F.transform(places, entry), lambda e: e["program"] > 0), F.lit(1))["pid"]
+
+
 def program_map_pids(rows: DataFrame) -> DataFrame:
     """``resource_id, pid`` of the first program in the association table, PID 0."""
-    data = F.col("section")
-    n = F.greatest(F.lit(0), F.expr("(octet_length(section) - 12) div 4"))
-    entry = 8 + 4 * F.col("k")
     return (
         payloads(rows.where("pid = 0 AND payload_unit_start"))
-        .select("resource_id", "index", section(F.col("payload"), ASSOCIATION).alias("section"))
-        .where("section IS NOT NULL")
-        .select("resource_id", "index", "section", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).alias("k"))
-        .withColumn("k", F.col("k") - 1)
-        .withColumn("program", byte_at(data, entry) * 256 + byte_at(data, entry + 1))
-        .withColumn("map_pid", byte_at(data, entry + 2).bitwiseAND(F.lit(0x1F)) * 256 + byte_at(data, entry + 3))
-        .where("program > 0 AND octet_length(section) >= 16")
+        .select("resource_id", "index", program_map_pid(section(F.col("payload"), ASSOCIATION)).alias("pid"))
+        .where("pid IS NOT NULL")
         .groupBy("resource_id")
-        .agg(F.min_by("map_pid", F.struct("index", "k")).alias("pid"))
+        .agg(F.min_by("pid", "index").alias("pid"))
     )
 
 
@@ -240,24 +253,16 @@ def annexb_units(data: pd.Series) -> pd.Series:
     return data.map(split)
 
 
-@F.pandas_udf(BinaryType())
-def without_emulation(data: pd.Series) -> pd.Series:
-    """Units without the bytes 3 that keep start codes out of them."""
+def _replaced(data: Column | str, found: bytes, pattern: str, by: bytes) -> Column:
+    """Bytes as the characters of the same number, replaced where ``found`` is in them."""
+    data = F.col(data) if isinstance(data, str) else data
+    text = F.regexp_replace(F.decode(data, "ISO-8859-1"), F.lit(pattern), F.lit(by.decode("latin-1")))
+    return F.when(F.contains(data, F.lit(found)), F.encode(text, "ISO-8859-1")).otherwise(data)
 
-    def strip(s: bytes | None) -> bytes | None:
-        if s is None:
-            return None
-        out, at = bytearray(), 0
-        while (k := s.find(b"\x00\x00\x03", at)) >= 0:
-            if len(s) - k > 3 and s[k + 3] <= 3:
-                out += s[at : k + 2]
-                at = k + 3
-            else:
-                out += s[at : k + 1]
-                at = k + 1
-        return bytes(out + s[at:])
 
-    return data.map(strip)
+def without_emulation(data: Column | str) -> Column:
+    """Units without the bytes 3 that keep start codes out of them."""
+    return _replaced(data, b"\x00\x00\x03", r"\x00\x00\x03(?=[\x00-\x03])", b"\x00\x00")
 
 
 # Bit rates of AC-3 in kbit/s by code, and audio blocks of an E-AC-3 frame by code.
@@ -291,6 +296,23 @@ def _eac3(s: bytes, at: int) -> tuple | None:
     return 2 * ((head >> 8 & 0x7FF) + 1), 0, head >> 22, head >> 19 & 7, blocks
 
 
+READERS = {"aac": _aac, "ac3": _ac3, "eac3": _eac3}
+
+
+def _frames(s: bytes, name: str) -> tuple[list[tuple], str | None]:
+    """The frames of audio, and why what is behind them is none."""
+    at, frames = 0, []
+    while at < len(s):
+        frame = READERS[name](s, at)
+        if frame is None:
+            return frames, f"no {name} frame at {at}"
+        if frame[0] < max(1, frame[1]) or at + frame[0] > len(s):
+            return frames, f"a frame of wrong length at {at}"
+        frames.append((at, *frame))
+        at += frame[0]
+    return frames, None
+
+
 @F.pandas_udf(
     StructType([StructField("frames", _pairs(*FRAME_FIELDS)), StructField("fault", StringType())])
 )
@@ -300,24 +322,46 @@ def audio_frames(data: pd.Series, codec: pd.Series) -> pd.DataFrame:
     ``header`` is the clear bytes in front of a frame; stream type, substream and number
     of audio blocks are those of E-AC-3.
     """
-    readers, found, faults = {"aac": _aac, "ac3": _ac3, "eac3": _eac3}, [], []
+    found, faults = [], []
     for s, name in zip(data, codec, strict=True):
-        at, frames, fault = 0, [], None
-        while s is not None and at < len(s):
-            frame = readers[name](s, at)
-            if frame is None:
-                fault = f"no {name} frame at {at}"
-            elif frame[0] < max(1, frame[1]) or at + frame[0] > len(s):
-                fault = f"a frame of wrong length at {at}"
-            if fault:
-                break
-            frames.append(dict(zip(FRAME_FIELDS, (at, *frame), strict=True)))
-            at += frame[0]
-        found.append(None if s is None else frames)
+        frames, fault = (None, None) if s is None else _frames(s, name)
+        found.append(frames and [dict(zip(FRAME_FIELDS, f, strict=True)) for f in frames] if s is not None else None)
         faults.append(fault)
     return pd.DataFrame({"frames": found, "fault": faults})
 
 
+CHAIN_FAULTS = ("a group has too many blocks", "a group is not whole", "a stream begins with no independent frame")
+
+
+@F.pandas_udf(
+    StructType([StructField("frames", _pairs("start", "length", "header", "chain")), StructField("fault", StringType())])
+)
+def audio_chains(data: pd.Series, codec: pd.Series) -> pd.DataFrame:
+    """Frames of whole units with the ``chain`` that their encrypted blocks are in, as
+    :func:`frame_groups` has it for E-AC-3; any other frame is a chain of its own."""
+    found, faults = [], []
+    for s, name in zip(data, codec, strict=True):
+        frames, fault = ([], None) if s is None else _frames(s, name)
+        chains, upto, told = [], 0, [fault]
+        for k, (start, length, header, kind, substream, blocks) in enumerate(frames):
+            if name != "eac3":
+                chain = k
+            else:
+                own = blocks if kind != 1 and substream == 0 else 0
+                if own and upto % 6 + own > 6:
+                    told.append(CHAIN_FAULTS[0])
+                upto += own
+                if not upto:
+                    told.append(CHAIN_FAULTS[2])
+                chain = (upto - 1) // 6
+            chains.append({"start": start, "length": length, "header": header, "chain": chain})
+        if upto % 6:
+            told.append(CHAIN_FAULTS[1])
+        found.append(None if s is None or fault else chains)
+        faults.append(fault or min(filter(None, told), default=None))
+    return pd.DataFrame({"frames": found, "fault": faults})
+
+
 def frame_groups(frames: DataFrame) -> DataFrame:
     """E-AC-3 frames (``resource_id, k`` in order, and their fields) with ``group`` and ``fault``.
 
@@ -396,20 +440,6 @@ def access_unit(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"units": units, "tail": pd.array(tails, "Int32"), "fault": faults})
 
 
-@F.pandas_udf(BinaryType())
-def with_emulation(data: pd.Series) -> pd.Series:
+def with_emulation(data: Column | str) -> Column:
     """Units with a byte 3 wherever two zeros would be followed by a byte of at most 3."""
-
-    def guard(s: bytes | None) -> bytes | None:
-        if s is None or b"\x00\x00" not in s:
-            return s
-        out, zeros = bytearray(), 0
-        for x in s:
-            if zeros >= 2 and x <= 3:
-                out.append(3)
-                zeros = 0
-            out.append(x)
-            zeros = zeros + 1 if x == 0 else 0
-        return bytes(out)
-
-    return data.map(guard)
+    return _replaced(data, b"\x00\x00", r"\x00\x00(?=[\x00-\x03])", b"\x00\x00\x03")

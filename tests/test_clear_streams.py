@@ -7,9 +7,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from segmentry import more_queries
 from segmentry.functions import binary
 from segmentry.operators import rewrite, transport
 from segmentry.plans import clear_stream
+from segmentry.streaming import runs
 
 KEY, IV = bytes(range(16)), bytes(range(100, 116))
 
@@ -215,6 +217,24 @@ def test_faults_of_streams(spark, picture):
     assert got == {name: (name, None) for name in cases}
 
 
+def test_the_query_writes_nothing_and_shuffles_texts_and_clear_packets_only(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    rng = random.Random(4)
+    texts = ["", None, "a", "x" * 47, "\0\0\1\0\0\3" * 300, *("".join(rng.choices("ab \0\1\3é", k=n)) for n in (100, 399, 401, 500, 501, 2000, 30_000))]
+    rows = [(i + 11 * k, t) for i, t in enumerate(texts) for k in (i, i + 40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(runs, "new_folder", lambda *a: pytest.fail("a table is written"))
+    frame = more_queries.clear_streams(spark, str(tmp_path))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2 and plan.count("FileScan") == 1
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(more_queries.ORACLE["clear_streams"])
+    names = want.columns
+    assert sorted(map(tuple, frame.select(*names).collect())) == sorted(want.fetchall())
+
+
 def test_units_that_outgrow_their_packets(spark):
     packets = spark.createDataFrame(
         [("r", 1, 0, i, bytearray(p), 4, None) for i, p in enumerate(packets_of(b"a" * 368, 1, 0))],

@@ -79,6 +79,22 @@ def test_catalog_tracks_has_each_supplier_in_all_playlists_that_name_its_nation(
     assert len(rows) == sum(map(len, want.values()))
 
 
+def test_linked_pairs_of_two_lists_stand_together(spark, monkeypatch):
+    """A writer's columns repeat at once, and not after a whole group, which is longer than a page may be."""
+    monkeypatch.setattr(catalog, "TILE", 5)
+    v = variants(spark, [("p", i, "v", 1.0, "avc1", None, None, None, "ab"[i % 2]) for i in range(40)] + [("p", 40, "v", 1.0, "avc1", None, None, None, "none"), ("p", 41, "v", 1.0, "avc1", None, None, None, None)])
+    r = renditions(spark, [("p", i, "ab"[i % 2], "n", "u" if i % 7 else None, i % 3 == 0) for i in range(200)])
+    rows = catalog.linked(v, r).coalesce(1).collect()
+    want = [(i, f"audio-{k + 1}", k % 3 == 0, 100, False) for i in range(40) for k in range(200) if k % 2 == i % 2 and k % 7]
+    want += [(40, None, None, None, True), (41, None, None, None, False)]
+    assert sorted(map(repr, ((x.variant_index, x.audio_track_id, x.is_default, x.members, x.missing) for x in rows))) == sorted(map(repr, want))
+    seen, gaps = {}, []
+    for at, x in enumerate(rows):
+        gaps += [at - seen[x.audio_track_id]] if x.audio_track_id in seen else []
+        seen[x.audio_track_id] = at
+    assert sorted(gaps)[len(gaps) // 2] <= 5
+
+
 def test_equal_bandwidth_goes_to_the_first_option(spark):
     v = variants(spark, [("p", i, "u", b, None, None, None, None, None) for i, b in enumerate((1.0, 7.0, 7.0))])
     assert catalog.default_option(catalog.options(v, renditions(spark, []))).first().option_index == 1

@@ -79,6 +79,33 @@ def test_catalog_tracks_has_each_supplier_in_all_playlists_that_name_its_nation(
     assert len(rows) == sum(map(len, want.values()))
 
 
+def shuffled(spark, frame) -> int:
+    """Rows that a frame's stages write to shuffles, without broadcasts."""
+    context, known = spark.sparkContext, "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(known)
+    try:
+        spark.conf.set(known, -1)
+        context.setJobGroup("shuffled", "", False)
+        done = set(context.statusTracker().getJobIdsForGroup("shuffled"))
+        frame().write.format("noop").mode("overwrite").save()
+        jobs = set(context.statusTracker().getJobIdsForGroup("shuffled")) - done
+        stages = {s for j in jobs for s in context.statusTracker().getJobInfo(j).stageIds}
+        ran = [s for s in stages if context.statusTracker().getStageInfo(s)]
+        return sum(context._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteRecords() for s in ran)
+    finally:
+        spark.conf.set(known, before)
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_tracks_of_large_groups_are_not_shuffled(spark, monkeypatch):
+    """Fifty playlists that name a group of 900: shuffled are rows, not pairs of a row and a list."""
+    monkeypatch.setattr(catalog, "BLOCK", 1)
+    v = variants(spark, [(f"p{i}", 0, "v", 1.0, "avc1", None, None, None, "a") for i in range(50)])
+    r = renditions(spark, [(None, i, "a", "n", "u", False) for i in range(900)]).drop("playlist_id")
+    assert catalog.tracks(v, r).count() == 50 * 901
+    assert 0 < shuffled(spark, lambda: catalog.tracks(v, r)) < 25_000
+
+
 def test_linked_pairs_of_two_lists_stand_together(spark, monkeypatch):
     """A writer's columns repeat at once, and not after a whole group, which is longer than a page may be."""
     monkeypatch.setattr(catalog, "TILE", 5)
